@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cuckoo, decontam, minhash, quality
+from . import bpe, cuckoo, decontam, minhash, quality, secrets, sharding, warc
 from .common import table
 
 
@@ -38,11 +38,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_sharding": sharding.op3_sharding,
     "op4_bpe": op4_bpe,
+    "op5_warc": warc.op5_warc,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_decontamination": op10_decontamination,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": cuckoo.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op7_exact_dedup": cuckoo.ORACLE_SQL}
