@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cuckoo, decontam, minhash, quality, secrets, sharding, warc
+from . import bpe, cuckoo, decontam, lm, minhash, quality, secrets, sharding, substring, warc
 from .common import table
 
 
@@ -44,6 +44,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.op5_warc,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_substring_dedup": substring.op8_substring_dedup,
+    "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
     "pipeline": pipeline,
 }

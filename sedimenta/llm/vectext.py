@@ -169,3 +169,12 @@ def inside(doc: np.ndarray, width: int) -> np.ndarray:
     """Mask over window starts: the window of ``width`` words lies in one text."""
     n = len(doc) - width + 1
     return doc[:n] == doc[width - 1 :] if n > 0 else np.empty(0, bool)
+
+
+def planes(a: np.ndarray) -> bytes:
+    """Differences of an integer column, byte by byte apart: small steps compress to nothing."""
+    return np.ascontiguousarray(np.diff(a.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel())
