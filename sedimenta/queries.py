@@ -1,4 +1,248 @@
-"""Queries over the key/value engine."""
+"""Queries over the key/value engine, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+``events`` is read as a mutation log: key ``user_id``, version ``event_id``, value ``value``; an
+event of type ``error`` deletes its key. ``orders`` is a base run of unique keys with layers of
+updates on top of it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.bytes import bloom_places, compare, ordered_text, record_length
+from .operators import blocks, bloom
+from .operators import merge as m
+
+#: Byte budgets of the levels in the level queries; the rest goes to the sink.
+BUDGETS = [20_000, 200_000]
+BLOCK_ROWS = 512
+
+
+def dead() -> Column:
+    return F.col("event_type") == "error"
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
+
+
+def layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The log in three layers by ``event_id``; the newest comes first."""
+    e = log(spark, sf_dir)
+    nth = F.pmod("event_id", F.lit(3))
+    return [e.where(nth == i) for i in (2, 1, 0)]
+
+
+def view(spark: SparkSession, sf_dir: str, keep_tombstones: bool = False) -> DataFrame:
+    return m.current(log(spark, sf_dir), ["user_id"], "event_id", dead(), keep_tombstones)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.range_scan(view(spark, sf_dir), 2, 12, "user_id").select("user_id", "event_id", "value")
+
+
+_SHOW = ("user_id", "event_id", "value")
+
+
+def kv_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, True).select("user_id", "event_id", "value", "event_type")
+
+
+def kv_upsert_latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by partial aggregation: a deleted key has a null value."""
+    e = log(spark, sf_dir).withColumn("live", F.when(~dead(), F.col("value")))
+    return m.newest_value(e, ["user_id"], "live", F.col("event_id"))
+
+
+def kv_delete_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir).select(*_SHOW)
+
+
+def _get(key: int) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: m.get(view(spark, sf_dir), key, "user_id").select(*_SHOW)
+
+
+def kv_get_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups of every key whose newest version is a delete: nothing, whatever older layers hold."""
+    gone = view(spark, sf_dir, True).where(dead()).select("user_id")
+    return m.multi_get(view(spark, sf_dir), gone, "user_id").select(*_SHOW)
+
+
+def kv_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).where(F.col("user_id") % 7 == 3)
+    return m.multi_get(view(spark, sf_dir), wanted, "user_id").select(*_SHOW)
+
+
+def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.range_scan(view(spark, sf_dir), 10, 40, "user_id").select(*_SHOW)
+
+
+def kv_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.range_scan(view(spark, sf_dir), name="user_id").select(*_SHOW)
+
+
+def kv_empty_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.range_scan(view(spark, sf_dir), 40, 10, "user_id").select(*_SHOW)
+
+
+def kv_merge_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.merge(layers(spark, sf_dir), ["user_id"], "event_id", dead()).select(*_SHOW)
+
+
+def kv_merge_keep_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.merge(layers(spark, sf_dir), ["user_id"], "event_id", dead(), keep_tombstones=True).select(*_SHOW, "event_type")
+
+
+def order_updates(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Base orders under two layers of updates; of the newer one each fifth row deletes."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    newer = o.where(F.col("o_orderkey") % 11 == 0).select("o_orderkey", (F.col("price") + 2).alias("price"), (F.col("o_orderkey") % 5 == 0).alias("dead"))
+    old = o.where(F.col("o_orderkey") % 7 == 0).select("o_orderkey", (F.col("price") + 1).alias("price"), F.lit(False).alias("dead"))
+    return [newer, old, o.withColumn("dead", F.lit(False))]
+
+
+def kv_merge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.merge(order_updates(spark, sf_dir), ["o_orderkey"], None, F.col("dead")).select("o_orderkey", "price")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest versions as records: key and value as byte strings, null for a delete."""
+    v = view(spark, sf_dir, True)
+    key, value = F.encode(F.lpad(F.col("user_id").cast("string"), 10, "0"), "UTF-8"), F.encode(F.col("event_type"), "UTF-8")
+    return v.select("user_id", key.alias("key"), F.when(~dead(), value).alias("v"))
+
+
+def kv_compact_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compaction in two steps: upper layers merged with tombstones, then into the sink without."""
+    top, mid, sink = layers(spark, sf_dir)
+    upper = m.merge([top, mid], ["user_id"], "event_id", dead(), keep_tombstones=True)
+    return m.merge([upper, sink], ["user_id"], "event_id", dead()).select(*_SHOW)
+
+
+def _orders_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return o.withColumn("bytes", record_length(F.col("o_orderkey").cast("string"), F.col("o_orderpriority")))
+
+
+def kv_level_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which level each order falls into, by the running bytes of all before it in key order."""
+    out = blocks.running_bytes(_orders_sized(spark, sf_dir), "o_orderkey", F.col("bytes"))
+    return out.select("o_orderkey", "upto", blocks.assign_levels(F.col("upto"), BUDGETS).alias("level"))
+
+
+def _block(df: DataFrame) -> DataFrame:
+    return blocks.block_index(df, F.floor(F.col("o_orderkey") / BLOCK_ROWS).cast("long"), "o_orderkey", F.col("bytes"))
+
+
+def kv_block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block(_orders_sized(spark, sf_dir))
+
+
+def kv_block_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.blocks_of(_block(_orders_sized(spark, sf_dir)), 777)
+
+
+def kv_snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.current(log(spark, sf_dir).where("event_id <= 500"), ["user_id"], "event_id", dead()).select(*_SHOW)
+
+
+def kv_memtable_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.memtable_stats(_records(spark, sf_dir), F.col("key"), F.col("v"))
+
+
+def kv_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order and comparison of byte-string keys, of which some are prefixes of others."""
+    k = log(spark, sf_dir).select(F.encode(F.col("user_id").cast("string"), "UTF-8").alias("k")).distinct()
+    pivot = F.encode(F.lit("15"), "UTF-8")
+    return k.select(ordered_text(F.col("k")).alias("key_hex"), compare(F.col("k"), pivot).alias("against_15"), record_length(F.col("k"), F.lit(None).cast("binary")).alias("record_bytes")).orderBy("key_hex")
+
+
+def kv_validate_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many mutations break each rule of a table with small limits."""
+    e = _read(spark, sf_dir, "events")
+    k, v = F.octet_length(F.col("user_id").cast("string")), F.octet_length("props")
+    return e.agg(
+        F.count(F.when(F.coalesce(k, F.lit(0)) == 0, 1)).alias("empty_keys"),
+        F.count(F.when(k > 2, 1)).alias("large_keys"),
+        F.count(F.when(F.coalesce(v, F.lit(0)) == 0, 1)).alias("empty_values"),
+        F.count(F.when(v > 9, 1)).alias("large_values"),
+    )
+
+
+def kv_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file filter of each layer, over the keys' text."""
+    e = log(spark, sf_dir).select(F.pmod("event_id", F.lit(3)).cast("int").alias("run"), F.encode(F.col("user_id").cast("string"), "UTF-8").alias("key")).distinct()
+    return bloom.build(e, bits=4096)
+
+
+def kv_bloom_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = log(spark, sf_dir).select("user_id").distinct()
+    return k.select("user_id", bloom_places(F.encode(F.col("user_id").cast("string"), "UTF-8"), 4096).alias("places"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "kv_upsert_latest": kv_upsert_latest,
+    "kv_upsert_latest_value": kv_upsert_latest_value,
+    "kv_delete_visible": kv_delete_visible,
+    "kv_get_hit": _get(8),
+    "kv_get_missing": _get(-1),
+    "kv_get_deleted": kv_get_deleted,
+    "kv_multi_get": kv_multi_get,
+    "kv_range_scan": kv_range_scan,
+    "kv_full_scan": kv_full_scan,
+    "kv_empty_scan": kv_empty_scan,
+    "kv_merge_priority": kv_merge_priority,
+    "kv_merge_keep_tombstones": kv_merge_keep_tombstones,
+    "kv_merge_orders": kv_merge_orders,
+    "kv_compact_sink": kv_compact_sink,
+    "kv_level_assign": kv_level_assign,
+    "kv_block_index": kv_block_index,
+    "kv_block_lookup": kv_block_lookup,
+    "kv_snapshot_as_of": kv_snapshot_as_of,
+    "kv_memtable_stats": kv_memtable_stats,
+    "kv_key_order": kv_key_order,
+    "kv_validate_mutations": kv_validate_mutations,
+    "kv_bloom": kv_bloom,
+    "kv_bloom_places": kv_bloom_places,
+}
+
+_LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1"
+_LIVE = f"SELECT user_id, event_id, value FROM ({_LATEST}) WHERE event_type <> 'error'"
+_LAYERED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+_SIZED = "SELECT o_orderkey, strlen(CAST(o_orderkey AS VARCHAR)) + coalesce(strlen(o_orderpriority), 0) + 2 AS bytes FROM orders"
+_BLOCKS = f"SELECT CAST(floor(o_orderkey / {BLOCK_ROWS}.0) AS BIGINT) AS block_id, min(o_orderkey) AS start_key, max(o_orderkey) AS end_key, count(*) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM ({_SIZED}) GROUP BY 1"
+
+ORACLE_SQL: dict[str, str] = {
+    "kv_upsert_latest": f"SELECT user_id, event_id, value, event_type FROM ({_LATEST})",
+    "kv_upsert_latest_value": f"SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS live FROM ({_LATEST})",
+    "kv_delete_visible": _LIVE,
+    "kv_get_hit": f"SELECT * FROM ({_LIVE}) WHERE user_id = 8",
+    "kv_get_missing": f"SELECT * FROM ({_LIVE}) WHERE user_id = -1",
+    "kv_get_deleted": f"SELECT * FROM ({_LIVE}) WHERE user_id IN (SELECT user_id FROM ({_LATEST}) WHERE event_type = 'error')",
+    "kv_multi_get": f"SELECT * FROM ({_LIVE}) WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3)",
+    "kv_range_scan": f"SELECT * FROM ({_LIVE}) WHERE user_id BETWEEN 10 AND 40 ORDER BY user_id",
+    "kv_full_scan": f"SELECT * FROM ({_LIVE}) ORDER BY user_id",
+    "kv_empty_scan": f"SELECT * FROM ({_LIVE}) WHERE user_id BETWEEN 40 AND 10",
+    "kv_merge_priority": f"SELECT user_id, event_id, value FROM ({_LAYERED}) WHERE event_type <> 'error'",
+    "kv_merge_keep_tombstones": f"SELECT user_id, event_id, value, event_type FROM ({_LAYERED})",
+    "kv_merge_orders": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 2 WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price
+        FROM orders WHERE NOT (o_orderkey % 11 = 0 AND o_orderkey % 5 = 0)""",
+    "kv_compact_sink": f"SELECT user_id, event_id, value FROM ({_LAYERED}) WHERE event_type <> 'error'",
+    "kv_level_assign": f"""SELECT o_orderkey, upto, CASE WHEN upto <= {BUDGETS[0]} THEN 0 WHEN upto <= {sum(BUDGETS)} THEN 1 ELSE 2 END AS level
+        FROM (SELECT o_orderkey, CAST(sum(bytes) OVER (ORDER BY o_orderkey) AS BIGINT) AS upto FROM ({_SIZED}))""",
+    "kv_block_index": _BLOCKS,
+    "kv_block_lookup": f"SELECT * FROM ({_BLOCKS}) WHERE 777 BETWEEN start_key AND end_key",
+    "kv_snapshot_as_of": _LIVE.replace("FROM events", "FROM events WHERE event_id <= 500"),
+    "kv_memtable_stats": f"SELECT count(*) AS entries, CAST(sum(10 + CASE WHEN event_type <> 'error' THEN strlen(event_type) ELSE 0 END) AS BIGINT) AS bytes FROM ({_LATEST})",
+    "kv_key_order": """SELECT hex(k) AS key_hex, CASE WHEN k < '15' THEN -1 WHEN k = '15' THEN 0 ELSE 1 END AS against_15, CAST(strlen(k) + 2 AS BIGINT) AS record_bytes
+        FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS k FROM events) ORDER BY key_hex""",
+    "kv_validate_mutations": """SELECT count(*) FILTER (user_id IS NULL) AS empty_keys, count(*) FILTER (strlen(CAST(user_id AS VARCHAR)) > 2) AS large_keys,
+        count(*) FILTER (props IS NULL OR props = '') AS empty_values, count(*) FILTER (strlen(props) > 9) AS large_values FROM events""",
+}
