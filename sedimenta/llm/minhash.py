@@ -10,7 +10,10 @@
    those prefixes are joined. Pairs that occur once take up prefix places but join with
    nothing, so a text without near copies seldom reaches the join at all.
 4. *Skip merge.* Candidates from the short lists are not merged through the long ones: the
-   collisions on the remaining coordinates are counted by probing both signatures.
+   collisions on the remaining coordinates are counted by probing. At first a posting carries a
+   sketch, two bits of each value: two equal values have equal bits, so members of a list that
+   share too few bits with every other can be dropped without loss. What is left is compared by
+   whole signatures.
 5. A posting list links its members to a few leaders instead of all to all. Links are
    only made at or above the threshold, and two members stay apart only after every pair
    across their groups has been compared, so the groups equal those of all pairs above the
@@ -88,24 +91,117 @@ def signatures(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame
     return docs.mapInArrow(run, "doc_id long, sig binary")
 
 
-def _explode_pairs(reps: DataFrame, k: int) -> DataFrame:
-    """(pair, rep): a row for each coordinate of each signature."""
+def _matrix(col: pa.Array, k: int) -> np.ndarray:
+    raw = b"".join(col.to_pylist())
+    return np.frombuffer(raw, np.uint32).reshape(-1, k)
+
+
+def sketch_of(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate as ``n x 2k`` packed bits: all first bits, then all second ones."""
+    return np.concatenate([np.packbits(sig & 1, axis=1), np.packbits(sig >> 1 & 1, axis=1)], axis=1)
+
+
+def sketch_matches(sketch: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """Coordinates on which both bits are equal: never fewer than the values that are."""
+    x = sketch ^ other
+    half = x.shape[1] // 2
+    return k - np.bitwise_count(x[:, :half] | x[:, half:]).sum(1, dtype=np.int64)
+
+
+def _sketches(reps: DataFrame, k: int) -> DataFrame:
+    """(rep, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sketch_of(_matrix(batch.column(1), k))], pa.binary())], ["rep", "sketch"])
+
+    return reps.mapInArrow(run, "rep long, sketch binary")
+
+
+def _shared_pairs(reps: DataFrame, k: int) -> DataFrame:
+    """(rep, rank): the pairs of each signature that another signature has too.
+
+    ``rank`` holds the frequency above the pair, so that sorting by it is the global order; a
+    frequency beyond ``2**25`` counts as that. Pairs are shuffled in columns, packed by bucket.
+    """
+    buckets = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 10_000):
+                part = batch.slice(at, 10_000)
                 m = _matrix(part.column(1), k)
-                pair = (np.arange(k, dtype=np.int64) << 32)[None, :] | m.astype(np.int64)
-                rep = np.repeat(part.column(0).to_numpy(zero_copy_only=False), k)
-                yield pa.RecordBatch.from_arrays([pa.array(pair.ravel()), pa.array(rep)], ["pair", "rep"])
+                rep = part.column(0).to_numpy(zero_copy_only=False)
+                order = np.argsort(rep, kind="stable")
+                rep, m = rep[order], m[order]
+                rows = []
+                for i in range(k):
+                    bucket = (V.mix(m[:, i].astype(np.uint64) + np.uint64(i << 32)) % np.uint64(buckets)).astype(np.int64)
+                    by = np.argsort(bucket, kind="stable")
+                    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                    for b in np.flatnonzero(np.diff(cuts)):
+                        x = by[cuts[b] : cuts[b + 1]]
+                        rows.append((int(b), i, m[x, i].tobytes(), V.planes(rep[x])))
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "coord", "value", "rep"])
+
+    def shared(t: pa.Table) -> pa.Table:
+        coord = t["coord"].to_numpy()
+        value = [np.frombuffer(x, np.uint32) for x in t["value"].to_pylist()]
+        rep = np.concatenate([V.unplanes(x) for x in t["rep"].to_pylist()])
+        pair = np.repeat(coord.astype(np.int64) << 32, [len(v) for v in value]) | np.concatenate(value).astype(np.int64)
+        _, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
+        freq = n[inverse]
+        keep = freq > 1
+        return pa.table({"rep": rep[keep], "rank": (np.minimum(freq[keep], (1 << 25) - 1) << 38) | pair[keep]})
+
+    return reps.mapInArrow(pack, "bucket int, coord int, value binary, rep binary").groupBy("bucket").applyInArrow(shared, "rep long, rank long")
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
+    """(pair, rep, payload, cuts) of whole posting lists from rows that lie in order of the pair."""
+    kept = None
+
+    def whole(t: pa.Table) -> tuple:
+        pair = t.column(0).to_numpy()
+        return pair, t.column(1).to_numpy(), t.column(2).to_pylist(), np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if kept is None else pa.concat_tables([kept, t])
+        pair = t.column(0).to_numpy()
+        last = int(np.searchsorted(pair, pair[-1]))
+        kept = t.slice(last)
+        if last:
+            yield whole(t.slice(0, last))
+    if kept is not None and kept.num_rows:
+        yield whole(kept)
 
-    return reps.mapInArrow(run, "pair long, rep long")
 
+def _prune(rows: DataFrame, k: int, t: int) -> DataFrame:
+    """(pair, rep): members that may match another of their list, from rows (pair, rep, sketch)."""
 
-def _matrix(col: pa.Array, k: int) -> np.ndarray:
-    raw = b"".join(col.to_pylist())
-    return np.frombuffer(raw, np.uint32).reshape(-1, k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, rep, payload, cuts in _lists(batches):
+            sk = np.frombuffer(b"".join(payload), np.uint8).reshape(len(pair), -1)
+            keep = np.zeros(len(pair), bool)
+            two = cuts[:-1][np.diff(cuts) == 2]
+            good = two[sketch_matches(sk[two], sk[two + 1], k) >= t]
+            keep[good] = keep[good + 1] = True
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi - lo < 3:
+                    continue
+                part, found = sk[lo:hi], keep[lo:hi]
+                for a in range(hi - lo):
+                    if not found[a]:
+                        near = sketch_matches(part, part[a : a + 1], k) >= t
+                        if near.sum() > 1:  # itself and another
+                            found |= near
+            yield pa.RecordBatch.from_arrays([pa.array(pair[keep]), pa.array(rep[keep])], ["pair", "rep"])
+
+    return rows.mapInArrow(run, "pair long, rep long")
 
 
 def link_members(sig: np.ndarray, t: int) -> list[tuple[int, int, int]]:
@@ -154,36 +250,11 @@ def _links_in_postings(rows: DataFrame, k: int, t: int) -> DataFrame:
     """(a, b, matches) from rows (pair, rep, sig) that lie together by pair, in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_pair, keep_rep, keep_sig = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, k), np.uint32)
-
-        def lists(pair: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True]) if len(pair) else np.zeros(1, int)
-            a: list[int] = []
-            b: list[int] = []
-            m: list[int] = []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi - lo == 2:
-                    same = int((sig[lo] == sig[lo + 1]).sum())
-                    found = [(0, 1, same)] if same >= t else []
-                else:
-                    found = link_members(sig[lo:hi], t) if hi - lo > 1 else []
-                for x, y, s in found:
-                    a.append(int(rep[lo + x]))
-                    b.append(int(rep[lo + y]))
-                    m.append(s)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32())], ["a", "b", "matches"])
-
-        for batch in batches:
-            pair = np.concatenate([keep_pair, batch.column(0).to_numpy(zero_copy_only=False)])
-            rep = np.concatenate([keep_rep, batch.column(1).to_numpy(zero_copy_only=False)])
-            sig = np.concatenate([keep_sig, _matrix(batch.column(2), k)])
-            if not len(pair):
-                continue
-            last = int(np.searchsorted(pair != pair[-1], False)) if (pair == pair[-1]).all() else int(np.flatnonzero(pair != pair[-1])[-1]) + 1
-            keep_pair, keep_rep, keep_sig = pair[last:], rep[last:], sig[last:]
-            if last:
-                yield lists(pair[:last], rep[:last], sig[:last])
-        yield lists(keep_pair, keep_rep, keep_sig)
+        for _, rep, payload, cuts in _lists(batches):
+            sig = np.frombuffer(b"".join(payload), np.uint32).reshape(-1, k)
+            found = [(int(rep[lo + x]), int(rep[lo + y]), m) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo > 1 for x, y, m in link_members(sig[lo:hi], t)]
+            a, b, m = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32())], ["a", "b", "matches"])
 
     return rows.mapInArrow(run, "a long, b long, matches int")
 
@@ -192,15 +263,15 @@ def near_links(sigs: DataFrame, k: int = K, t: int = THRESHOLD) -> tuple[DataFra
     """((doc_id, rep) of texts with an equal signature, (a, b, matches) between representatives)."""
     reps = cut(sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")).select("rep", "sig"))
     same = sigs.join(reps, "sig").where("doc_id <> rep").select("doc_id", "rep")
-    posted = _explode_pairs(reps, k)
-    freq = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("freq"), F.collect_list("rep").alias("reps")).where("freq > 1")
-    shared = freq.select("pair", "freq", F.explode("reps").alias("rep"))
-    # the prefix: k - t + 1 rarest pairs, of which k - size(all) occur once
-    lists = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("freq", "pair"))).alias("all"))
-    prefix = lists.select("rep", F.slice("all", 1, F.greatest(F.lit(0), F.size("all") - F.lit(t - 1))).alias("prefix")).where(F.size("prefix") > 0)
-    joined = prefix.join(reps, "rep").select(F.explode("prefix.pair").alias("pair"), "rep", "sig")
-    n = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = _links_in_postings(joined.repartition(n, "pair").sortWithinPartitions("pair", "rep"), k, t)
+    # the prefix: k - t + 1 rarest pairs, of which k - size(ranks) occur once
+    ranks = _shared_pairs(reps, k).groupBy("rep").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    prefix = ranks.where(F.size("ranks") >= t).select("rep", F.slice("ranks", F.lit(1), F.size("ranks") - F.lit(t - 1)).alias("prefix"))
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = prefix.join(_sketches(reps, k), "rep").select(F.explode("prefix").alias("rank"), "rep", "sketch")
+    pair = F.col("rank").bitwiseAND(F.lit((1 << 38) - 1)).alias("pair")
+    maybe = cut(_prune(posted.select(pair, "rep", "sketch").repartition(n, "pair").sortWithinPartitions("pair", "rep"), k, t))
+    joined = maybe.join(reps, "rep").select("pair", "rep", "sig").repartition(n, "pair").sortWithinPartitions("pair", "rep")
+    links = _links_in_postings(joined, k, t)
     return same, links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("matches").alias("matches"))
 
 
