@@ -97,8 +97,12 @@ class Code:
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        """``contexts x 256`` int8 logits of every node from ``contexts x 256`` byte counts."""
-        c = counts.astype(float)
+        """``contexts x 256`` int8 logits of every node from ``contexts x 256`` byte counts.
+
+        One occurrence of each byte in each context is left out, as it may be the scored text's own:
+        what only one text holds doesn't count as known.
+        """
+        c = np.maximum(counts - 1, 0).astype(float)
         n1, n = c @ self.ones.T, c @ self.all.T
         st = np.log((n1 + 0.4) / (n - n1 + 0.4))
         out = np.zeros((len(c), 256), np.int8)

@@ -210,7 +210,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, trusted: int = -1,
         w = np.stack([counts * (1 - post), counts * post], 1)
         n = np.einsum("nc,nmv->mcv", w, hot) + np.array([0.5 * silence, 0.5, 0.5])
         p = n / n.sum(2, keepdims=True)
-        prior = float(np.clip((w[:, 1].sum() + 1) / (counts.sum() + 2), 1e-4, 0.5))
+        prior = float(np.clip((w[:, 1].sum() + 1) / (counts.sum() + 10), 1e-4, 0.5))
     return post, p, prior
 
 
