@@ -28,6 +28,8 @@ from .common import cut, table, texts
 
 #: Documents of the training sample, of each stratum; hash buckets; share of ids whose annotation is used, in 100.
 SAMPLE, DIM, ANNOTATED = 4000, 1 << 18, 50
+#: Fewer words than this say nothing about quality.
+FEW = 5
 #: Probability of being bad from which a document is rejected.
 REJECT = 0.5
 #: Weight of a shape statistic against a word of a text of 100 features.
@@ -124,7 +126,7 @@ class Shapes:
 
     def votes(self) -> np.ndarray:
         """``n x 8`` votes of the heuristics, in the order of QUALITY and TOXIC without annotators."""
-        s, some = self.stat, self.total >= 5
+        s, some = self.stat, self.total >= FEW
 
         def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
             return np.where(~some, -1, np.where(bad, 1, np.where(good, 0, -1)))
@@ -265,14 +267,15 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
         rows = sorted(rows, key=lambda r: tuple(r[:-1]))
         p = np.array([tuple(r)[:-1] for r in rows], np.int8).reshape(-1, len(cols))
         c = np.array([r[-1] for r in rows], float)
+        said = (p >= 0).any(1)  # documents on which all abstain teach nothing
+        p, c = p[said], c[said]
         model[kind] = fit_label_model(p, c, silence=kind == "quality")
         post[kind] = spark.createDataFrame([(*map(int, x), float(y)) for x, y in zip(p, model[kind][0])], ", ".join(f"{x} int" for x in cols) + f", p_{kind} double")
     pq, pt = post["quality"], post["toxic"]
-    labelled = votes.join(F.broadcast(pq), q_cols).join(F.broadcast(pt), t_cols)  # at most 3 ** 7 rows each
+    labelled = votes.join(F.broadcast(pq), q_cols, "left").join(F.broadcast(pt), t_cols, "left")  # at most 3 ** 7 rows each
     h = F.xxhash64("doc_id", F.lit(3))
-    # where every labeller of toxicity abstains there is no target
-    target_t = F.when(F.greatest("v6", "v7", "at") >= 0, F.col("p_toxic")).otherwise(-1.0)
-    rows = labelled.select("doc_id", h.alias("h"), F.col("p_quality").alias("tq"), target_t.alias("tt"))
+    # where every labeller of a kind abstains there is no target
+    rows = labelled.select("doc_id", h.alias("h"), F.coalesce("p_quality", F.lit(-1.0)).alias("tq"), F.coalesce("p_toxic", F.lit(-1.0)).alias("tt"))
     chosen = rows.orderBy("h").limit(sample)
     for cond in ("tq > 0.5", "tt > 0.5", "tt between 0 and 0.5"):
         chosen = chosen.union(rows.where(cond).orderBy("h").limit(sample))
@@ -288,6 +291,10 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
                 lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (f.astype(np.int32), x.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *lists], ["doc_id", "tq", "tt", "f", "x"])
 
+    # with nothing to learn from, nothing is rejected
+    none = np.zeros(DIM + 1, np.float32)
+    none[DIM] = -10
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("tq", pa.float64()), ("tt", pa.float64()), ("f", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))])).sort_by("doc_id").combine_chunks()
         out = []
@@ -296,14 +303,12 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
             y = part[name].to_numpy()
             size = pc.list_value_length(part["f"]).to_numpy()
             f, x = (pc.list_flatten(part[c]).to_numpy() for c in ("f", "x"))
-            w = train_scorer(np.repeat(np.arange(len(y)), size), f, x, y) if len(y) else np.zeros(DIM + 1, np.float32)
+            w = train_scorer(np.repeat(np.arange(len(y)), size), f, x, y) if len(y) else none
             out.append(w.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(out, pa.binary())], ["head", "w"])
 
     rows = picked.mapInArrow(features, "doc_id long, tq double, tt double, f array<int>, x array<float>").repartition(1).mapInArrow(train, "head long, w binary").collect()
     w = {r.head: np.frombuffer(r.w, np.float32) for r in rows}
-    none = np.zeros(DIM + 1, np.float32)
-    none[DIM] = -10
     return [w.get(0, none), w.get(1, none)], model
 
 
@@ -311,7 +316,7 @@ def classify(docs: DataFrame, weights: list[np.ndarray], id_col: str = "doc_id",
     """(doc_id, p_bad, p_toxic, keep) for every row, in whatever order.
 
     A row without text, or with a text without words, has nothing to be judged by: null
-    probabilities, and it is kept. Repeated rows and rows without id have a row each.
+    probabilities, and it is kept. A text of fewer than ``FEW`` words has no ``p_bad``. Repeated rows and rows without id have a row each.
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -320,9 +325,9 @@ def classify(docs: DataFrame, weights: list[np.ndarray], id_col: str = "doc_id",
             for part in V.slices(batch):
                 s = Shapes(part.column(1))
                 q, t = score(s, weights)
-                blank = s.total == 0
-                keep = blank | ((q < reject) & (t < reject))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(q, mask=blank), pa.array(t, mask=blank), pa.array(keep)], ["doc_id", "p_bad", "p_toxic", "keep"])
+                blank, few = s.total == 0, s.total < FEW
+                keep = (few | (q < reject)) & (blank | (t < reject))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(q, mask=few), pa.array(t, mask=blank), pa.array(keep)], ["doc_id", "p_bad", "p_toxic", "keep"])
 
     return d.mapInArrow(run, "doc_id long, p_bad double, p_toxic double, keep boolean")
 
@@ -347,6 +352,6 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
             for part in V.slices(batch, batch.schema.names[text]):
                 s = Shapes(part.column(text).cast(pa.large_string()))
                 q, t = score(s, weights)
-                yield part.filter(pa.array((s.total == 0) | ((q < REJECT) & (t < REJECT))))
+                yield part.filter(pa.array(((s.total < FEW) | (q < REJECT)) & ((s.total == 0) | (t < REJECT))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -121,7 +121,7 @@ def test_quality_on_held_out_labels(spark):
         labels.append((i, int(not bad), int(toxic)))
     docs = frame(spark, rows)
     lab = spark.createDataFrame(labels + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.quality(docs, lab, sample=600).collect()}
+    got = {r.doc_id: r for r in quality.quality(docs, lab).collect()}
     from pyspark.sql import functions as F
 
     seen = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < quality.ANNOTATED).select("doc_id").collect()}
@@ -138,7 +138,7 @@ def test_quality_odd_rows(spark):
         weights, _ = quality.fit(docs, labels)
         got = quality.classify(docs, weights).collect()
         assert len(got) == len(ODD) and all(r.keep for r in got)
-        assert sum(r.p_bad is None for r in got) == 4
+        assert sum(r.p_toxic is None for r in got) == 4 and all(r.p_bad is None for r in got)
     weights, _ = quality.fit(frame(spark, []), None)
     assert quality.classify(frame(spark, []), weights).count() == 0
 
