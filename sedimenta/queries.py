@@ -7,6 +7,7 @@ updates on top of it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from .functions.bytes import bloom_places, compare, ordered_text, record_length
 from .operators import blocks, bloom
 from .operators import merge as m
+from .options import Level, Options, Sink
+from .sources.folders import shared
+from .store import Table
 
 #: Byte budgets of the levels in the level queries; the rest goes to the sink.
 BUDGETS = [20_000, 200_000]
@@ -131,6 +135,25 @@ def _orders_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("bytes", record_length(F.col("o_orderkey").cast("string"), F.col("o_orderpriority")))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> Table:
+    """The layers as three commits of a table with two small levels above the sink."""
+    small = (Level(run_size=1_000, max_runs=1), Level(run_size=3_000, max_runs=1))
+    t = Table(spark, Options(f"{shared(spark)}/table-{uuid.uuid4().hex}", small, Sink()))
+    key, value = F.encode(F.lpad(F.col("user_id").cast("string"), 10, "0"), "UTF-8"), F.encode(F.col("value").cast("string"), "UTF-8")
+    for layer in reversed(layers(spark, sf_dir)):
+        t.apply(layer.select(key.alias("key"), F.when(~dead(), value).alias("value"), F.col("event_id").alias("seq")))
+    return t
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(F.col("key").cast("string").cast("long").alias("user_id"), F.col("value").cast("string").cast("double").alias("value"))
+
+
+def kv_store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same view through commits, compaction and snapshots."""
+    return _shown(_stored(spark, sf_dir).scan())
+
+
 def kv_level_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which level each order falls into, by the running bytes of all before it in key order."""
     out = blocks.running_bytes(_orders_sized(spark, sf_dir), "o_orderkey", F.col("bytes"))
@@ -191,7 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_upsert_latest": kv_upsert_latest,
     "kv_upsert_latest_value": kv_upsert_latest_value,
     "kv_delete_visible": kv_delete_visible,
-    "kv_get_hit": _get(8),
+    "kv_get_hit": _get(7),
     "kv_get_missing": _get(-1),
     "kv_get_deleted": kv_get_deleted,
     "kv_multi_get": kv_multi_get,
@@ -202,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_merge_keep_tombstones": kv_merge_keep_tombstones,
     "kv_merge_orders": kv_merge_orders,
     "kv_compact_sink": kv_compact_sink,
+    "kv_store_scan": kv_store_scan,
     "kv_level_assign": kv_level_assign,
     "kv_block_index": kv_block_index,
     "kv_block_lookup": kv_block_lookup,
@@ -223,7 +247,7 @@ ORACLE_SQL: dict[str, str] = {
     "kv_upsert_latest": f"SELECT user_id, event_id, value, event_type FROM ({_LATEST})",
     "kv_upsert_latest_value": f"SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS live FROM ({_LATEST})",
     "kv_delete_visible": _LIVE,
-    "kv_get_hit": f"SELECT * FROM ({_LIVE}) WHERE user_id = 8",
+    "kv_get_hit": f"SELECT * FROM ({_LIVE}) WHERE user_id = 7",
     "kv_get_missing": f"SELECT * FROM ({_LIVE}) WHERE user_id = -1",
     "kv_get_deleted": f"SELECT * FROM ({_LIVE}) WHERE user_id IN (SELECT user_id FROM ({_LATEST}) WHERE event_type = 'error')",
     "kv_multi_get": f"SELECT * FROM ({_LIVE}) WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3)",
@@ -235,6 +259,7 @@ ORACLE_SQL: dict[str, str] = {
     "kv_merge_orders": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 2 WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price
         FROM orders WHERE NOT (o_orderkey % 11 = 0 AND o_orderkey % 5 = 0)""",
     "kv_compact_sink": f"SELECT user_id, event_id, value FROM ({_LAYERED}) WHERE event_type <> 'error'",
+    "kv_store_scan": f"SELECT user_id, value FROM ({_LAYERED}) WHERE event_type <> 'error'",
     "kv_level_assign": f"""SELECT o_orderkey, upto, CASE WHEN upto <= {BUDGETS[0]} THEN 0 WHEN upto <= {sum(BUDGETS)} THEN 1 ELSE 2 END AS level
         FROM (SELECT o_orderkey, CAST(sum(bytes) OVER (ORDER BY o_orderkey) AS BIGINT) AS upto FROM ({_SIZED}))""",
     "kv_block_index": _BLOCKS,
