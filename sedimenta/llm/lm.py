@@ -32,9 +32,9 @@ from .common import cut, table, texts
 
 #: Context slots of orders 1, 2 and 3; each holds the counts of 256 bytes.
 SLOTS = (256, 1 << 13, 1 << 14)
-LANE, GROUP, BLOCK_SLOTS = 4608, 1280, 64
+LANE, GROUP, BLOCK_SLOTS = 4608, 1536, 64
 #: Bytes of text whose lanes are dealt into groups together.
-CHUNK = 5 << 20
+CHUNK = 6 << 20
 #: Slots of what a lane learns itself; sets of weights; cells of the adaptive map for each set.
 OWN, GATES, CELLS = 1 << 11, 16, 24
 RATE, OWN_RATE, MAP_RATE, START = 0.02, 0.5, 0.02, 0.35
@@ -151,9 +151,10 @@ class Model:
             out += np.bincount(owner[g], cost, n)
         return out
 
-    def _lanes(self, raw, slots, prev, begin, end, bits) -> np.ndarray:
-        """Bits of some lanes that advance together; the loop is over bits, each step over all lanes."""
-        code, n, steps = self.code, len(begin), int(bits.max())
+    def _inputs(self, raw, slots, prev, begin, end, bits, steps) -> tuple[np.ndarray, np.ndarray]:
+        """Step by lane: the corpus logits of every bit, four bytes in one number; and what the lane
+        learns, the set of weights and the bit itself in another of 11, 4 and 1 bits."""
+        code = self.code
         nbytes = end - begin
         at = np.arange(nbytes.sum()) + np.repeat(begin - (np.cumsum(nbytes) - nbytes), nbytes)
         byte = raw[at]
@@ -169,18 +170,24 @@ class Model:
         own = (np.repeat((slots[1][at] * 256).astype(np.uint32), size) + node.astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(32 - OWN.bit_length() + 1)
         gate = self.gate_of[node] + np.repeat((8 * _LETTER[prev[at]]).astype(np.int32), size)
         live = np.arange(steps) < bits[:, None]
-
-        def by_step(values: np.ndarray) -> np.ndarray:
-            m = np.zeros((n, steps), values.dtype)
+        out = []
+        for values in (x4.view(np.uint32).ravel(), (own << np.uint32(5) | gate.astype(np.uint32) << np.uint32(1) | code.bit[src]).astype(np.uint16)):
+            m = np.zeros(live.shape, values.dtype)
             m[live] = values
-            return np.ascontiguousarray(m.T)
+            out.append(m.T)
+        return out[0], out[1]
 
-        X = by_step(x4.view(np.uint32).ravel()).view(np.int8).reshape(steps, n, 4)
-        # what the lane learns, the set of weights and the bit in one number: 11, 4 and 1 bits
-        S = by_step((own << np.uint32(5) | gate.astype(np.uint32) << np.uint32(1) | code.bit[src]).astype(np.uint16))
-        del x4, own, gate, src, node, live
+    def _lanes(self, raw, slots, prev, begin, end, bits) -> np.ndarray:
+        """Bits of some lanes that advance together; the loop is over bits, each step over all lanes."""
+        n, steps = len(begin), int(bits.max())
+        X, S = np.empty((steps, n), np.uint32), np.empty((steps, n), np.uint16)
+        for lo in range(0, n, 128):  # few enough that what is made on the way stays in the cache
+            g = slice(lo, lo + 128)
+            X[:, g], S[:, g] = self._inputs(raw, slots, prev, begin[g], end[g], bits[g], steps)
+        X = X.view(np.int8).reshape(steps, n, 4)
         lane = np.arange(n)
-        W = np.full((n * GATES, 4), START, np.float32)
+        # weights are kept in units of RATE and what a lane learns in units of OWN_RATE: updates add plain errors
+        W = np.full((n * GATES, 4), START / RATE, np.float32)
         Wc = W.view(np.complex128).ravel()  # a set of four weights moves as one item
         A = np.zeros(n * OWN, np.float32)
         R = np.tile(_CENTRE, n * GATES)
@@ -190,9 +197,9 @@ class Model:
         w = np.empty(n, np.complex128)
         w4 = w.view(np.float32).reshape(n, 4)
         cell = np.empty(n, np.int64)
-        scale, one, half = np.float32(1 / SCALE), np.float32(1), np.float32(0.5)
-        rate, own_rate, map_rate = np.float32(RATE), np.float32(OWN_RATE), np.float32(MAP_RATE)
-        steep, middle, top = np.float32(1.5), np.float32(CELLS / 2), np.float32(CELLS - 1)
+        scale, one, back, own_rate = np.float32(1 / SCALE), np.float32(1), np.float32(-RATE), np.float32(OWN_RATE)
+        steep, middle, top = np.float32(1.5 * RATE), np.float32(CELLS / 2), np.float32(CELLS - 1)
+        keep = np.float32(1 - MAP_RATE)
         with np.errstate(over="ignore"):
             for s0 in range(0, steps, 32):
                 some = S[s0 : s0 + 32]
@@ -200,25 +207,23 @@ class Model:
                 owns = (some >> 5) + lane * OWN
                 cells = gates * CELLS
                 ones = (some & 1).astype(np.float32)
-                zeros = ones - one
+                learned = ones * np.float32(MAP_RATE)
                 xs = X[s0 : s0 + 32] * scale
                 for j in range(len(some)):
                     gi, ai, x = gates[j], owns[j], xs[j]
                     np.take(A, ai, out=a, mode="clip")
-                    x[:, 3] = a
+                    np.multiply(a, own_rate, out=x[:, 3])
                     np.take(Wc, gi, out=w, mode="clip")
                     dot = np.einsum("nk,nk->n", w4, x)
-                    np.negative(dot, out=p)
+                    np.multiply(dot, back, out=p)
                     np.exp(p, out=p)
                     p += one
                     np.reciprocal(p, out=p)
                     np.subtract(ones[j], p, out=e)
                     # weights, and what the lane learns itself
-                    np.multiply(e, rate, out=r)
-                    np.multiply(x, r[:, None], out=e4)
+                    np.multiply(x, e[:, None], out=e4)
                     w4 += e4
                     Wc[gi] = w
-                    e *= own_rate
                     a += e
                     A[ai] = a
                     # refinement
@@ -229,13 +234,13 @@ class Model:
                     np.copyto(cell, dot, casting="unsafe")
                     cell += cells[j]
                     np.take(R, cell, out=r, mode="clip")
-                    p += r
-                    p *= half
-                    np.subtract(ones[j], r, out=e)
-                    e *= map_rate
-                    r += e
+                    np.add(p, r, out=Q[s0 + j])
+                    r *= keep
+                    r += learned[j]
                     R[cell] = r
-                    np.add(zeros[j], p, out=Q[s0 + j])  # up to its sign the probability of the bit that came
+        # the mean of both probabilities, of the bit that came
+        Q *= np.float32(0.5)
+        Q -= (S & 1) ^ 1
         np.abs(Q, out=Q)
         np.maximum(Q, np.float32(1e-5), out=Q)
         np.log2(Q, out=Q)
@@ -250,7 +255,7 @@ def counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(total * 256, np.uint32)
         for batch in batches:
-            for part in V.slices(batch):
+            for part in V.slices(batch, limit=CHUNK):
                 raw, off = V.buffer_of(V.as_string_array(part.column(1)))
                 for o, s in enumerate(context_slots(raw, off)):
                     lo, hi = _BASE[o] * 256, _BASE[o + 1] * 256
