@@ -10,9 +10,10 @@ The logits are combined by weights, which a gate chooses among several sets (dep
 kind of the last byte) and which are corrected after each bit. An adaptive map refines the mixed
 probability. The sum of the bits' costs, divided by the bytes, is the score.
 
-Texts are cut into lanes of ``LANE`` bits of the code. A lane starts with the contexts of the bytes before it,
-but with fresh weights; lanes don't depend on each other, so thousands advance together, bit by
-bit, in numpy arrays, and the result doesn't depend on how they are grouped.
+A lane is a whole text, so weights, learned odds and the adaptive map are carried from its first
+bit to its last. Lanes don't depend on each other: thousands advance together, bit by bit, in numpy
+arrays, the longest first, and the last ``NARROW`` go on one by one in plain Python. How they are
+grouped changes a result by rounding only.
 
 The tables have a fixed size (``SLOTS``), whatever the corpus; the counts in them cover all of it.
 """
@@ -20,6 +21,7 @@ The tables have a fixed size (``SLOTS``), whatever the corpus; the counts in the
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +34,13 @@ from .common import cut, table, texts
 
 #: Context slots of orders 1, 2 and 3; each holds the counts of 256 bytes.
 SLOTS = (256, 1 << 13, 1 << 14)
-LANE, GROUP, BLOCK_SLOTS = 4608, 1536, 64
-#: Bytes of text whose lanes are dealt into groups together.
-CHUNK = 6 << 20
+#: Bits of the code after which a lane would start anew: none, a lane is a whole text.
+LANE = np.iinfo(np.int64).max
+#: Lanes that advance together, bits of each that are laid out at once, and lanes too few for numpy.
+GROUP, STEPS, NARROW = 8192, 512, 24
+BLOCK_SLOTS = 64
+#: Bytes of text that are counted at once, and whose lanes are dealt into groups together.
+CHUNK, SCORED = 6 << 20, 12 << 20
 #: Slots of what a lane learns itself; sets of weights; cells of the adaptive map for each set.
 OWN, GATES, CELLS = 1 << 11, 16, 24
 RATE, OWN_RATE, MAP_RATE, START = 0.02, 0.5, 0.02, 0.35
@@ -54,6 +60,11 @@ def context_slots(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         b[k:] = raw[:-k] if k < n else 0
         b[since < k] = 0
         back.append(b)
+    return hashed_slots(back)
+
+
+def hashed_slots(back: list[np.ndarray]) -> list[np.ndarray]:
+    """Slot of the contexts whose last, last but one and earlier bytes are given."""
     two = back[0] | back[1] << np.uint32(8)
     three = two | back[2] << np.uint32(16)
     hashed = lambda x, size: ((x * np.uint32(0x9E3779B1)) >> np.uint32(32 - int(size).bit_length() + 1)).astype(np.int32)
@@ -110,17 +121,6 @@ class Code:
         return out
 
 
-def lane_starts(code: Code, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """First byte of every lane: a text's lane ends when it has taken ``LANE`` bits of the code."""
-    upto = np.r_[0, np.cumsum(code.size[raw])][:-1]
-    since = upto - np.repeat(upto[off[:-1][np.diff(off) > 0]], np.diff(off)[np.diff(off) > 0])
-    number = since // LANE
-    new = np.ones(len(raw), bool)
-    new[1:] = number[1:] != number[:-1]
-    new[off[:-1][np.diff(off) > 0]] = True
-    return np.flatnonzero(new)
-
-
 class Model:
     """The code and the logits of all contexts."""
 
@@ -134,42 +134,43 @@ class Model:
         out = np.zeros(n)
         if not len(raw):
             return out
-        code = self.code
-        begin = lane_starts(code, raw, off)
-        end = np.append(begin[1:], len(raw))
-        owner = np.searchsorted(off, begin, "right") - 1
-        upto = np.r_[0, np.cumsum(code.size[raw])]
-        bits = upto[end] - upto[begin]
-        slots = context_slots(raw, off)
-        prev = np.zeros(len(raw), np.uint8)
-        prev[1:] = raw[:-1]
-        prev[off[:-1][np.diff(off) > 0]] = 0
-        order = np.argsort(bits, kind="stable")
+        upto = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(self.code.size[raw], out=upto[1:])
+        bits = upto[off[1:]] - upto[off[:-1]]
+        order = np.argsort(-bits, kind="stable")[: np.count_nonzero(bits)]
         for lo in range(0, len(order), GROUP):
             g = order[lo : lo + GROUP]
-            cost = self._lanes(raw, slots, prev, begin[g], end[g], bits[g])
-            out += np.bincount(owner[g], cost, n)
+            out[g] = self._lanes(raw, upto, off[g], bits[g])
         return out
 
-    def _inputs(self, raw, slots, prev, begin, end, bits, steps) -> tuple[np.ndarray, np.ndarray]:
-        """Step by lane: the corpus logits of every bit, four bytes in one number; and what the lane
-        learns, the set of weights and the bit itself in another of 11, 4 and 1 bits."""
+    def _inputs(self, raw, upto, begin, lo, hi, steps) -> tuple[np.ndarray, np.ndarray]:
+        """Step by lane, for the bits ``lo`` to ``hi`` of each lane: the corpus logits of every bit, four bytes
+        in one number; and what the lane learns, the set of weights and the bit itself in another of 11, 4 and 1 bits."""
         code = self.code
-        nbytes = end - begin
-        at = np.arange(nbytes.sum()) + np.repeat(begin - (np.cumsum(nbytes) - nbytes), nbytes)
+        first = np.searchsorted(upto, lo, "right") - 1
+        nbytes = np.searchsorted(upto, hi, "left") - first
+        head = np.cumsum(nbytes) - nbytes
+        at = np.arange(nbytes.sum()) + np.repeat(first - head, nbytes)
         byte = raw[at]
-        size = code.size[byte]
+        # the first and the last byte of a lane may be in this part with some of their bits only
+        size, skip = code.size[byte], np.zeros(len(at), np.int64)
+        skip[head] = lo - upto[first]
+        size -= skip
+        size[head + nbytes - 1] -= upto[first + nbytes] - hi
+        since = at - np.repeat(begin, nbytes)
+        back = [np.where(since >= k, raw[at - k], 0).astype(np.uint32) for k in (1, 2, 3)]
+        slots = hashed_slots(back)
         stop = np.cumsum(size)
-        src = np.repeat((code.first[byte] - (stop - size)).astype(np.int32), size)
+        src = np.repeat((code.first[byte] + skip - (stop - size)).astype(np.int32), size)
         src += np.arange(len(src), dtype=np.int32)
         node = code.node[src].astype(np.int32)
         x4 = np.zeros((len(src), 4), np.int8)
         for o in range(3):
-            base = ((_BASE[o] + slots[o][at]) * 256).astype(np.int32)
+            base = ((_BASE[o] + slots[o]) * 256).astype(np.int32)
             x4[:, o] = self.logits[np.repeat(base, size) + node]
-        own = (np.repeat((slots[1][at] * 256).astype(np.uint32), size) + node.astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(32 - OWN.bit_length() + 1)
-        gate = self.gate_of[node] + np.repeat((8 * _LETTER[prev[at]]).astype(np.int32), size)
-        live = np.arange(steps) < bits[:, None]
+        own = (np.repeat((slots[1] * 256).astype(np.uint32), size) + node.astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(32 - OWN.bit_length() + 1)
+        gate = self.gate_of[node] + np.repeat((8 * _LETTER[back[0]]).astype(np.int32), size)
+        live = np.arange(steps) < (hi - lo)[:, None]
         out = []
         for values in (x4.view(np.uint32).ravel(), (own << np.uint32(5) | gate.astype(np.uint32) << np.uint32(1) | code.bit[src]).astype(np.uint16)):
             m = np.zeros(live.shape, values.dtype)
@@ -177,75 +178,115 @@ class Model:
             out.append(m.T)
         return out[0], out[1]
 
-    def _lanes(self, raw, slots, prev, begin, end, bits) -> np.ndarray:
-        """Bits of some lanes that advance together; the loop is over bits, each step over all lanes."""
-        n, steps = len(begin), int(bits.max())
-        X, S = np.empty((steps, n), np.uint32), np.empty((steps, n), np.uint16)
-        for lo in range(0, n, 128):  # few enough that what is made on the way stays in the cache
-            g = slice(lo, lo + 128)
-            X[:, g], S[:, g] = self._inputs(raw, slots, prev, begin[g], end[g], bits[g], steps)
-        X = X.view(np.int8).reshape(steps, n, 4)
-        lane = np.arange(n)
+    def _lanes(self, raw, upto, begin, bits) -> np.ndarray:
+        """Bits of some lanes, the longest first, that advance together; the loop is over bits, each step
+        over all lanes that haven't ended."""
+        n = len(begin)
+        total = np.zeros(n)
         # weights are kept in units of RATE and what a lane learns in units of OWN_RATE: updates add plain errors
         W = np.full((n * GATES, 4), START / RATE, np.float32)
         Wc = W.view(np.complex128).ravel()  # a set of four weights moves as one item
         A = np.zeros(n * OWN, np.float32)
         R = np.tile(_CENTRE, n * GATES)
-        Q = np.empty((steps, n), np.float32)
-        e4 = np.empty((n, 4), np.float32)
-        a, p, e, r = (np.empty(n, np.float32) for _ in range(4))
-        w = np.empty(n, np.complex128)
-        w4 = w.view(np.float32).reshape(n, 4)
-        cell = np.empty(n, np.int64)
         scale, one, back, own_rate = np.float32(1 / SCALE), np.float32(1), np.float32(-RATE), np.float32(OWN_RATE)
         steep, middle, top = np.float32(1.5 * RATE), np.float32(CELLS / 2), np.float32(CELLS - 1)
         keep = np.float32(1 - MAP_RATE)
-        with np.errstate(over="ignore"):
+        zero, at = upto[begin], 0
+        while (n := int(np.count_nonzero(bits > at))) > NARROW:
+            steps = int(min(STEPS, bits[0] - at))
+            lo, hi = zero[:n] + at, zero[:n] + np.minimum(bits[:n], at + steps)
+            X, S = np.empty((steps, n), np.uint32), np.empty((steps, n), np.uint16)
+            for g0 in range(0, n, 128):  # few enough that what is made on the way stays in the cache
+                g = slice(g0, min(n, g0 + 128))
+                X[:, g], S[:, g] = self._inputs(raw, upto, begin[g], lo[g], hi[g], steps)
+            X = X.view(np.int8).reshape(steps, n, 4)
+            Q = np.ones((steps, n), np.float32)
             for s0 in range(0, steps, 32):
-                some = S[s0 : s0 + 32]
+                m = int(np.count_nonzero(bits[:n] > at + s0))
+                lane = np.arange(m)
+                e4 = np.empty((m, 4), np.float32)
+                a, p, e, r = (np.empty(m, np.float32) for _ in range(4))
+                w = np.empty(m, np.complex128)
+                w4 = w.view(np.float32).reshape(m, 4)
+                cell = np.empty(m, np.int64)
+                some = S[s0 : s0 + 32, :m]
                 gates = (some >> 1 & 15) + lane * GATES
                 owns = (some >> 5) + lane * OWN
                 cells = gates * CELLS
                 ones = (some & 1).astype(np.float32)
                 learned = ones * np.float32(MAP_RATE)
-                xs = X[s0 : s0 + 32] * scale
-                for j in range(len(some)):
-                    gi, ai, x = gates[j], owns[j], xs[j]
-                    np.take(A, ai, out=a, mode="clip")
-                    np.multiply(a, own_rate, out=x[:, 3])
-                    np.take(Wc, gi, out=w, mode="clip")
-                    dot = np.einsum("nk,nk->n", w4, x)
-                    np.multiply(dot, back, out=p)
-                    np.exp(p, out=p)
-                    p += one
-                    np.reciprocal(p, out=p)
-                    np.subtract(ones[j], p, out=e)
-                    # weights, and what the lane learns itself
-                    np.multiply(x, e[:, None], out=e4)
-                    w4 += e4
-                    Wc[gi] = w
-                    a += e
-                    A[ai] = a
-                    # refinement
-                    dot *= steep
-                    dot += middle
-                    np.maximum(dot, 0, out=dot)
-                    np.minimum(dot, top, out=dot)
-                    np.copyto(cell, dot, casting="unsafe")
-                    cell += cells[j]
-                    np.take(R, cell, out=r, mode="clip")
-                    np.add(p, r, out=Q[s0 + j])
-                    r *= keep
-                    r += learned[j]
-                    R[cell] = r
-        # the mean of both probabilities, of the bit that came
-        Q *= np.float32(0.5)
-        Q -= (S & 1) ^ 1
-        np.abs(Q, out=Q)
-        np.maximum(Q, np.float32(1e-5), out=Q)
-        np.log2(Q, out=Q)
-        Q *= np.arange(steps)[:, None] < bits
-        return -Q.sum(0, dtype=np.float64)
+                xs = X[s0 : s0 + 32, :m] * scale
+                with np.errstate(over="ignore"):
+                    for j in range(len(some)):
+                        gi, ai, x = gates[j], owns[j], xs[j]
+                        np.take(A, ai, out=a, mode="clip")
+                        np.multiply(a, own_rate, out=x[:, 3])
+                        np.take(Wc, gi, out=w, mode="clip")
+                        dot = np.einsum("nk,nk->n", w4, x)
+                        np.multiply(dot, back, out=p)
+                        np.exp(p, out=p)
+                        p += one
+                        np.reciprocal(p, out=p)
+                        np.subtract(ones[j], p, out=e)
+                        # weights, and what the lane learns itself
+                        np.multiply(x, e[:, None], out=e4)
+                        w4 += e4
+                        Wc[gi] = w
+                        a += e
+                        A[ai] = a
+                        # refinement
+                        dot *= steep
+                        dot += middle
+                        np.maximum(dot, 0, out=dot)
+                        np.minimum(dot, top, out=dot)
+                        np.copyto(cell, dot, casting="unsafe")
+                        cell += cells[j]
+                        np.take(R, cell, out=r, mode="clip")
+                        np.add(p, r, out=Q[s0 + j, :m])
+                        r *= keep
+                        r += learned[j]
+                        R[cell] = r
+            # the mean of both probabilities, of the bit that came
+            Q *= np.float32(0.5)
+            Q -= (S & 1) ^ 1
+            np.abs(Q, out=Q)
+            np.maximum(Q, np.float32(1e-5), out=Q)
+            np.log2(Q, out=Q)
+            Q *= np.arange(at, at + steps)[:, None] < bits[:n]
+            total[:n] -= Q.sum(0, dtype=np.float64)
+            at += steps
+        for k in range(n):
+            state = W[k * GATES : (k + 1) * GATES].tolist(), A[k * OWN : (k + 1) * OWN].tolist(), R[k * GATES * CELLS : (k + 1) * GATES * CELLS].tolist()
+            for lo in range(at, int(bits[k]), 1 << 16):
+                hi = min(int(bits[k]), lo + (1 << 16))
+                X, S = self._inputs(raw, upto, begin[k : k + 1], zero[k : k + 1] + lo, zero[k : k + 1] + hi, hi - lo)
+                total[k] += _one(X, S, *state)
+        return total
+
+
+def _one(X: np.ndarray, S: np.ndarray, W: list[list[float]], A: list[float], R: list[float]) -> float:
+    """Bits of one lane, whose weights, learned odds and map are changed in place."""
+    xs = (np.ascontiguousarray(X[:, 0]).view(np.int8).reshape(-1, 4)[:, :3] / SCALE).T.tolist()
+    s = S[:, 0]
+    exp, prob, map_keep = math.exp, [], 1 - MAP_RATE
+    for x0, x1, x2, own, gate, bit in zip(*xs, (s >> 5).tolist(), (s >> 1 & 15).tolist(), (s & 1).tolist()):
+        w, a = W[gate], A[own]
+        x3 = a * OWN_RATE
+        dot = (w[0] * x0 + w[1] * x1 + w[2] * x2 + w[3] * x3) * RATE
+        p = 1 / (1 + exp(-dot)) if dot > -80 else 0.0
+        e = bit - p
+        w[0] += e * x0
+        w[1] += e * x1
+        w[2] += e * x2
+        w[3] += e * x3
+        A[own] = a + e
+        c = dot * 1.5 + CELLS / 2
+        cell = gate * CELLS + (0 if c < 0 else int(c) if c < CELLS - 1 else CELLS - 1)
+        r = R[cell]
+        q = (p + r) / 2
+        prob.append(q if bit else 1 - q)
+        R[cell] = r * map_keep + bit * MAP_RATE
+    return float(-np.log2(np.maximum(prob, 1e-5)).sum())
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -304,7 +345,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
-            for part in V.slices(batch, limit=CHUNK):
+            for part in V.slices(batch, limit=SCORED):
                 text = V.as_string_array(part.column(1))
                 raw, off = V.buffer_of(text)
                 bits, size = m.score(raw, off), np.diff(off)

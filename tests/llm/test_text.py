@@ -332,6 +332,22 @@ def test_lm_equals_a_plain_version_and_tells_text_from_noise(spark):
     assert lm.score_corpus(frame(spark, [])).count() == 0
 
 
+def test_lm_learns_through_a_whole_text():
+    rng = random.Random(11)
+    code = lm.Code(np.arange(256) ** 2)
+    model = lm.Model(code, np.zeros((int(lm._BASE[-1]), 256), np.int8))
+    passage = bytes(rng.choice(b"etaoinshrdlu ") for _ in range(700))
+    texts = [passage * k for k in (1, 4)] + [bytes(rng.choice(b"abc de") for _ in range(rng.randrange(1, 300))) for _ in range(20)]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    got = model.score(raw, off)
+    for t, bits in zip(texts, got):  # side by side in numpy, then one by one
+        want = slow_score(model, t, 0, len(t), 0)
+        assert abs(bits - want) < 0.001 * want + 0.1
+    # what the first passage teaches is still known in the last
+    assert got[1] < 0.95 * 4 * got[0]
+    assert abs(model.score(raw[: off[2]], off[:3])[1] - got[1]) < 0.001 * got[1]
+
+
 def test_lm_code_is_a_prefix_code():
     c = lm.Code(np.arange(256) ** 2)
     assert abs(sum(2.0 ** -int(s) for s in c.size) - 1) < 1e-9 and len(c.node) == len(c.bit) == c.first[-1]
