@@ -16,6 +16,7 @@ arrays, the longest first, and the last ``NARROW`` go on one by one in plain Pyt
 grouped changes a result by rounding only.
 
 The tables have a fixed size (``SLOTS``), whatever the corpus; the counts in them cover all of it.
+So different contexts add up in a slot, and none is longer than three bytes: see the README.
 """
 
 from __future__ import annotations
