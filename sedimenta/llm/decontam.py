@@ -4,7 +4,8 @@ A mask of fixed shape selects some of the words of a window and ignores the othe
 window whose ignored words were replaced still has the same hash. Every window of every
 document is hashed under every mask and joined with the windows of the benchmark; each hit
 gives a diagonal, on which document and item are compared word by word. The best stretch of
-the diagonal (matches weighed against substitutions) decides.
+the diagonal (matches weighed against substitutions) is reported, or if it is too loose or
+short, another one that isn't.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ class Benchmark:
         return dict(zip(("text", "item", "start", "words", "matches"), cols))
 
     def _stretch(self, w: V.Words, d: np.ndarray, min_match: int, min_share: float) -> tuple[np.ndarray, ...]:
-        """Best stretch of each diagonal (text, item, word of the document under the item's first)."""
+        """Best stretch of each diagonal (text, item, word of the document under the item's first); where that
+        doesn't satisfy the rule, the one with most equal words of all that do."""
         n = len(d)
         length = np.diff(self.first)[d[:, 1]] if n else np.empty(0, np.int64)
         lo, hi = w.first[d[:, 0]], w.first[d[:, 0] + 1]
@@ -105,10 +107,31 @@ class Benchmark:
         rows = np.arange(n)
         matches = equal[rows, best_to] - equal[rows, best_from]
         words = best_to - best_from
-        good = (matches >= np.minimum(min_match, length)) & (matches >= min_share * words) & (words > 0)
+        least = np.minimum(min_match, length)
+        good = (matches >= least) & (matches >= min_share * words) & (words > 0)
+        for k in np.flatnonzero(~good & (equal[:, -1] >= least) & (least > 0)):
+            a, z = max(0, lo[k] - d[k, 2]), min(length[k], hi[k] - d[k, 2])
+            if (cut := _any_stretch(equal[k, a : z + 1], int(least[k]), min_share)) is not None:
+                best_from[k], best_to[k] = a + cut[0], a + cut[1]
+                words[k], matches[k], good[k] = cut[1] - cut[0], equal[k, best_to[k]] - equal[k, best_from[k]], True
         return d[good, 0], d[good, 1], (d[:, 2] + best_from - lo)[good], words[good], matches[good].astype(np.int64)
 
 
+def _any_stretch(equal: np.ndarray, least: int, share: float) -> tuple[int, int] | None:
+    """(from, to) of the stretch with most equal words among all that have ``least`` of them and that
+    share, without unequal words at its ends; ``equal`` is the running count of equal words."""
+    over = equal - share * np.arange(len(equal))
+    low = np.minimum.accumulate(over)
+    # a stretch has the share if it starts where ``over`` is no higher than at its end
+    start = np.searchsorted(-low, -(over + 1e-9))
+    matches = equal - equal[np.minimum(start, len(equal) - 1)]
+    ends = np.flatnonzero((start < np.arange(len(equal))) & (matches >= least))
+    if not len(ends):
+        return None
+    to = ends[np.argmax(matches[ends])]
+    return int(np.searchsorted(equal, equal[start[to]], "right")) - 1, int(np.searchsorted(equal, equal[to]))
+
+
 def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[str]]]:
     """The benchmark in blocks of at most ``PASS_WORDS`` words, so that what a pass holds is bounded."""
     ids: list[int] = []
@@ -127,8 +150,8 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, item_id, start, words, matches): for each document and item the best stretch
-    on each diagonal that holds ``min_match`` equal words (or all of a shorter item) and at
+    """(doc_id, item_id, start, words, matches): for each document and item a stretch
+    on each diagonal with a seed that has one, which holds ``min_match`` equal words (or all of a shorter item) and at
     least ``min_share`` equal words; ``start`` counts the document's words from 0.
 
     Letter case and ASCII punctuation don't count. An item of fewer words than the shortest

@@ -233,6 +233,27 @@ def test_decontamination_against_brute_force(spark):
     assert got <= want and len({x[:2] for x in got}) >= 0.9 * len({x[:2] for x in want}) and len(want) > 10
 
 
+def test_any_stretch_that_satisfies_the_rule_is_found():
+    rng = random.Random(17)
+    hidden = found = 0
+    for _ in range(400):
+        n = rng.choice((8, 15, 16, 18, 50, 59))
+        item = [f"w{j}" for j in range(n)]
+        same = [rng.random() > rng.choice((0.2, 0.25, 0.3)) for _ in item]
+        cut = rng.randrange(0, 3)  # the text begins within the item
+        b = decontam.Benchmark([1], [" ".join(item)])
+        w = vectext.Words(pa.array([" ".join(x if eq else "other" for x, eq in zip(item[cut:], same[cut:]))], pa.large_string()))
+        part, least = same[cut:], min(decontam.MIN_MATCH, n)
+        good = {(i, j) for i in range(len(part)) for j in range(i + 1, len(part) + 1) if (m := sum(part[i:j])) >= least and m >= decontam.MIN_SHARE * (j - i)}
+        _, _, start, size, matches = b._stretch(w, np.array([[0, 0, -cut]]), decontam.MIN_MATCH, decontam.MIN_SHARE)
+        assert len(start) == bool(good)
+        if good:
+            assert (start[0], start[0] + size[0]) in good and matches[0] == sum(part[start[0] : start[0] + size[0]])
+            found += 1
+            hidden += not brute_overlaps([(0, " ".join(x if eq else "other" for x, eq in zip(item[cut:], part)))], [(0, " ".join(item))], decontam.MIN_MATCH, decontam.MIN_SHARE) if n < 20 else 0
+    assert found > 100 and hidden > 5  # some that the best stretch hides
+
+
 def test_decontamination_odd_rows(spark, monkeypatch):
     item = "Alpha beta gamma delta epsilon zeta eta theta"
     bench = spark.createDataFrame([(1, item), (None, item), (2, None), (3, ""), (4, "too short")], "item_id long, text string")
