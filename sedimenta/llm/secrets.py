@@ -6,9 +6,9 @@ to cut it into dictionary words, dates, repeats, keyboard walks and brute-force
 sum of the pieces' guesses (in bits) and one bit for each piece. A placeholder or a common
 password costs little; a real key costs nearly what its alphabet allows.
 
-The least cost is found by dynamic programming over the value's positions, in time
-proportional to its length: a brute-force span grows by one character at a time, and the
-other pieces are listed beforehand, at most a fixed number for each position.
+The least cost is found by dynamic programming over the value's positions: a brute-force span
+grows by one character at a time, words and dates are listed beforehand, and every part of a
+repeat or walk is tried at its end. Time grows with the square of a value's length.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,6 @@ from .common import table, texts
 #: A value that costs at least so many bits is reported as a secret.
 SECRET_BITS = 40.0
 PIECE_BITS = 1.0
-MAX_PERIOD = 16
 
 #: Frequent passwords and parts of them, most frequent first; a word's rank is its guesses.
 WORDS = tuple(
@@ -97,8 +97,8 @@ def _adjacent(a: str, b: str) -> tuple[float, int] | None:
     return None
 
 
-def pieces(value: str) -> list[tuple[int, int, float, str]]:
-    """(start, end, bits, kind) of every word, date, repeat and walk in a value."""
+def _listed(value: str) -> list[tuple[int, int, float, str]]:
+    """(start, end, bits, kind) of every word and date in a value."""
     n = len(value)
     out = []
     # one character for one, so that positions stay
@@ -119,28 +119,45 @@ def pieces(value: str) -> list[tuple[int, int, float, str]]:
         out.append((m.start(), m.start() + len(m[1]), math.log2(365 * 130) + 2 * apart, "date"))
     for m in _YEAR.finditer(value):
         out.append((m.start(), m.start() + 4, math.log2(130), "date"))
+    return out
+
+
+def pieces(value: str) -> list[tuple[int, int, float, str]]:
+    """(start, end, bits, kind) of every word, date, repeat and walk in a value, parts of repeats and walks included."""
+    n, out = len(value), _listed(value)
     each = char_bits(value)
-    for p in range(1, min(MAX_PERIOD, n // 2) + 1):
-        i = 0
-        while i + p < n:
-            j = i
-            while j + p < n and value[j] == value[j + p]:
-                j += 1
-            times = (j - i) // p + 1
-            if times >= 2 and times * p >= 3:
-                out.append((i, i + times * p, p * each + math.log2(times), "repeat"))
-            i = max(j - p + 1, i + 1) if j > i else i + 1
-    i = 0
-    while i + 1 < n:
-        j, turns, step = i, 0, None
-        while j + 1 < n and (s := _adjacent(value[j], value[j + 1])) is not None:
+    for p in range(1, n // 2 + 1):
+        run = 0  # equal characters p apart, up to here
+        for e in range(p + 1, n + 1):
+            run = run + 1 if value[e - 1] == value[e - 1 - p] else 0
+            for times in range(2, run // p + 2):
+                if times * p >= 3:
+                    out.append((e - times * p, e, p * each + math.log2(times), "repeat"))
+    for i in range(n):
+        turns, step, shifted = 0, None, value[i] in _SHIFT
+        for j in range(i + 1, n):
+            s = _adjacent(value[j - 1], value[j])
+            if s is None:
+                break
             turns += s != step
             step = s
-            j += 1
-        if j - i + 1 >= 3:
-            shifted = sum(c in _SHIFT for c in value[i : j + 1])
-            out.append((i, j + 1, _STARTS + turns * _DEGREE + math.log2(j - i + 1) + (0 if not shifted else 1 if shifted == j - i + 1 else 2), "walk"))
-        i = max(j, i + 1)
+            shifted += value[j] in _SHIFT
+            if j - i >= 2:
+                out.append((i, j + 1, _STARTS + turns * _DEGREE + math.log2(j - i + 1) + (0 if not shifted else 1 if shifted == j - i + 1 else 2), "walk"))
+    return out
+
+
+def _runs(value: str) -> list[tuple[int, int, int]]:
+    """(period, start, end) of the longest spans that repeat, of whatever period; a multiple of a period
+    that holds in all of the span is left out, as it never costs less."""
+    v = np.array([ord(c) for c in value], np.uint32)
+    out: list[tuple[int, int, int]] = []
+    for p in range(1, len(v) // 2 + 1):
+        stop = np.r_[-1, np.flatnonzero(v[p:] != v[:-p]), len(v) - p]
+        for k in np.flatnonzero(np.diff(stop) - 1 >= p):
+            a, z = int(stop[k]) + 1, int(stop[k + 1]) + p
+            if not any(p % q == 0 and b <= a and z <= y for q, b, y in out):
+                out.append((p, a, z))
     return out
 
 
@@ -149,8 +166,18 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     n = len(value)
     each = char_bits(value)
     ends: dict[int, list[tuple[int, float, str]]] = {}
-    for s, e, bits, kind in pieces(value):
+    for s, e, bits, kind in _listed(value):
         ends.setdefault(e, []).append((s, bits, kind))
+    repeats: dict[int, list[tuple[int, int]]] = {}
+    for p, a, z in _runs(value):
+        for e in range(a + max(2 * p, 3), z + 1):
+            repeats.setdefault(e, []).append((p, a))
+    # turns[j]: changes of step up to character j; walk: where the walk that holds the last character starts
+    steps = [None, *(_adjacent(a, b) for a, b in zip(value, value[1:]))]
+    turns = np.cumsum([0, *(a != b for a, b in zip(steps, steps[1:]))])
+    shifts = np.cumsum([0, *(c in _SHIFT for c in value)])
+    walk = 0
+    logs, least = np.log2(np.arange(1, n + 2)), np.zeros(n + 1)
     # best[k]: least cost of the first k characters; brute[k]: of those whose last piece is brute force
     best, brute = [0.0] * (n + 1), [math.inf] * (n + 1)
     came: list[tuple[int, str]] = [(0, "")] * (n + 1)
@@ -162,6 +189,22 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         for s, bits, kind in ends.get(k, ()):
             if best[s] + PIECE_BITS + bits < best[k]:
                 best[k], came[k] = best[s] + PIECE_BITS + bits, (s, kind)
+        for p, a in repeats.get(k, ()):
+            least_times = 2 if p > 1 else 3
+            at = np.arange(k - least_times * p, a - 1, -p)
+            costs = least[at] + PIECE_BITS + p * each + logs[least_times - 1 : least_times - 1 + len(at)]
+            i = int(np.argmin(costs))
+            if costs[i] < best[k]:
+                best[k], came[k] = float(costs[i]), (int(at[i]), "repeat")
+        walk = k - 1 if steps[k - 1] is None else walk
+        if k - walk >= 3:
+            at = np.arange(walk, k - 2)
+            upper = shifts[k] - shifts[at]
+            costs = least[at] + PIECE_BITS + _STARTS + (1 + turns[k - 1] - turns[at + 1]) * _DEGREE + logs[k - at - 1] + np.where(upper == 0, 0, np.where(upper == k - at, 1, 2))
+            i = int(np.argmin(costs))
+            if costs[i] < best[k]:
+                best[k], came[k] = float(costs[i]), (int(at[i]), "walk")
+        least[k] = best[k]
     out, k = [], n
     while k > 0:
         s, kind = came[k]
