@@ -59,13 +59,13 @@ _DEGREE, _STARTS = math.log2(4.6), math.log2(47)
 
 _NAME = r"(?:passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_\-]?keys?|access[_\-]?keys?|private[_\-]?keys?|auth[_\-]?keys?|credentials?|authorization)"
 _CONTEXT = re.compile(
-    _NAME + r"(?:[_\-][A-Za-z0-9_\-]{0,24})?[\"']?[ \t]{0,8}(?::=|=>|==|=|:)[ \t]{0,8}"
+    _NAME + r"(?:(?:[_\-]|[0-9]|(?-i:(?<=[a-z])[A-Z]))[A-Za-z0-9_\-]*+)?[\"']?[ \t]*+(?::=|=>|==|=|:)[ \t]*+"
     r"(?:(?:Bearer|Basic)[ \t]+)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"'<>]+))",
     re.I,
 )
-_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://([^\s:/@]{1,256}):([^\s/@]+)@")
+_URL = re.compile(r"(?<=[A-Za-z0-9+.\-])://([^\s:/@]*):([^\s/@]+)@")
 #: What a text must hold before it is looked at closely; the same names, for the JVM.
-PREFILTER = r"(?i)passw|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[_\-]?key|credential|authorization|://[^\s:/@]+:"
+PREFILTER = r"(?i)passw|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[_\-]?key|credential|authorization|://[^\s:/@]*:"
 _IDENT = re.compile(r"[A-Za-z0-9_.\-]{1,64}\Z")
 _DATES = re.compile(r"(?=((?:19|20)\d\d[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:19|20)\d\d|(?:1[0-2]|0?[1-9])[-/._]?(?:3[01]|[12]\d|0?[1-9])[-/._]?(?:19|20)\d\d))")
 _YEAR = re.compile(r"(?=((?:19|20)\d\d))")
@@ -224,7 +224,7 @@ def credentials(text: str) -> Iterator[tuple[str, int, int]]:
                 e -= 1
         if e > s:
             before = _IDENT.search(text, max(0, m.start() - 64), m.start())
-            name = (before[0] if before else "") + re.match(r"[A-Za-z0-9_.\-]*", text[m.start() : m.start() + 64])[0]
+            name = (before[0] if before else "") + re.match(r"[A-Za-z0-9_.\-]*", text[m.start() : m.end()])[0]
             found.append((name.strip(".-"), s, e))
     found += [("url", *m.span(2)) for m in _URL.finditer(text)]
     last = -1

@@ -196,6 +196,14 @@ def test_secret_scan(spark):
     assert shown == key[:4]
 
 
+def test_credentials_of_any_width(spark):
+    key = "x7Kq9mZr4LpT2vNw8"
+    rows = [(1, f"PASSWORD{' ' * 20}={' ' * 20}{key}"), (2, f"SECRET_KEY_FOR_PRODUCTION_DATABASE_SERVER={key}"), (3, f"secretKey: {key}"), (4, f"tokenValue={key}"), (5, f"redis://:{key}@host"), (6, f"x://{'u' * 300}:{key}@host"), (7, "TOKENIZER=fast")]
+    got = sorted((r.doc_id, r.name, r.length, r.secret) for r in secrets.scan(frame(spark, rows)).collect())
+    names = ["PASSWORD", "SECRET_KEY_FOR_PRODUCTION_DATABASE_SERVER", "secretKey", "tokenValue", "url", "url"]
+    assert got == [(i + 1, name, len(key), True) for i, name in enumerate(names)]
+
+
 # shards
 
 
