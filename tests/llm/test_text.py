@@ -356,7 +356,7 @@ def test_lm_learns_through_a_whole_text():
     code = lm.Code(np.arange(256) ** 2)
     model = lm.Model(code, np.zeros((int(lm._BASE[-1]), 256), np.int8))
     passage = bytes(rng.choice(b"etaoinshrdlu ") for _ in range(700))
-    texts = [passage * k for k in (1, 4)] + [bytes(rng.choice(b"abc de") for _ in range(rng.randrange(1, 300))) for _ in range(20)]
+    texts = [passage * k for k in (1, 4)] + [bytes(rng.choice(b"abc de") for _ in range(rng.randrange(1, 300))) for _ in range(60)]
     raw, off = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
     got = model.score(raw, off)
     for t, bits in zip(texts, got):  # side by side in numpy, then one by one
