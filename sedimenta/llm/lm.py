@@ -1,22 +1,31 @@
 """Language-model scoring by online logistic context mixing.
 
-A byte is predicted bit by bit along a prefix code. Predictors give a logit for each bit:
-
-* hashed contexts of the last one, two and three bytes, whose odds come from byte counts over
-  every document of the corpus (gathered by a shuffle, one partial table for each map task);
-* a hashed context of the last two bytes, whose odds are learned within the text itself.
-
-The logits are combined by weights, which a gate chooses among several sets (depth in the code,
-kind of the last byte) and which are corrected after each bit. An adaptive map refines the mixed
-probability. The sum of the bits' costs, divided by the bytes, is the score.
-
-A lane is a whole text, so weights, learned odds and the adaptive map are carried from its first
-bit to its last. Lanes don't depend on each other: thousands advance together, bit by bit, in numpy
-arrays, the longest first, and the last ``NARROW`` go on one by one in plain Python. How they are
-grouped changes a result by rounding only.
-
-The tables have a fixed size (``SLOTS``), whatever the corpus; the counts in them cover all of it.
-So different contexts add up in a slot, and none is longer than three bytes: see the README.
+A text is a row of symbols, and each symbol is one or several bits that are predicted from what
+comes before it:
+
+* A *byte* is coded along a prefix code. Its bits are predicted by hashed contexts of the last two
+  and three bytes, whose odds come from byte counts over every document of the corpus, and by two
+  more hashed contexts whose odds are learned online, within the text.
+* A *flag* stands before a word whose context, the three words before it, some other document of
+  the corpus holds too: does the word follow that followed there most often? If so, it and the
+  blanks after it are known and cost no further bits; if not, its bytes come next. The flag is predicted by
+  the counts of the continuation, by how many flags before it came true, and by what the text has
+  taught so far.
+
+The logits of a bit are combined by weights, which a gate chooses among several sets (depth in the
+code and kind of the last byte; for flags, how many came true before). Weights, learned odds and an
+adaptive map, which refines the mixed probability, are corrected after each symbol. The sum of the
+bits' costs, divided by the bytes, is the score.
+
+What is gathered from the corpus: byte counts in ``SLOTS`` hashed slots, summed by a shuffle and broadcast; and
+all contexts of three words with the words that follow them, which grow with the corpus and are
+never held in one place: each document sends its contexts to buckets of their hashes, where the
+continuations of all documents are counted, and gets back those of other documents. A document
+counts once for a context, with what follows it there first, and its own part in the counts is left out.
+
+A lane is a whole text, so nothing starts anew within it. Lanes don't depend on each other: hundreds
+advance together, symbol by symbol, in numpy arrays, the longest first, and the last ``NARROW`` go
+on one by one in plain Python. How they are grouped changes a result by rounding only.
 """
 
 from __future__ import annotations
@@ -31,24 +40,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import cut, table, texts
+from .common import cut, table
 
 #: Context slots of orders 1, 2 and 3; each holds the counts of 256 bytes.
 SLOTS = (256, 1 << 13, 1 << 14)
-#: Bits of the code after which a lane would start anew: none, a lane is a whole text.
-LANE = np.iinfo(np.int64).max
-#: Lanes that advance together, bits of each that are laid out at once, and lanes too few for numpy.
-GROUP, STEPS, NARROW = 8192, 512, 24
+#: Words of a context whose continuations are gathered.
+WORDS = 3
+#: Lanes that advance together, symbols that are laid out at once, and lanes too few for numpy.
+GROUP, LAID, NARROW = 512, 1 << 14, 2
 BLOCK_SLOTS = 64
-#: Bytes of text that are counted at once, and whose lanes are dealt into groups together.
-CHUNK, SCORED = 6 << 20, 12 << 20
-#: Slots of what a lane learns itself; sets of weights; cells of the adaptive map for each set.
-OWN, GATES, CELLS = 1 << 11, 16, 24
+#: Bytes of text that are counted at once, contexts that a task holds before it sends them, and bytes of text scored together.
+CHUNK, HELD, PART_BYTES = 6 << 20, 2_000_000, 16 << 20
+#: Slots of what a lane learns itself; sets of weights for bytes and flags; cells of the adaptive map for each set.
+OWN, BYTE_GATES, RUNS, CELLS = 1 << 11, 32, 8, 24
+GATES = BYTE_GATES + RUNS
 RATE, OWN_RATE, MAP_RATE, START = 0.02, 0.5, 0.02, 0.35
 SCALE = 15.0
+_FLAG = 255  # the number that inner nodes of the code leave free
 _BASE = np.concatenate([[0], np.cumsum(SLOTS)])
 _CENTRE = (1 / (1 + np.exp(-(np.arange(CELLS) + 0.5 - CELLS / 2) / 1.5))).astype(np.float32)
 _LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
+_K, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+# corpus counts of bytes
 
 
 def context_slots(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -68,10 +84,17 @@ def hashed_slots(back: list[np.ndarray]) -> list[np.ndarray]:
     """Slot of the contexts whose last, last but one and earlier bytes are given."""
     two = back[0] | back[1] << np.uint32(8)
     three = two | back[2] << np.uint32(16)
-    hashed = lambda x, size: ((x * np.uint32(0x9E3779B1)) >> np.uint32(32 - int(size).bit_length() + 1)).astype(np.int32)
+    hashed = lambda x, size: ((x * _K) >> np.uint32(32 - int(size).bit_length() + 1)).astype(np.int32)
     return [back[0].astype(np.int32), hashed(two, SLOTS[1]), hashed(three, SLOTS[2])]
 
 
+def count_bytes(raw: np.ndarray, off: np.ndarray, sums: np.ndarray) -> None:
+    """Adds the bytes of some texts to the counts of their contexts."""
+    for o, s in enumerate(context_slots(raw, off)):
+        lo, hi = _BASE[o] * 256, _BASE[o + 1] * 256
+        sums[lo:hi] += np.bincount(s * 256 + raw, minlength=hi - lo).astype(sums.dtype)
+
+
 class Code:
     """A prefix code of bytes, made from their counts: frequent bytes take few bits."""
 
@@ -86,9 +109,9 @@ class Code:
             heapq.heappush(heap, (a[0] + b[0], name, name))
             name += 1
         # inner nodes are numbered 0 .. 254 from the root down
-        order, at = {heap[0][2]: 0}, [heap[0][2]]
+        order = {heap[0][2]: 0}
         self.ones, self.all = np.zeros((255, 256), bool), np.zeros((255, 256), bool)
-        self.depth = np.zeros(255, np.int64)
+        self.depth = np.zeros(256, np.int64)
         paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
         stack = [(heap[0][2], [])]
         while stack:
@@ -103,10 +126,12 @@ class Code:
             self.depth[i] = len(path)
             for bit in (0, 1):
                 stack.append((child[node][bit], [*path, (i, bit)]))
+        # "bytes" 256 and 257 are flags, false and true
+        paths += [[(_FLAG, 0)], [(_FLAG, 1)]]
         self.size = np.array([len(p) for p in paths], np.int64)
         self.first = np.r_[0, np.cumsum(self.size)]
         self.node = np.array([i for p in paths for i, _ in p], np.uint8)
-        self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+        self.bit = np.array([b for p in paths for _, b in p], np.float32)
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         """``contexts x 256`` int8 logits of every node from ``contexts x 256`` byte counts.
@@ -122,186 +147,321 @@ class Code:
         return out
 
 
+# contexts of words
+
+
+def contexts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first byte, byte after its last, hash of the context, hash of the word) of all words that
+    have ``WORDS`` words before them; blanks belong to the word before them."""
+    start, _, first = V.word_spans(raw, off)
+    stop = np.append(start[1:], len(raw))[: len(start)]
+    some = np.flatnonzero(np.diff(first))
+    stop[first[some + 1] - 1] = off[some + 1]
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    at = np.flatnonzero(np.arange(len(start)) - first[doc] >= WORDS)
+    h = V.Prefix(raw)
+    return doc[at], start[at], stop[at], h(start[at - WORDS], start[at]), h(start[at], stop[at])
+
+
+def _requests(docs: DataFrame, buckets: int) -> DataFrame:
+    """Packed contexts of all texts, the first of each in a text: (bucket, contexts, words, keys, news)."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        c, w, key = (np.concatenate(x) for x in zip(*held))
+        rows = []
+        for b, at in V.split(V.bucket(c, buckets)):
+            k = key[at]
+            new = np.r_[True, k[1:] != k[:-1]]
+            rows.append((b, (c[at] & _LOW).astype(np.uint32).tobytes(), w[at].tobytes(), k[new].tobytes(), np.packbits(new).tobytes()))
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "contexts", "words", "keys", "news"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for part in V.slices(batch):
+                raw, off = V.buffer_of(V.as_string_array(part.column(1)))
+                doc, _, _, c, w = contexts(raw, off)
+                _, at = np.unique(V.mix(c ^ V.mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)
+                at.sort()
+                held.append((c[at], (w[at] & _LOW).astype(np.uint32), part.column(0).to_numpy(zero_copy_only=False)[doc[at]]))
+                n += len(at)
+                if n >= HELD:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+
+    return docs.mapInArrow(run, "bucket int, contexts binary, words binary, keys binary, news binary")
+
+
+def continuations(c: np.ndarray, w: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, context, word, level): what follows each context most often in other documents.
+
+    A record (context, word, key) is a document's first use of a context. Of the words that follow
+    a context elsewhere the one in most documents is taken, of equal ones that with the least hash.
+    ``level`` is the scaled logit of its share. Nothing is said where no other document has the context; equal
+    keys (equal texts) get one answer.
+    """
+    pair = c.astype(np.uint64) << np.uint64(32) | w
+    order = np.argsort(pair, kind="stable")
+    pair, key = pair[order], key[order]
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+    n = np.diff(np.r_[first, len(pair)])
+    kind = pair[first]
+    ctx = kind >> np.uint64(32)
+    best_first = np.lexsort((kind, -n, ctx))
+    head = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]][: len(ctx)])  # ``ctx`` is in order already
+    size = np.diff(np.r_[head, len(ctx)])
+    one = best_first[head]
+    two = best_first[np.minimum(head + 1, len(ctx) - 1)]
+    total, number = np.add.reduceat(n, head) if len(head) else n, np.repeat(np.arange(len(head)), size)
+    n1, n2 = n[one][number], np.where(size > 1, n[two], 0)[number]
+    w1, w2 = kind[one][number], kind[two][number]
+    own = np.arange(len(kind)) == one[number]
+    left = n1 - own
+    second = own & (n2 > 0) & ((n2 > left) | ((n2 == left) & (w2 < w1)))
+    word, count = np.where(second, w2, w1), np.where(second, n2, left)
+    others = total[number] - 1
+    level = np.round(np.clip(np.log((count + 0.4) / (others - count + 0.4)), -8, 8) * SCALE).astype(np.int8)
+    rec = np.repeat(np.arange(len(kind)), n)
+    keep = np.flatnonzero(count[rec] > 0)
+    rec, key = rec[keep], key[keep]
+    order = np.lexsort((rec, key))
+    rec, key = rec[order], key[order]
+    once = np.r_[True, (rec[1:] != rec[:-1]) | (key[1:] != key[:-1])][: len(rec)]
+    rec, key = rec[once], key[once]
+    return key, ctx[rec].astype(np.uint32), (word[rec] & _LOW).astype(np.uint32), level[rec]
+
+
+def known(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """(part, keys, sizes, contexts, words, levels): answers packed by the part of the documents, ``key`` modulo ``parts``.
+
+    ``docs`` holds key and text; the key is a hash of the text.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        c, w = (np.concatenate([np.frombuffer(x, np.uint32) for x in t[name].to_pylist()]) for name in ("contexts", "words"))
+        keys = []
+        for k, new, x in zip(t["keys"].to_pylist(), t["news"].to_pylist(), t["words"].to_pylist()):
+            keys.append(np.frombuffer(k, np.int64)[np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(x) // 4), dtype=np.int64) - 1])
+        key, c, w, level = continuations(c, w, np.concatenate(keys))
+        rows = []
+        for p, at in V.split((key % parts).astype(np.int32)):
+            k = key[at]
+            head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            rows.append((p, k[head].tobytes(), np.diff(np.r_[head, len(k)]).astype(np.uint32).tobytes(), c[at].tobytes(), w[at].tobytes(), level[at].tobytes()))
+        cols = list(zip(*rows)) or [()] * 6
+        return pa.table({name: pa.array(x, pa.int32() if name == "part" else pa.binary()) for name, x in zip(("part", "keys", "sizes", "contexts", "words", "levels"), cols)})
+
+    return _requests(docs, buckets).groupBy("bucket").applyInArrow(run, "part int, keys binary, sizes binary, contexts binary, words binary, levels binary")
+
+
+# scoring
+
+
+class Symbols:
+    """The symbols of some texts: bytes, and flags before words whose continuation is known."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray, start: np.ndarray, stop: np.ndarray, hit: np.ndarray, level: np.ndarray):
+        """``start``, ``stop``: bytes of the words with a flag, in order; ``hit``: the flag is true."""
+        n = len(raw)
+        self.raw, self.off, self.level, self.hit = raw, off, level, hit
+        cover = np.zeros(n + 1, np.int8)
+        cover[start[hit]] += 1
+        cover[stop[hit]] -= 1  # words don't overlap
+        known = np.cumsum(cover[:n], dtype=np.int8) > 0
+        flag = np.zeros(n, bool)
+        flag[start] = True
+        per = flag.astype(np.int8) + ~known
+        upto = np.zeros(n + 1, np.int64)
+        np.cumsum(per, out=upto[1:])
+        self.pos = np.repeat(np.arange(n, dtype=np.int32), per)
+        self.is_flag = np.zeros(len(self.pos), bool)
+        self.is_flag[upto[:-1][flag]] = True
+        self.first, self.count = upto[off[:-1]], np.diff(upto[off])
+        # flags of the same text that came true right before each flag
+        k = np.arange(len(start))
+        text = np.searchsorted(off, start, "right")
+        fresh = np.r_[True, text[1:] != text[:-1]][: len(start)]
+        stop_at = np.where(fresh, k, 0)
+        stop_at[1:] = np.maximum(stop_at[1:], np.where(hit[:-1], 0, k[1:]))
+        self.run = np.minimum(k - np.maximum.accumulate(stop_at), RUNS - 1)
+        self.number = np.cumsum(flag, dtype=np.int32) - 1
+
+
 class Model:
-    """The code and the logits of all contexts."""
-
-    def __init__(self, code: Code, logits: np.ndarray):
-        self.code, self.logits = code, logits.ravel()
-        self.gate_of = np.minimum(code.depth, 7).astype(np.int32)
-
-    def score(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Bits of each text."""
-        n = len(off) - 1
-        out = np.zeros(n)
-        if not len(raw):
-            return out
-        upto = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(self.code.size[raw], out=upto[1:])
-        bits = upto[off[1:]] - upto[off[:-1]]
-        order = np.argsort(-bits, kind="stable")[: np.count_nonzero(bits)]
+    """The code and the logits of all byte contexts."""
+
+    def __init__(self, code: Code, logits: np.ndarray, total: int = 0):
+        self.code, self.total = code, total
+        # behind the contexts: every level of a flag, and the input of a flag that never changes
+        self.logits = np.r_[logits.ravel(), np.arange(-128, 128), SCALE].astype(np.float32) / np.float32(SCALE)
+        self.gate_of = np.minimum(code.depth, BYTE_GATES // 2 - 1)
+        self.gate_of[_FLAG] = 0
+
+    def score(self, raw: np.ndarray, off: np.ndarray, flags: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """Bits of each text. ``flags``: first byte, byte after the last, whether true, and level of the words with a flag."""
+        none = np.empty(0, np.int64)
+        s = Symbols(raw, off, *(flags or (none, none, none.astype(bool), none.astype(np.int8))))
+        out = np.zeros(len(off) - 1)
+        order = np.argsort(-s.count, kind="stable")[: np.count_nonzero(s.count)]
         for lo in range(0, len(order), GROUP):
             g = order[lo : lo + GROUP]
-            out[g] = self._lanes(raw, upto, off[g], bits[g])
+            out[g] = self._lanes(s, g)
         return out
 
-    def _inputs(self, raw, upto, begin, lo, hi, steps) -> tuple[np.ndarray, np.ndarray]:
-        """Step by lane, for the bits ``lo`` to ``hi`` of each lane: the corpus logits of every bit, four bytes
-        in one number; and what the lane learns, the set of weights and the bit itself in another of 11, 4 and 1 bits."""
-        code = self.code
-        first = np.searchsorted(upto, lo, "right") - 1
-        nbytes = np.searchsorted(upto, hi, "left") - first
-        head = np.cumsum(nbytes) - nbytes
-        at = np.arange(nbytes.sum()) + np.repeat(first - head, nbytes)
-        byte = raw[at]
-        # the first and the last byte of a lane may be in this part with some of their bits only
-        size, skip = code.size[byte], np.zeros(len(at), np.int64)
-        skip[head] = lo - upto[first]
-        size -= skip
-        size[head + nbytes - 1] -= upto[first + nbytes] - hi
-        since = at - np.repeat(begin, nbytes)
-        back = [np.where(since >= k, raw[at - k], 0).astype(np.uint32) for k in (1, 2, 3)]
+    def _inputs(self, s: Symbols, lanes: np.ndarray, at: int, steps: int) -> tuple[np.ndarray, ...]:
+        """Bits of the symbols ``at`` to ``at + steps`` of each lane, all first symbols, then all second ones, ...: (inputs,
+        set of weights, two slots of what the lane learns, bit, lane, where each step's bits begin)."""
+        code, behind = self.code, len(self.logits) - 257
+        live = np.searchsorted(-s.count[lanes], -(at + np.arange(steps)), "left")
+        upto = np.cumsum(live)
+        lane = np.arange(upto[-1]) - np.repeat(upto - live, live)
+        idx = s.first[lanes][lane] + np.repeat(at + np.arange(steps), live)
+        pos, flag = s.pos[idx], s.is_flag[idx]
+        byte, since = s.raw[pos].astype(np.int64), pos - s.off[lanes][lane]
+        back = [np.where(since >= k, s.raw[pos - k], 0).astype(np.uint32) for k in (1, 2, 3, 4)]
         slots = hashed_slots(back)
+        # what belongs to a symbol: rows of logits and hashes of the learned contexts; place in the code, gate, lane
+        ctx, own = np.empty((len(lane), 4), np.uint32), np.empty((len(lane), 4), np.uint32)
+        ctx[:, 0], ctx[:, 1] = (_BASE[1] + slots[1]) * 256, (_BASE[2] + slots[2]) * 256
+        ctx[:, 2] = (back[0] | np.uint32(1 << 24)) * _K
+        ctx[:, 3] = (back[0] | back[1] << np.uint32(8) | back[2] << np.uint32(16)) * _K2 ^ back[3] * _K
+        own[:, 1] = lane * GATES + BYTE_GATES // 2 * _LETTER[back[0]]
+        own[:, 2] = lane * OWN
+        own[:, 3] = lane
+        known = np.flatnonzero(flag)
+        if len(known):
+            f = s.number[pos[known]]
+            run, level = s.run[f], s.level[f].astype(np.int64)
+            byte[known] = 256 + s.hit[f]
+            ctx[known, 0], ctx[known, 1] = behind + level + 128 - _FLAG, behind + 256 - _FLAG
+            ctx[known, 2], ctx[known, 3] = (run + 1).astype(np.uint32) * _K2, (level + 1000).astype(np.uint32) * _K
+            own[known, 1] = lane[known] * GATES + BYTE_GATES + run
+        size = code.size[byte]
         stop = np.cumsum(size)
-        src = np.repeat((code.first[byte] + skip - (stop - size)).astype(np.int32), size)
-        src += np.arange(len(src), dtype=np.int32)
-        node = code.node[src].astype(np.int32)
-        x4 = np.zeros((len(src), 4), np.int8)
-        for o in range(3):
-            base = ((_BASE[o] + slots[o]) * 256).astype(np.int32)
-            x4[:, o] = self.logits[np.repeat(base, size) + node]
-        own = (np.repeat((slots[1] * 256).astype(np.uint32), size) + node.astype(np.uint32)) * np.uint32(0x9E3779B1) >> np.uint32(32 - OWN.bit_length() + 1)
-        gate = self.gate_of[node] + np.repeat((8 * _LETTER[back[0]]).astype(np.int32), size)
-        live = np.arange(steps) < (hi - lo)[:, None]
-        out = []
-        for values in (x4.view(np.uint32).ravel(), (own << np.uint32(5) | gate.astype(np.uint32) << np.uint32(1) | code.bit[src]).astype(np.uint16)):
-            m = np.zeros(live.shape, values.dtype)
-            m[live] = values
-            out.append(m.T)
-        return out[0], out[1]
-
-    def _lanes(self, raw, upto, begin, bits) -> np.ndarray:
-        """Bits of some lanes, the longest first, that advance together; the loop is over bits, each step
-        over all lanes that haven't ended."""
-        n = len(begin)
+        own[:, 0] = code.first[byte] - (stop - size)
+        # what belongs to a bit; four numbers move as one item
+        ctx, own = (np.repeat(v.view(np.complex128).ravel(), size).view(np.uint32).reshape(-1, 4) for v in (ctx, own))
+        src = own[:, 0] + np.arange(len(own), dtype=np.uint32)
+        node = code.node[src]
+        x = np.empty((len(src), 4), np.float32)
+        x[:, 0], x[:, 1] = self.logits[ctx[:, 0] + node], self.logits[ctx[:, 1] + node]
+        learned = np.empty((2, len(src)), np.int64)
+        mixed = node * _K2
+        for i in (0, 1):
+            h = ctx[:, 2 + i] + mixed
+            h *= _K
+            h >>= np.uint32(32 - OWN.bit_length() + 2)
+            h += own[:, 2]
+            np.add(h, i * OWN // 2, out=learned[i])
+        return x, self.gate_of[node] + own[:, 1], learned, code.bit[src], own[:, 3], np.r_[0, np.r_[0, stop][upto]]
+
+    def _lanes(self, s: Symbols, lanes: np.ndarray) -> np.ndarray:
+        """Bits of some lanes, the longest first, that advance together."""
+        n, count = len(lanes), s.count[lanes]
         total = np.zeros(n)
         # weights are kept in units of RATE and what a lane learns in units of OWN_RATE: updates add plain errors
         W = np.full((n * GATES, 4), START / RATE, np.float32)
         Wc = W.view(np.complex128).ravel()  # a set of four weights moves as one item
         A = np.zeros(n * OWN, np.float32)
         R = np.tile(_CENTRE, n * GATES)
-        scale, one, back, own_rate = np.float32(1 / SCALE), np.float32(1), np.float32(-RATE), np.float32(OWN_RATE)
-        steep, middle, top = np.float32(1.5 * RATE), np.float32(CELLS / 2), np.float32(CELLS - 1)
-        keep = np.float32(1 - MAP_RATE)
-        zero, at = upto[begin], 0
-        while (n := int(np.count_nonzero(bits > at))) > NARROW:
-            steps = int(min(STEPS, bits[0] - at))
-            lo, hi = zero[:n] + at, zero[:n] + np.minimum(bits[:n], at + steps)
-            X, S = np.empty((steps, n), np.uint32), np.empty((steps, n), np.uint16)
-            for g0 in range(0, n, 128):  # few enough that what is made on the way stays in the cache
-                g = slice(g0, min(n, g0 + 128))
-                X[:, g], S[:, g] = self._inputs(raw, upto, begin[g], lo[g], hi[g], steps)
-            X = X.view(np.int8).reshape(steps, n, 4)
-            Q = np.ones((steps, n), np.float32)
-            for s0 in range(0, steps, 32):
-                m = int(np.count_nonzero(bits[:n] > at + s0))
-                lane = np.arange(m)
-                e4 = np.empty((m, 4), np.float32)
-                a, p, e, r = (np.empty(m, np.float32) for _ in range(4))
-                w = np.empty(m, np.complex128)
-                w4 = w.view(np.float32).reshape(m, 4)
-                cell = np.empty(m, np.int64)
-                some = S[s0 : s0 + 32, :m]
-                gates = (some >> 1 & 15) + lane * GATES
-                owns = (some >> 5) + lane * OWN
-                cells = gates * CELLS
-                ones = (some & 1).astype(np.float32)
-                learned = ones * np.float32(MAP_RATE)
-                xs = X[s0 : s0 + 32, :m] * scale
-                with np.errstate(over="ignore"):
-                    for j in range(len(some)):
-                        gi, ai, x = gates[j], owns[j], xs[j]
-                        np.take(A, ai, out=a, mode="clip")
-                        np.multiply(a, own_rate, out=x[:, 3])
-                        np.take(Wc, gi, out=w, mode="clip")
-                        dot = np.einsum("nk,nk->n", w4, x)
-                        np.multiply(dot, back, out=p)
-                        np.exp(p, out=p)
-                        p += one
-                        np.reciprocal(p, out=p)
-                        np.subtract(ones[j], p, out=e)
-                        # weights, and what the lane learns itself
-                        np.multiply(x, e[:, None], out=e4)
-                        w4 += e4
-                        Wc[gi] = w
-                        a += e
-                        A[ai] = a
-                        # refinement
-                        dot *= steep
-                        dot += middle
-                        np.maximum(dot, 0, out=dot)
-                        np.minimum(dot, top, out=dot)
-                        np.copyto(cell, dot, casting="unsafe")
-                        cell += cells[j]
-                        np.take(R, cell, out=r, mode="clip")
-                        np.add(p, r, out=Q[s0 + j, :m])
-                        r *= keep
-                        r += learned[j]
-                        R[cell] = r
+        one, minus, own_rate = np.float32(1), np.full((4, 4), -RATE, np.float32), np.float32(OWN_RATE)
+        steep, middle, top = np.float32(-1.5), np.float32(CELLS / 2), np.float32(CELLS - 1)
+        keep, map_rate = np.float32(1 - MAP_RATE), np.float32(MAP_RATE)
+        at = 0
+        while (m := int(np.count_nonzero(count > at))) > NARROW:
+            steps = int(min(max(32, LAID // m), count[0] - at))
+            X, G, O, Y, lane, edge = self._inputs(s, lanes[:m], at, steps)
+            Q = np.empty(len(Y), np.float32)
+            C, L, Y4 = G * CELLS, Y * map_rate, np.repeat(Y, 4).reshape(-1, 4)
+            most = int(np.diff(edge).max())
+            bw, ba, bf, bc = np.empty(most, np.complex128), np.empty(2 * most, np.float32), np.empty((2, most), np.float32), np.empty(most, np.int64)
+            b4, bd = np.empty((most, 4), np.float32), np.empty((most, 4), np.float32)
+            with np.errstate(over="ignore"):
+                for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    k = hi - lo
+                    x, gi, oi = X[lo:hi], G[lo:hi], O[:, lo:hi]
+                    w, a, r, dot, cell, e4, p4 = bw[:k], ba[: 2 * k].reshape(2, k), bf[0, :k], bf[1, :k], bc[:k], b4[:k], bd[:k]
+                    w4 = w.view(np.float32).reshape(k, 4)
+                    A.take(oi, out=a, mode="clip")
+                    np.multiply(a[0], own_rate, out=x[:, 2])
+                    np.multiply(a[1], own_rate, out=x[:, 3])
+                    Wc.take(gi, out=w, mode="clip")
+                    # each bit's numbers stay four times side by side, so that no step is over pairs of arrays of unlike shape
+                    np.multiply(w4, x, out=e4)
+                    np.matmul(e4, minus, out=p4)
+                    np.multiply(p4[:, 0], steep, out=dot)
+                    np.exp(p4, out=p4)
+                    p4 += one
+                    np.reciprocal(p4, out=p4)
+                    np.subtract(Y4[lo:hi], p4, out=e4)
+                    # weights, and what the lane learns itself
+                    a += e4[:, 0]
+                    A[oi] = a
+                    e4 *= x
+                    w4 += e4
+                    Wc[gi] = w
+                    # refinement
+                    dot += middle
+                    np.maximum(dot, 0, out=dot)
+                    np.minimum(dot, top, out=dot)
+                    np.copyto(cell, dot, casting="unsafe")
+                    cell += C[lo:hi]
+                    R.take(cell, out=r, mode="clip")
+                    np.add(p4[:, 0], r, out=Q[lo:hi])
+                    r *= keep
+                    r += L[lo:hi]
+                    R[cell] = r
             # the mean of both probabilities, of the bit that came
             Q *= np.float32(0.5)
-            Q -= (S & 1) ^ 1
+            Q -= 1 - Y
             np.abs(Q, out=Q)
             np.maximum(Q, np.float32(1e-5), out=Q)
-            np.log2(Q, out=Q)
-            Q *= np.arange(at, at + steps)[:, None] < bits[:n]
-            total[:n] -= Q.sum(0, dtype=np.float64)
+            total[:m] -= np.bincount(lane, np.log2(Q), m)
             at += steps
-        for k in range(n):
+        for k in range(m):
             state = W[k * GATES : (k + 1) * GATES].tolist(), A[k * OWN : (k + 1) * OWN].tolist(), R[k * GATES * CELLS : (k + 1) * GATES * CELLS].tolist()
-            for lo in range(at, int(bits[k]), 1 << 16):
-                hi = min(int(bits[k]), lo + (1 << 16))
-                X, S = self._inputs(raw, upto, begin[k : k + 1], zero[k : k + 1] + lo, zero[k : k + 1] + hi, hi - lo)
-                total[k] += _one(X, S, *state)
+            for lo in range(at, int(count[k]), LAID):
+                X, G, O, Y, _, edge = self._inputs(s, lanes[k : k + 1], lo, min(LAID, int(count[k]) - lo))
+                total[k] += _one(X, G, O, Y, edge, *state)
         return total
 
 
-def _one(X: np.ndarray, S: np.ndarray, W: list[list[float]], A: list[float], R: list[float]) -> float:
+def _one(X: np.ndarray, G: np.ndarray, O: np.ndarray, Y: np.ndarray, edge: np.ndarray, W: list[list[float]], A: list[float], R: list[float]) -> float:
     """Bits of one lane, whose weights, learned odds and map are changed in place."""
-    xs = (np.ascontiguousarray(X[:, 0]).view(np.int8).reshape(-1, 4)[:, :3] / SCALE).T.tolist()
-    s = S[:, 0]
+    bits = list(zip(X[:, 0].tolist(), X[:, 1].tolist(), G.tolist(), O[0].tolist(), O[1].tolist(), Y.tolist()))
     exp, prob, map_keep = math.exp, [], 1 - MAP_RATE
-    for x0, x1, x2, own, gate, bit in zip(*xs, (s >> 5).tolist(), (s >> 1 & 15).tolist(), (s & 1).tolist()):
-        w, a = W[gate], A[own]
-        x3 = a * OWN_RATE
-        dot = (w[0] * x0 + w[1] * x1 + w[2] * x2 + w[3] * x3) * RATE
-        p = 1 / (1 + exp(-dot)) if dot > -80 else 0.0
-        e = bit - p
-        w[0] += e * x0
-        w[1] += e * x1
-        w[2] += e * x2
-        w[3] += e * x3
-        A[own] = a + e
-        c = dot * 1.5 + CELLS / 2
-        cell = gate * CELLS + (0 if c < 0 else int(c) if c < CELLS - 1 else CELLS - 1)
-        r = R[cell]
-        q = (p + r) / 2
-        prob.append(q if bit else 1 - q)
-        R[cell] = r * map_keep + bit * MAP_RATE
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        new = []
+        for x0, x1, gate, o2, o3, bit in bits[lo:hi]:
+            (w0, w1, w2, w3), a2, a3 = W[gate], A[o2], A[o3]
+            x2, x3 = a2 * OWN_RATE, a3 * OWN_RATE
+            dot = (w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3) * RATE
+            p = 1 / (1 + exp(-dot)) if dot > -80 else 0.0
+            e = bit - p
+            c = dot * 1.5 + CELLS / 2
+            cell = gate * CELLS + (0 if c < 0 else int(c) if c < CELLS - 1 else CELLS - 1)
+            r = R[cell]
+            q = (p + r) / 2
+            prob.append(q if bit else 1 - q)
+            new.append((gate, [w0 + e * x0, w1 + e * x1, w2 + e * x2, w3 + e * x3], o2, a2 + e, o3, a3 + e, cell, r * map_keep + bit * MAP_RATE))
+        # as in the arrays: what one symbol's bits share keeps the last bit's correction
+        for gate, w, o2, a2, o3, a3, cell, r in new:
+            W[gate], A[o2], A[o3], R[cell] = w, a2, a3, r
     return float(-np.log2(np.maximum(prob, 1e-5)).sum())
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(block, counts): byte counts of ``BLOCK_SLOTS`` contexts each, over all documents."""
+    """(block, counts): byte counts of ``BLOCK_SLOTS`` contexts each, over all documents given as key and text."""
     total = int(_BASE[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(total * 256, np.uint32)
         for batch in batches:
             for part in V.slices(batch, limit=CHUNK):
-                raw, off = V.buffer_of(V.as_string_array(part.column(1)))
-                for o, s in enumerate(context_slots(raw, off)):
-                    lo, hi = _BASE[o] * 256, _BASE[o + 1] * 256
-                    sums[lo:hi] += np.bincount(s * 256 + raw, minlength=hi - lo).astype(np.uint32)
+                count_bytes(*V.buffer_of(V.as_string_array(part.column(1))), sums)
         blocks = sums.reshape(-1, BLOCK_SLOTS * 256)
         some = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
@@ -316,7 +476,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of a corpus given as doc_id and text."""
+    """The code and the byte contexts of a corpus given as key and text."""
     sums = cut(counts(docs))
     histogram = np.zeros(256, np.int64)
     for r in sums.where(F.col("block") < SLOTS[0] // BLOCK_SLOTS).collect():  # 4 blocks
@@ -331,35 +491,53 @@ def train(docs: DataFrame) -> Model:
     out = np.zeros((int(_BASE[-1]) // BLOCK_SLOTS, BLOCK_SLOTS * 256), np.int8)
     for r in sums.mapInArrow(logits, "block int, logits binary").collect():  # one byte for each slot and node, whatever the corpus
         out[r["block"]] = np.frombuffer(r["logits"], np.int8)
-    return Model(code, out)
+    return Model(code, out, int(histogram.sum()))
+
+
+def _score_part(model: Model, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Scores of the rows (part, doc_id, key, text) of one part, with the answers to their contexts; equal texts are scored once."""
+    key, text = left["key"].to_numpy(), V.as_string_array(left["text"])
+    own, at, row = np.unique(key, return_index=True, return_inverse=True)
+    ask = lambda k, c: V.mix((c & _LOW) ^ V.mix(k.view(np.uint64)))
+    flat = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in right[name].to_pylist())])
+    tags = ask(np.repeat(flat("keys", np.int64), flat("sizes", np.uint32)), flat("contexts", np.uint32).astype(np.uint64))
+    order = np.argsort(tags)
+    tags, words, levels = tags[order], flat("words", np.uint32)[order], flat("levels", np.int8)[order]
+    bits, lo = [np.empty(0)], 0
+    for part in V.slices(pa.RecordBatch.from_arrays([text.take(pa.array(at))], ["text"]), limit=PART_BYTES):
+        raw, off = V.buffer_of(part.column(0))
+        doc, start, stop, c, w = contexts(raw, off)
+        tag = ask(own[lo : lo + part.num_rows][doc], c)
+        lo += part.num_rows
+        place = np.minimum(np.searchsorted(tags, tag), max(0, len(tags) - 1))
+        asked = np.flatnonzero(tags[place] == tag) if len(tags) else np.empty(0, np.int64)
+        place = place[asked]
+        bits.append(model.score(raw, off, (start[asked], stop[asked], (w[asked] & _LOW).astype(np.uint32) == words[place], levels[place])))
+    bits = np.concatenate(bits)[row]
+    size = np.diff(V.buffer_of(text)[1])
+    gone = text.is_null().to_numpy(zero_copy_only=False)
+    columns = [left["doc_id"], pa.array(size, mask=gone), pa.array(bits, mask=gone), pa.array(bits / np.maximum(1, size), mask=gone | (size == 0))]
+    return pa.table(columns, names=["doc_id", "n_bytes", "bits", "bits_per_byte"])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, bits, bits_per_byte) of every row, in whatever order.
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, bits, bits_per_byte) of every row, in whatever order, under a model of all rows.
 
-    A null text has null scores; an empty one costs no bits and has no ratio. Repeated rows and
-    rows without id have a row each; extra columns are ignored.
+    A null text has null scores; an empty one costs no bits and has no ratio; a very long one is one
+    lane. The score is a function of the text and the corpus, so equal texts have equal scores, and each counts as known
+    to the others. Repeated rows and rows without id have a row each; extra columns are ignored; an empty table gives no rows;
+    bytes that aren't UTF-8 are bytes as any other.
     """
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        for batch in batches:
-            for part in V.slices(batch, limit=SCORED):
-                text = V.as_string_array(part.column(1))
-                raw, off = V.buffer_of(text)
-                bits, size = m.score(raw, off), np.diff(off)
-                gone = text.is_null().to_numpy(zero_copy_only=False)
-                ratio = bits / np.maximum(1, size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, mask=gone), pa.array(bits, mask=gone), pa.array(ratio, mask=gone | (size == 0))], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
-
-    return d.mapInArrow(run, "doc_id long, n_bytes long, bits double, bits_per_byte double")
-
-
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Gathers the model from all documents and scores each of them: see ``score``."""
-    return score(docs, train(texts(docs, id_col, text_col)), id_col, text_col)
+    text = F.col(f"`{text_col}`").cast("string")
+    d = docs.select(F.xxhash64(text).alias("key"), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    corpus = d.where("text is not null").select("key", "text")
+    model = train(corpus)
+    # parts and buckets follow the data's size
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.total // PART_BYTES))
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    rows = d.select(F.pmod("key", F.lit(n)).cast("int").alias("part"), "doc_id", "key", "text").groupBy("part")
+    run = lambda left, right: _score_part(shipped.value, left, right)
+    return rows.cogroup(known(corpus, n, n).groupBy("part")).applyInArrow(run, "doc_id long, n_bytes long, bits double, bits_per_byte double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,23 +37,12 @@ BROADCAST_IDS = 4_000_000
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-
-
-def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
-    for b, lo, hi in zip(found.tolist(), first, [*first[1:], len(order)]):
-        yield b, order[lo:hi]
-
-
 def _probes(docs: DataFrame, block: int, buckets: int) -> DataFrame:
     """Packed windows: (bucket, prints, ids, anchors)."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, ids, anchor = (np.concatenate(x) for x in zip(*held))
-        rows = [(b, (h[at] & _LOW).astype(np.uint32).tobytes(), V.planes(ids[at]), np.packbits(anchor[at]).tobytes()) for b, at in _split(_bucket(h, buckets))]
+        rows = [(b, (h[at] & _LOW).astype(np.uint32).tobytes(), V.planes(ids[at]), np.packbits(anchor[at]).tobytes()) for b, at in V.split(V.bucket(h, buckets))]
         cols = list(zip(*rows)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "prints", "ids", "anchors"])
 
@@ -106,7 +95,7 @@ def _candidates(rows: DataFrame, block: int, least: int, buckets: int) -> DataFr
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, sent, ids, place = (np.concatenate(x) for x in zip(*held))
-        out = [(b, h[at].tobytes(), V.planes(ids[at]), V.planes(place[at])) for b, at in _split(_bucket(sent, buckets))]
+        out = [(b, h[at].tobytes(), V.planes(ids[at]), V.planes(place[at])) for b, at in V.split(V.bucket(sent, buckets))]
         cols = list(zip(*out)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "hashes", "ids", "places"])
 
@@ -119,7 +108,7 @@ def _candidates(rows: DataFrame, block: int, least: int, buckets: int) -> DataFr
                 if total < least:
                     continue
                 h = V.window_hash(w.hash, block)
-                key = (_bucket(h, buckets).astype(np.uint64) << np.uint64(32)) | (h & _LOW)
+                key = (V.bucket(h, buckets).astype(np.uint64) << np.uint64(32)) | (h & _LOW)
                 lists = part.column(2)
                 owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
                 wanted = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)

@@ -178,3 +178,16 @@ def planes(a: np.ndarray) -> bytes:
 
 def unplanes(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
+
+def bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash, by its high bits."""
+    return ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+
+
+def split(number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, places that hold it), in order of the number; the places stay in their order."""
+    order = np.argsort(number.astype(np.uint16) if len(number) and number.max() < 1 << 16 else number, kind="stable")
+    found, first = np.unique(number[order], return_index=True)
+    for b, lo, hi in zip(found.tolist(), first, [*first[1:], len(order)]):
+        yield b, order[lo:hi]
