@@ -25,7 +25,8 @@ counts once for a context, with what follows it there first, and its own part in
 
 A lane is a whole text, so nothing starts anew within it. Lanes don't depend on each other: hundreds
 advance together, symbol by symbol, in numpy arrays, the longest first, and the last ``NARROW`` go
-on one by one in plain Python. How they are grouped changes a result by rounding only.
+on one by one in plain Python. Texts of like length are scored in one place, so that lanes end together.
+How they are grouped changes a result by rounding only.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
@@ -47,18 +48,22 @@ SLOTS = (256, 1 << 13, 1 << 14)
 #: Words of a context whose continuations are gathered.
 WORDS = 3
 #: Lanes that advance together, symbols that are laid out at once, and lanes too few for numpy.
-GROUP, LAID, NARROW = 512, 1 << 14, 2
+GROUP, LAID, NARROW = 512, 1 << 13, 2
 BLOCK_SLOTS = 64
-#: Bytes of text that are counted at once, contexts that a task holds before it sends them, and bytes of text scored together.
-CHUNK, HELD, PART_BYTES = 6 << 20, 2_000_000, 16 << 20
+#: Bytes that are counted at once, contexts that a task holds before it sends them, and bytes of text scored together.
+CHUNK, HELD, PART_BYTES = 4 << 20, 1_000_000, 8 << 20
+#: Texts up to this power of two have one length class.
+SHORT = 9
 #: Slots of what a lane learns itself; sets of weights for bytes and flags; cells of the adaptive map for each set.
-OWN, BYTE_GATES, RUNS, CELLS = 1 << 11, 32, 8, 24
+OWN, BYTE_GATES, RUNS, CELLS = 1 << 11, 32, 8, 16
 GATES = BYTE_GATES + RUNS
 RATE, OWN_RATE, MAP_RATE, START = 0.02, 0.5, 0.02, 0.35
-SCALE = 15.0
+#: The adaptive map learns no smaller probability.
+LEAST = 2.0**-12
+SCALE, STEEP = 15.0, 1.25
 _FLAG = 255  # the number that inner nodes of the code leave free
 _BASE = np.concatenate([[0], np.cumsum(SLOTS)])
-_CENTRE = (1 / (1 + np.exp(-(np.arange(CELLS) + 0.5 - CELLS / 2) / 1.5))).astype(np.float32)
+_CENTRE = (1 / (1 + np.exp(-(np.arange(CELLS) + 0.5 - CELLS / 2) / STEEP))).astype(np.float32)
 _LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
 _K, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -88,11 +93,12 @@ def hashed_slots(back: list[np.ndarray]) -> list[np.ndarray]:
     return [back[0].astype(np.int32), hashed(two, SLOTS[1]), hashed(three, SLOTS[2])]
 
 
-def count_bytes(raw: np.ndarray, off: np.ndarray, sums: np.ndarray) -> None:
-    """Adds the bytes of some texts to the counts of their contexts."""
-    for o, s in enumerate(context_slots(raw, off)):
+def count_bytes(texts: list[tuple[np.ndarray, np.ndarray]], sums: np.ndarray) -> None:
+    """Adds the bytes of some texts, (bytes, offsets) of each slice, to the counts of their contexts."""
+    found = [[s * 256 + raw for s in context_slots(raw, off)] for raw, off in texts]
+    for o, part in enumerate(zip(*found)):
         lo, hi = _BASE[o] * 256, _BASE[o + 1] * 256
-        sums[lo:hi] += np.bincount(s * 256 + raw, minlength=hi - lo).astype(sums.dtype)
+        sums[lo:hi] += np.bincount(np.concatenate(part), minlength=hi - lo).astype(sums.dtype)
 
 
 class Code:
@@ -130,8 +136,7 @@ class Code:
         paths += [[(_FLAG, 0)], [(_FLAG, 1)]]
         self.size = np.array([len(p) for p in paths], np.int64)
         self.first = np.r_[0, np.cumsum(self.size)]
-        self.node = np.array([i for p in paths for i, _ in p], np.uint8)
-        self.bit = np.array([b for p in paths for _, b in p], np.float32)
+        self.step = np.array([i | b << 8 for p in paths for i, b in p], np.int64)  # the node and the bit taken there
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         """``contexts x 256`` int8 logits of every node from ``contexts x 256`` byte counts.
@@ -234,12 +239,32 @@ def continuations(c: np.ndarray, w: np.ndarray, key: np.ndarray) -> tuple[np.nda
     return key, ctx[rec].astype(np.uint32), (word[rec] & _LOW).astype(np.uint32), level[rec]
 
 
-def known(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """(part, keys, sizes, contexts, words, levels): answers packed by the part of the documents, ``key`` modulo ``parts``.
+class Parts:
+    """Where each text is scored: together with texts of its length class, as many parts for each as its bytes need.
 
-    ``docs`` holds key and text; the key is a hash of the text.
+    A text's key is a hash of it, whose last five bits are its class.
     """
 
+    def __init__(self, sizes: dict[int, int]):
+        self.n = [max(1, -(-sizes.get(c, 0) // PART_BYTES)) for c in range(32)]
+        self.base = [sum(self.n[:c]) for c in range(32)]
+
+    @staticmethod
+    def key(text: Column) -> Column:
+        size = F.floor(F.log2(F.greatest(F.octet_length(text), F.lit(1)))).cast("long")
+        return F.xxhash64(text).bitwiseAND(F.lit(-32)).bitwiseOR(F.least(F.greatest(F.coalesce(size, F.lit(0)), F.lit(SHORT)), F.lit(31)))
+
+    def of(self, key: Column) -> Column:
+        pick = lambda x: F.element_at(F.array(*map(F.lit, x)), (key.bitwiseAND(F.lit(31)) + 1).cast("int"))
+        return (pick(self.base) + F.pmod(F.shiftright(key, 5), pick(self.n))).cast("int")
+
+    def numbers(self, key: np.ndarray) -> np.ndarray:
+        return (np.array(self.base)[key & 31] + (key >> 5) % np.array(self.n)[key & 31]).astype(np.int32)
+
+
+def known(docs: DataFrame, buckets: int, parts: Parts) -> DataFrame:
+    """(part, keys, sizes, contexts, words, levels): answers packed by the part of the documents that asked; ``docs`` holds key and text."""
+
     def run(t: pa.Table) -> pa.Table:
         c, w = (np.concatenate([np.frombuffer(x, np.uint32) for x in t[name].to_pylist()]) for name in ("contexts", "words"))
         keys = []
@@ -247,7 +272,7 @@ def known(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
             keys.append(np.frombuffer(k, np.int64)[np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(x) // 4), dtype=np.int64) - 1])
         key, c, w, level = continuations(c, w, np.concatenate(keys))
         rows = []
-        for p, at in V.split((key % parts).astype(np.int32)):
+        for p, at in V.split(parts.numbers(key)):
             k = key[at]
             head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             rows.append((p, k[head].tobytes(), np.diff(np.r_[head, len(k)]).astype(np.uint32).tobytes(), c[at].tobytes(), w[at].tobytes(), level[at].tobytes()))
@@ -274,12 +299,12 @@ class Symbols:
         flag = np.zeros(n, bool)
         flag[start] = True
         per = flag.astype(np.int8) + ~known
-        upto = np.zeros(n + 1, np.int64)
+        upto = np.zeros(n + 1, np.int32 if n < 1 << 30 else np.int64)
         np.cumsum(per, out=upto[1:])
-        self.pos = np.repeat(np.arange(n, dtype=np.int32), per)
+        self.pos = np.repeat(np.arange(n, dtype=upto.dtype), per)
         self.is_flag = np.zeros(len(self.pos), bool)
         self.is_flag[upto[:-1][flag]] = True
-        self.first, self.count = upto[off[:-1]], np.diff(upto[off])
+        self.first, self.count = upto[off[:-1]].astype(np.int64), np.diff(upto[off]).astype(np.int64)
         # flags of the same text that came true right before each flag
         k = np.arange(len(start))
         text = np.searchsorted(off, start, "right")
@@ -296,9 +321,11 @@ class Model:
     def __init__(self, code: Code, logits: np.ndarray, total: int = 0):
         self.code, self.total = code, total
         # behind the contexts: every level of a flag, and the input of a flag that never changes
-        self.logits = np.r_[logits.ravel(), np.arange(-128, 128), SCALE].astype(np.float32) / np.float32(SCALE)
+        self.logits = np.r_[logits.ravel(), np.arange(-128, 128), SCALE].astype(np.int8)
         self.gate_of = np.minimum(code.depth, BYTE_GATES // 2 - 1)
         self.gate_of[_FLAG] = 0
+        # where a node's learned odds lie among those of its context
+        self.place_of = (np.arange(256, dtype=np.uint32) * _K2 >> np.uint32(34 - OWN.bit_length())).astype(np.int64)
 
     def score(self, raw: np.ndarray, off: np.ndarray, flags: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
         """Bits of each text. ``flags``: first byte, byte after the last, whether true, and level of the words with a flag."""
@@ -323,40 +350,40 @@ class Model:
         byte, since = s.raw[pos].astype(np.int64), pos - s.off[lanes][lane]
         back = [np.where(since >= k, s.raw[pos - k], 0).astype(np.uint32) for k in (1, 2, 3, 4)]
         slots = hashed_slots(back)
-        # what belongs to a symbol: rows of logits and hashes of the learned contexts; place in the code, gate, lane
-        ctx, own = np.empty((len(lane), 4), np.uint32), np.empty((len(lane), 4), np.uint32)
-        ctx[:, 0], ctx[:, 1] = (_BASE[1] + slots[1]) * 256, (_BASE[2] + slots[2]) * 256
-        ctx[:, 2] = (back[0] | np.uint32(1 << 24)) * _K
-        ctx[:, 3] = (back[0] | back[1] << np.uint32(8) | back[2] << np.uint32(16)) * _K2 ^ back[3] * _K
-        own[:, 1] = lane * GATES + BYTE_GATES // 2 * _LETTER[back[0]]
-        own[:, 2] = lane * OWN
-        own[:, 3] = lane
+        # what belongs to a symbol: rows of logits, slots of the learned contexts, place in the code, gate, lane
+        own, high = np.empty((len(lane), 8), np.uint32), np.uint32(34 - OWN.bit_length())
+        own[:, 0], own[:, 1] = (_BASE[1] + slots[1]) * 256, (_BASE[2] + slots[2]) * 256
+        one = (back[0] | np.uint32(1 << 24)) * _K
+        long = (back[0] | back[1] << np.uint32(8) | back[2] << np.uint32(16)) * _K2 ^ back[3] * _K
+        own[:, 5] = lane * GATES + BYTE_GATES // 2 * _LETTER[back[0]]
+        own[:, 6] = lane
         known = np.flatnonzero(flag)
         if len(known):
             f = s.number[pos[known]]
             run, level = s.run[f], s.level[f].astype(np.int64)
             byte[known] = 256 + s.hit[f]
-            ctx[known, 0], ctx[known, 1] = behind + level + 128 - _FLAG, behind + 256 - _FLAG
-            ctx[known, 2], ctx[known, 3] = (run + 1).astype(np.uint32) * _K2, (level + 1000).astype(np.uint32) * _K
-            own[known, 1] = lane[known] * GATES + BYTE_GATES + run
+            own[known, 0], own[known, 1] = behind + level + 128 - _FLAG, behind + 256 - _FLAG
+            one[known], long[known] = (run + 1).astype(np.uint32) * _K2, (level + 1000).astype(np.uint32) * _K
+            own[known, 5] = lane[known] * GATES + BYTE_GATES + run
+        own[:, 2], own[:, 3] = lane * OWN + (one * _K >> high), lane * OWN + OWN // 2 + (long * _K >> high)
         size = code.size[byte]
         stop = np.cumsum(size)
-        own[:, 0] = code.first[byte] - (stop - size)
+        own[:, 4] = code.first[byte] - (stop - size)
         # what belongs to a bit; four numbers move as one item
-        ctx, own = (np.repeat(v.view(np.complex128).ravel(), size).view(np.uint32).reshape(-1, 4) for v in (ctx, own))
+        own = own.view(np.complex128)
+        ctx, own = (np.repeat(own[:, i], size).view(np.uint32).reshape(-1, 4) for i in (0, 1))
         src = own[:, 0] + np.arange(len(own), dtype=np.uint32)
-        node = code.node[src]
-        x = np.empty((len(src), 4), np.float32)
-        x[:, 0], x[:, 1] = self.logits[ctx[:, 0] + node], self.logits[ctx[:, 1] + node]
-        learned = np.empty((2, len(src)), np.int64)
-        mixed = node * _K2
+        step = code.step.take(src.astype(np.int64))
+        node = step & 255
+        x, learned = np.empty((len(src), 4), np.float32), np.empty((2, len(src)), np.int64)
+        for i in (0, 1):
+            np.multiply(self.logits.take(ctx[:, i] + node), np.float32(1 / SCALE), out=x[:, i])
+        place = self.place_of.take(node)
         for i in (0, 1):
-            h = ctx[:, 2 + i] + mixed
-            h *= _K
-            h >>= np.uint32(32 - OWN.bit_length() + 2)
-            h += own[:, 2]
-            np.add(h, i * OWN // 2, out=learned[i])
-        return x, self.gate_of[node] + own[:, 1], learned, code.bit[src], own[:, 3], np.r_[0, np.r_[0, stop][upto]]
+            np.bitwise_xor(ctx[:, 2 + i], place, out=learned[i])
+        gate = self.gate_of.take(node)
+        gate += own[:, 1]
+        return x, gate, learned, (step >> 8).astype(np.float32), own[:, 2].astype(np.int64), np.r_[0, np.r_[0, stop][upto]]
 
     def _lanes(self, s: Symbols, lanes: np.ndarray) -> np.ndarray:
         """Bits of some lanes, the longest first, that advance together."""
@@ -368,14 +395,14 @@ class Model:
         A = np.zeros(n * OWN, np.float32)
         R = np.tile(_CENTRE, n * GATES)
         one, minus, own_rate = np.float32(1), np.full((4, 4), -RATE, np.float32), np.float32(OWN_RATE)
-        steep, middle, top = np.float32(-1.5), np.float32(CELLS / 2), np.float32(CELLS - 1)
+        steep, middle, top = np.float32(-STEEP), np.float32(CELLS / 2), np.float32(CELLS - 1)
         keep, map_rate = np.float32(1 - MAP_RATE), np.float32(MAP_RATE)
         at = 0
         while (m := int(np.count_nonzero(count > at))) > NARROW:
-            steps = int(min(max(32, LAID // m), count[0] - at))
+            steps = int(min(max(8, LAID // m), count[0] - at))
             X, G, O, Y, lane, edge = self._inputs(s, lanes[:m], at, steps)
             Q = np.empty(len(Y), np.float32)
-            C, L, Y4 = G * CELLS, Y * map_rate, np.repeat(Y, 4).reshape(-1, 4)
+            C, L, Y4 = G * CELLS, Y * (map_rate * np.float32(1 - 2 * LEAST)) + map_rate * np.float32(LEAST), np.repeat(Y, 4).reshape(-1, 4)
             most = int(np.diff(edge).max())
             bw, ba, bf, bc = np.empty(most, np.complex128), np.empty(2 * most, np.float32), np.empty((2, most), np.float32), np.empty(most, np.int64)
             b4, bd = np.empty((most, 4), np.float32), np.empty((most, 4), np.float32)
@@ -416,10 +443,11 @@ class Model:
                     R[cell] = r
             # the mean of both probabilities, of the bit that came
             Q *= np.float32(0.5)
-            Q -= 1 - Y
+            Q -= Y
             np.abs(Q, out=Q)
+            np.subtract(one, Q, out=Q)
             np.maximum(Q, np.float32(1e-5), out=Q)
-            total[:m] -= np.bincount(lane, np.log2(Q), m)
+            total[:m] -= np.bincount(lane, np.log2(Q, out=Q), m)
             at += steps
         for k in range(m):
             state = W[k * GATES : (k + 1) * GATES].tolist(), A[k * OWN : (k + 1) * OWN].tolist(), R[k * GATES * CELLS : (k + 1) * GATES * CELLS].tolist()
@@ -432,7 +460,7 @@ class Model:
 def _one(X: np.ndarray, G: np.ndarray, O: np.ndarray, Y: np.ndarray, edge: np.ndarray, W: list[list[float]], A: list[float], R: list[float]) -> float:
     """Bits of one lane, whose weights, learned odds and map are changed in place."""
     bits = list(zip(X[:, 0].tolist(), X[:, 1].tolist(), G.tolist(), O[0].tolist(), O[1].tolist(), Y.tolist()))
-    exp, prob, map_keep = math.exp, [], 1 - MAP_RATE
+    exp, prob, map_keep, low, high = math.exp, [], 1 - MAP_RATE, MAP_RATE * LEAST, MAP_RATE * (1 - LEAST)
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
         new = []
         for x0, x1, gate, o2, o3, bit in bits[lo:hi]:
@@ -441,12 +469,12 @@ def _one(X: np.ndarray, G: np.ndarray, O: np.ndarray, Y: np.ndarray, edge: np.nd
             dot = (w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3) * RATE
             p = 1 / (1 + exp(-dot)) if dot > -80 else 0.0
             e = bit - p
-            c = dot * 1.5 + CELLS / 2
+            c = dot * STEEP + CELLS / 2
             cell = gate * CELLS + (0 if c < 0 else int(c) if c < CELLS - 1 else CELLS - 1)
             r = R[cell]
             q = (p + r) / 2
             prob.append(q if bit else 1 - q)
-            new.append((gate, [w0 + e * x0, w1 + e * x1, w2 + e * x2, w3 + e * x3], o2, a2 + e, o3, a3 + e, cell, r * map_keep + bit * MAP_RATE))
+            new.append((gate, [w0 + e * x0, w1 + e * x1, w2 + e * x2, w3 + e * x3], o2, a2 + e, o3, a3 + e, cell, r * map_keep + (high if bit else low)))
         # as in the arrays: what one symbol's bits share keeps the last bit's correction
         for gate, w, o2, a2, o3, a3, cell, r in new:
             W[gate], A[o2], A[o3], R[cell] = w, a2, a3, r
@@ -458,10 +486,15 @@ def counts(docs: DataFrame) -> DataFrame:
     total = int(_BASE[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(total * 256, np.uint32)
+        sums, held, n = np.zeros(total * 256, np.uint32), [], 0
         for batch in batches:
-            for part in V.slices(batch, limit=CHUNK):
-                count_bytes(*V.buffer_of(V.as_string_array(part.column(1))), sums)
+            for part in V.slices(batch):
+                held.append(V.buffer_of(V.as_string_array(part.column(1))))
+                n += len(held[-1][0])
+                if n >= CHUNK:
+                    count_bytes(held, sums)
+                    held, n = [], 0
+        count_bytes(held, sums)
         blocks = sums.reshape(-1, BLOCK_SLOTS * 256)
         some = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
@@ -503,17 +536,18 @@ def _score_part(model: Model, left: pa.Table, right: pa.Table) -> pa.Table:
     tags = ask(np.repeat(flat("keys", np.int64), flat("sizes", np.uint32)), flat("contexts", np.uint32).astype(np.uint64))
     order = np.argsort(tags)
     tags, words, levels = tags[order], flat("words", np.uint32)[order], flat("levels", np.int8)[order]
-    bits, lo = [np.empty(0)], 0
-    for part in V.slices(pa.RecordBatch.from_arrays([text.take(pa.array(at))], ["text"]), limit=PART_BYTES):
+    own_text = text.take(pa.array(at))
+    found, lo, base = [], 0, 0
+    for part in V.slices(pa.RecordBatch.from_arrays([own_text], ["text"])):
         raw, off = V.buffer_of(part.column(0))
         doc, start, stop, c, w = contexts(raw, off)
         tag = ask(own[lo : lo + part.num_rows][doc], c)
-        lo += part.num_rows
         place = np.minimum(np.searchsorted(tags, tag), max(0, len(tags) - 1))
         asked = np.flatnonzero(tags[place] == tag) if len(tags) else np.empty(0, np.int64)
         place = place[asked]
-        bits.append(model.score(raw, off, (start[asked], stop[asked], (w[asked] & _LOW).astype(np.uint32) == words[place], levels[place])))
-    bits = np.concatenate(bits)[row]
+        found.append((start[asked] + base, stop[asked] + base, (w[asked] & _LOW).astype(np.uint32) == words[place], levels[place]))
+        lo, base = lo + part.num_rows, base + len(raw)
+    bits = model.score(*V.buffer_of(own_text), tuple(map(np.concatenate, zip(*found))) or None)[row]
     size = np.diff(V.buffer_of(text)[1])
     gone = text.is_null().to_numpy(zero_copy_only=False)
     columns = [left["doc_id"], pa.array(size, mask=gone), pa.array(bits, mask=gone), pa.array(bits / np.maximum(1, size), mask=gone | (size == 0))]
@@ -529,15 +563,17 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bytes that aren't UTF-8 are bytes as any other.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    d = docs.select(F.xxhash64(text).alias("key"), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    d = docs.select(Parts.key(text).alias("key"), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     corpus = d.where("text is not null").select("key", "text")
     model = train(corpus)
-    # parts and buckets follow the data's size
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.total // PART_BYTES))
+    sizes = corpus.groupBy(F.col("key").bitwiseAND(F.lit(31)).alias("c")).agg(F.sum(F.octet_length("text")).alias("n")).collect()  # 32 rows at most
+    parts = Parts({r.c: r.n for r in sizes})
+    # buckets follow the data's size too
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.total // PART_BYTES))
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    rows = d.select(F.pmod("key", F.lit(n)).cast("int").alias("part"), "doc_id", "key", "text").groupBy("part")
+    rows = d.select(parts.of(F.col("key")).alias("part"), "doc_id", "key", "text").groupBy("part")
     run = lambda left, right: _score_part(shipped.value, left, right)
-    return rows.cogroup(known(corpus, n, n).groupBy("part")).applyInArrow(run, "doc_id long, n_bytes long, bits double, bits_per_byte double")
+    return rows.cogroup(known(corpus, buckets, parts).groupBy("part")).applyInArrow(run, "doc_id long, n_bytes long, bits double, bits_per_byte double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
