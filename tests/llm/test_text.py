@@ -398,7 +398,7 @@ def slow_score(model, raw, flags=()):
         for j in range(int(code.size[raw[at]])):
             node, bit = int(code.step[code.first[raw[at]] + j]) & 255, int(code.step[code.first[raw[at]] + j]) >> 8
             gate = min(int(code.depth[node]), 15) + 16 * bool(lm._LETTER[ctx[0]])
-            parts.append(([lg[lm._BASE[o + 1] + s[o], node] for o in (0, 1)], [slot(h[i], node, i) for i in (0, 1)], (0, gate), bit))
+            parts.append(([int(lg[lm._BASE[o + 1] + s[o], node]) / lm.SCALE for o in (0, 1)], [slot(h[i], node, i) for i in (0, 1)], (0, gate), bit))
         symbol(parts)
         at += 1
     return bits
