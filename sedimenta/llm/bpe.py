@@ -344,7 +344,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
         c = shipped.get()
         for batch in batches:
             for part in V.slices(batch):
-                text = V.as_string_array(part.column(1))
+                text = V.valid(part.column(1))
                 gone = text.is_null().to_numpy(zero_copy_only=False)
                 ids, bounds = c.encode(text)
                 back, back_off = c.decode(ids, bounds)

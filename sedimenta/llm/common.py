@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of ids or digests that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,12 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        if named is None and not sc.master.startswith("local"):
+        if named is None and re.fullmatch(r"local(\[[^\]]*\])?", sc.master) is None:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedimenta-"))
     return named or sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own in the shared folder, whatever file system that is on."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint: computed once, survives lost executors."""
     shared_dir(df.sparkSession)
@@ -41,10 +52,27 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``BROADCAST_ROWS`` rows, else as it is, to be joined by shuffle.
+
+    It is counted, so it should be cut off from its lineage; its columns should be narrow.
+    """
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def unused(docs: DataFrame, stem: str) -> str:
+    """A column name that ``docs`` doesn't have, whatever the case of letters."""
+    taken, name = {c.lower() for c in docs.columns}, f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, flagged: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not in ``flagged.doc_id``; rows without an id stay.
 
-    The columns are those of ``docs``, whatever their names.
+    The columns are those of ``docs``, whatever their names. ``flagged`` should be cut off from its lineage.
     """
-    drop = flagged.select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[f"`{id_col}`"] == drop["__drop"], "left_anti")
+    name = unused(docs, "drop")
+    drop = few(flagged.select(F.col("doc_id").alias(name)))
+    return docs.join(drop, docs[f"`{id_col}`"] == drop[name], "left_anti")

@@ -63,7 +63,7 @@ class Shapes:
     """Per-text shape statistics of a column of texts, and its folded words."""
 
     def __init__(self, col: pa.Array):
-        col = pc.fill_null(V.as_string_array(col), "")
+        col = pc.fill_null(V.valid(col), "")
         raw, off = V.buffer_of(col)
         n = len(off) - 1
         self.bytes = np.diff(off)

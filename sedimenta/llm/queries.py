@@ -26,6 +26,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def llm_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of exact dedup: insertions, deletions, resizing and verified probes."""
+    return cuckoo.exact_index(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
     "pipeline": pipeline,
+    "llm_exact_index": llm_exact_index,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op7_exact_dedup": cuckoo.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op7_exact_dedup": cuckoo.ORACLE_SQL, "llm_exact_index": cuckoo.INDEX_SQL}

@@ -250,7 +250,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
         for batch in batches:
             for part in V.slices(batch):
                 rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for doc_id, text in zip(part.column(0).to_pylist(), V.valid(part.column(1)).to_pylist()):
                     for name, s, e in credentials(text):
                         cost, cut = guess_cost(text[s:e])
                         rows.append((doc_id, name, s, e - s, text[s : s + min(4, (e - s) // 2)], round(cost, 6), " ".join(f"{k}:{b - a}" for k, a, b in cut), cost >= bits))

@@ -61,6 +61,16 @@ def as_string_array(col: pa.Array | pa.ChunkedArray) -> pa.Array:
     return col if pa.types.is_large_string(col.type) else col.cast(pa.large_string())
 
 
+def valid(col: pa.Array) -> pa.Array:
+    """The texts with U+FFFD for what isn't UTF-8, as a large_string array."""
+    col = as_string_array(col)
+    try:
+        col.validate(full=True)
+        return col
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in col.cast(pa.large_binary()).to_pylist()], pa.large_string())
+
+
 def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a large_string array; a null text is an empty range."""
     if col.null_count:
@@ -124,8 +134,7 @@ class Words:
     def __init__(self, col: pa.Array, fold: bool = True):
         """``fold``: words are lower-cased and marks separate them, so that a copy with other
         case or punctuation has the same words."""
-        col = as_string_array(col)
-        self.raw, self.off = buffer_of(pc.utf8_lower(col) if fold else col)
+        self.raw, self.off = buffer_of(pc.utf8_lower(valid(col)) if fold else as_string_array(col))
         self.start, self.end, self.first = word_spans(self.raw, self.off, _MARK if fold else _SPACE)
         self.prefix = Prefix(self.raw)
         self.hash = self.prefix(self.start, self.end)
