@@ -246,7 +246,7 @@ def brute_overlaps(rows, items, least, share):
                         score += 1 if eq else -decontam.SUBSTITUTION
                         if score > best[0]:
                             best = (score, lo, hi + 1, same)
-                if best[3] >= min(least, len(b)) and best[3] >= share * (best[2] - best[1]) and best[0] > 0:
+                if best[3] >= int(decontam.least_matches(np.array([len(b)]), least, share)[0]) and best[3] >= share * (best[2] - best[1]) and best[0] > 0:
                     found.add((i, j, d + best[1], best[2] - best[1], best[3]))
     return found
 
@@ -279,7 +279,7 @@ def test_any_stretch_that_satisfies_the_rule_is_found():
         cut = rng.randrange(0, 3)  # the text begins within the item
         b = decontam.Benchmark([1], [" ".join(item)])
         w = vectext.Words(pa.array([" ".join(x if eq else "other" for x, eq in zip(item[cut:], same[cut:]))], pa.large_string()))
-        part, least = same[cut:], min(decontam.MIN_MATCH, n)
+        part, least = same[cut:], int(decontam.least_matches(np.array([n]), decontam.MIN_MATCH, decontam.MIN_SHARE)[0])
         good = {(i, j) for i in range(len(part)) for j in range(i + 1, len(part) + 1) if (m := sum(part[i:j])) >= least and m >= decontam.MIN_SHARE * (j - i)}
         _, _, start, size, matches = b._stretch(w, np.array([[0, 0, -cut]]), decontam.MIN_MATCH, decontam.MIN_SHARE)
         assert len(start) == bool(good)
@@ -294,7 +294,7 @@ def test_decontamination_odd_rows(spark, monkeypatch):
     item = "Alpha beta gamma delta epsilon zeta eta theta"
     bench = spark.createDataFrame([(1, item), (None, item), (2, None), (3, ""), (4, "too short")], "item_id long, text string")
     rows = ODD + [(70, f"see: {item.upper()}!"), (71, "too short")]
-    assert pairs(decontam.overlaps(frame(spark, rows), bench)) == [(70, 1, 1, 8, 8)]
+    assert pairs(decontam.overlaps(frame(spark, rows), bench)) == [(70, 1, 1, 8, 8), (71, 4, 0, 2, 2)]
     assert pairs(decontam.overlaps(frame(spark, []), bench)) == []
     assert pairs(decontam.overlaps(frame(spark, rows), bench.limit(0))) == []
     # a benchmark of several passes
@@ -303,6 +303,44 @@ def test_decontamination_odd_rows(spark, monkeypatch):
     assert [x[1] for x in pairs(decontam.overlaps(frame(spark, rows), two))] == [0, 1, 2, 3]
 
 
+def test_short_items_and_their_substitutions(spark):
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "the capital of France is Paris today"), (3, "three short words"), (4, "yes"), (5, "five words are this item")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "so: alpha beta gamma delta OMEGA zeta eta theta."), (2, "the capital of spain is paris today"), (3, "see three short words here"), (4, "yes!"), (5, "yes indeed, three long words"), (6, "five words are that item"), (7, "alpha beta other other other zeta eta theta"), (8, "and five words are this item too")]
+    got = {x[:2] for x in pairs(decontam.overlaps(frame(spark, rows), bench))}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (8, 5)}
+
+
+def test_every_allowed_substitution_of_a_short_item_leaves_a_seed():
+    from itertools import combinations
+
+    for n in range(decontam.WHOLE, decontam.SHORT):
+        spare = n - int(decontam.least_matches(np.array([n]), decontam.MIN_MATCH, decontam.MIN_SHARE)[0])
+        for gone in combinations(range(n), spare):
+            assert any(all(c == "0" or at + j not in gone for j, c in enumerate(m)) for m in decontam.SHORT_MASKS for at in range(n - len(m) + 1)), (n, gone)
+
+
+def test_a_very_long_item_and_text(spark):
+    rng = random.Random(27)
+    long = words(rng, 30_000, 1 << 40)
+    text = long[100:]
+    text[5000:5200] = ["x"] * 200
+    bench = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
+    docs = frame(spark, [(1, " ".join(text)), (2, "nothing of it")]).selectExpr("doc_id", "text", "1 as item_id", "2 as start")
+    ((doc, item, start, n, m),) = pairs(decontam.overlaps(docs, bench))
+    assert (doc, item) == (1, 1) and m >= 24_000
+
+
+def test_texts_that_are_not_utf8(spark):
+    docs = frame(spark, [(1, "one two three four five six")]).selectExpr("doc_id", "cast(concat(cast(text as binary), X'20FF41') as string) as text", "sig")
+    docs = docs.union(frame(spark, [(2, "one two three four five six")]).select("doc_id", "text", "sig"))
+    assert pairs(minhash.near_duplicates(docs)) == [(2, 1)]
+    bench = spark.createDataFrame([(7, "two three four five six")], "item_id long, text string")
+    assert [x[:2] for x in pairs(decontam.overlaps(docs, bench))] == [(1, 7), (2, 7)]
+    assert cuckoo.exact_duplicates(docs).count() == 0
+    assert sorted(r.doc_id for r in minhash.stage_near_dedup(spark, docs, "").collect()) == [1]
+
+
 # substrings
 
 
