@@ -6,8 +6,8 @@ comes before it:
 * A *byte* is coded along a prefix code. Its bits are predicted by hashed contexts of the last two
   and three bytes, whose odds come from byte counts over every document of the corpus, and by two
   more hashed contexts whose odds are learned online, within the text.
-* A *flag* stands before a word whose context, the three words before it, some other document of
-  the corpus holds too: does the word follow that followed there most often? If so, it and the
+* A *flag* stands before a word whose context, the three words before it, has occurred before in the text, or some other
+  document of the corpus holds too: does the word follow that followed it last, or followed it there most often? If so, it and the
   blanks after it are known and cost no further bits; if not, its bytes come next. The flag is predicted by
   the counts of the continuation, by how many flags before it came true, and by what the text has
   taught so far.
@@ -56,7 +56,9 @@ CHUNK, HELD, PART_BYTES = 4 << 20, 1_000_000, 8 << 20
 SHORT = 9
 #: Slots of what a lane learns itself; sets of weights for bytes and flags; cells of the adaptive map for each set.
 OWN, BYTE_GATES, RUNS, CELLS = 1 << 11, 32, 8, 16
-GATES = BYTE_GATES + RUNS
+GATES = BYTE_GATES + 2 * RUNS
+#: Level of a continuation that the text itself holds; those of the corpus are even and smaller.
+OWN_LEVEL = 127
 RATE, OWN_RATE, MAP_RATE, START = 0.02, 0.5, 0.02, 0.35
 #: The adaptive map learns no smaller probability.
 LEAST = 2.0**-12
@@ -156,8 +158,8 @@ class Code:
 
 
 def contexts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, first byte, byte after its last, hash of the context, hash of the word) of all words that
-    have ``WORDS`` words before them; blanks belong to the word before them."""
+    """(text, first byte, byte after its last, hash of the context, hash of the word, place of the word whose context
+    in the text was the same last, or -1) of all words that have ``WORDS`` words before them; blanks belong to the word before them."""
     start, _, first = V.word_spans(raw, off)
     stop = np.append(start[1:], len(raw))[: len(start)]
     some = np.flatnonzero(np.diff(first))
@@ -165,7 +167,14 @@ def contexts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     at = np.flatnonzero(np.arange(len(start)) - first[doc] >= WORDS)
     h = V.Prefix(raw)
-    return doc[at], start[at], stop[at], h(start[at - WORDS], start[at]), h(start[at], stop[at])
+    doc, begin, end = doc[at], start[at], stop[at]
+    c = h(start[at - WORDS], begin)
+    tag = V.mix(c ^ V.mix(doc.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(tag, kind="stable")
+    same = np.flatnonzero(tag[order[1:]] == tag[order[:-1]])
+    last = np.full(len(at), -1)
+    last[order[same + 1]] = order[same]
+    return doc, begin, end, c, h(begin, end), last
 
 
 def _requests(docs: DataFrame, buckets: int) -> DataFrame:
@@ -177,7 +186,7 @@ def _requests(docs: DataFrame, buckets: int) -> DataFrame:
         for b, at in V.split(V.bucket(c, buckets)):
             k = key[at]
             new = np.r_[True, k[1:] != k[:-1]]
-            rows.append((b, (c[at] & _LOW).astype(np.uint32).tobytes(), w[at].tobytes(), k[new].tobytes(), np.packbits(new).tobytes()))
+            rows.append((b, (c[at] & _LOW).astype(np.uint32).tobytes(), w[at].tobytes(), k[new].tobytes(), np.packbits(new).tobytes()))  # a word is three bytes
         cols = list(zip(*rows)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "contexts", "words", "keys", "news"])
 
@@ -186,10 +195,9 @@ def _requests(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for part in V.slices(batch):
                 raw, off = V.buffer_of(V.as_string_array(part.column(1)))
-                doc, _, _, c, w = contexts(raw, off)
-                _, at = np.unique(V.mix(c ^ V.mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)
-                at.sort()
-                held.append((c[at], (w[at] & _LOW).astype(np.uint32), part.column(0).to_numpy(zero_copy_only=False)[doc[at]]))
+                doc, _, _, c, w, last = contexts(raw, off)
+                at = np.flatnonzero(last < 0)
+                held.append((c[at], w[at].view(np.uint8).reshape(-1, 8)[:, :3], part.column(0).to_numpy(zero_copy_only=False)[doc[at]]))
                 n += len(at)
                 if n >= HELD:
                     yield flush(held)
@@ -201,7 +209,7 @@ def _requests(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def continuations(c: np.ndarray, w: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, context, word, level): what follows each context most often in other documents.
+    """(key, context, level, whether it is the document's own): what follows each context most often in other documents.
 
     A record (context, word, key) is a document's first use of a context. Of the words that follow
     a context elsewhere the one in most documents is taken, of equal ones that with the least hash.
@@ -211,6 +219,11 @@ def continuations(c: np.ndarray, w: np.ndarray, key: np.ndarray) -> tuple[np.nda
     pair = c.astype(np.uint64) << np.uint64(32) | w
     order = np.argsort(pair, kind="stable")
     pair, key = pair[order], key[order]
+    # contexts that occur once are no other document's
+    ctx = pair >> np.uint64(32)
+    alone = np.r_[True, ctx[1:] != ctx[:-1], True]
+    some = ~(alone[:-1] & alone[1:])[: len(pair)]
+    pair, key = pair[some], key[some]
     first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
     n = np.diff(np.r_[first, len(pair)])
     kind = pair[first]
@@ -226,17 +239,15 @@ def continuations(c: np.ndarray, w: np.ndarray, key: np.ndarray) -> tuple[np.nda
     own = np.arange(len(kind)) == one[number]
     left = n1 - own
     second = own & (n2 > 0) & ((n2 > left) | ((n2 == left) & (w2 < w1)))
-    word, count = np.where(second, w2, w1), np.where(second, n2, left)
+    count = np.where(second, n2, left)
     others = total[number] - 1
     level = np.round(np.clip(np.log((count + 0.4) / (others - count + 0.4)), -8, 8) * SCALE).astype(np.int8)
     rec = np.repeat(np.arange(len(kind)), n)
-    keep = np.flatnonzero(count[rec] > 0)
-    rec, key = rec[keep], key[keep]
     order = np.lexsort((rec, key))
     rec, key = rec[order], key[order]
     once = np.r_[True, (rec[1:] != rec[:-1]) | (key[1:] != key[:-1])][: len(rec)]
     rec, key = rec[once], key[once]
-    return key, ctx[rec].astype(np.uint32), (word[rec] & _LOW).astype(np.uint32), level[rec]
+    return key, ctx[rec].astype(np.uint32), level[rec], (own & ~second)[rec]
 
 
 class Parts:
@@ -263,23 +274,28 @@ class Parts:
 
 
 def known(docs: DataFrame, buckets: int, parts: Parts) -> DataFrame:
-    """(part, keys, sizes, contexts, words, levels): answers packed by the part of the documents that asked; ``docs`` holds key and text."""
+    """(part, keys, sizes, contexts, levels): answers packed by the part of the documents that asked; ``docs`` holds key and text.
+
+    A level's last bit says whether the continuation is the document's own."""
 
     def run(t: pa.Table) -> pa.Table:
-        c, w = (np.concatenate([np.frombuffer(x, np.uint32) for x in t[name].to_pylist()]) for name in ("contexts", "words"))
+        c = np.concatenate([np.frombuffer(x, np.uint32) for x in t["contexts"].to_pylist()])
+        w = np.zeros((len(c), 4), np.uint8)
+        w[:, :3] = np.concatenate([np.frombuffer(x, np.uint8) for x in t["words"].to_pylist()]).reshape(-1, 3)
         keys = []
-        for k, new, x in zip(t["keys"].to_pylist(), t["news"].to_pylist(), t["words"].to_pylist()):
+        for k, new, x in zip(t["keys"].to_pylist(), t["news"].to_pylist(), t["contexts"].to_pylist()):
             keys.append(np.frombuffer(k, np.int64)[np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(x) // 4), dtype=np.int64) - 1])
-        key, c, w, level = continuations(c, w, np.concatenate(keys))
+        key, c, level, hit = continuations(c, w.view(np.uint32).ravel(), np.concatenate(keys))
+        level = (level.astype(np.int16) & ~1 | hit).astype(np.int8)
         rows = []
         for p, at in V.split(parts.numbers(key)):
             k = key[at]
             head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            rows.append((p, k[head].tobytes(), np.diff(np.r_[head, len(k)]).astype(np.uint32).tobytes(), c[at].tobytes(), w[at].tobytes(), level[at].tobytes()))
-        cols = list(zip(*rows)) or [()] * 6
-        return pa.table({name: pa.array(x, pa.int32() if name == "part" else pa.binary()) for name, x in zip(("part", "keys", "sizes", "contexts", "words", "levels"), cols)})
+            rows.append((p, k[head].tobytes(), np.diff(np.r_[head, len(k)]).astype(np.uint32).tobytes(), c[at].tobytes(), level[at].tobytes()))
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.table({name: pa.array(x, pa.int32() if name == "part" else pa.binary()) for name, x in zip(("part", "keys", "sizes", "contexts", "levels"), cols)})
 
-    return _requests(docs, buckets).groupBy("bucket").applyInArrow(run, "part int, keys binary, sizes binary, contexts binary, words binary, levels binary")
+    return _requests(docs, buckets).groupBy("bucket").applyInArrow(run, "part int, keys binary, sizes binary, contexts binary, levels binary")
 
 
 # scoring
@@ -289,7 +305,8 @@ class Symbols:
     """The symbols of some texts: bytes, and flags before words whose continuation is known."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, start: np.ndarray, stop: np.ndarray, hit: np.ndarray, level: np.ndarray):
-        """``start``, ``stop``: bytes of the words with a flag, in order; ``hit``: the flag is true."""
+        """``start``, ``stop``: bytes of the words with a flag, in order; ``hit``: the flag is true; ``level``: OWN_LEVEL where the text
+        itself says what comes."""
         n = len(raw)
         self.raw, self.off, self.level, self.hit = raw, off, level, hit
         cover = np.zeros(n + 1, np.int8)
@@ -311,7 +328,7 @@ class Symbols:
         fresh = np.r_[True, text[1:] != text[:-1]][: len(start)]
         stop_at = np.where(fresh, k, 0)
         stop_at[1:] = np.maximum(stop_at[1:], np.where(hit[:-1], 0, k[1:]))
-        self.run = np.minimum(k - np.maximum.accumulate(stop_at), RUNS - 1)
+        self.run = np.minimum(k - np.maximum.accumulate(stop_at), RUNS - 1) + RUNS * (level == OWN_LEVEL)
         self.number = np.cumsum(flag, dtype=np.int32) - 1
 
 
@@ -535,17 +552,22 @@ def _score_part(model: Model, left: pa.Table, right: pa.Table) -> pa.Table:
     flat = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in right[name].to_pylist())])
     tags = ask(np.repeat(flat("keys", np.int64), flat("sizes", np.uint32)), flat("contexts", np.uint32).astype(np.uint64))
     order = np.argsort(tags)
-    tags, words, levels = tags[order], flat("words", np.uint32)[order], flat("levels", np.int8)[order]
+    tags, levels = tags[order], flat("levels", np.int8)[order]
     own_text = text.take(pa.array(at))
     found, lo, base = [], 0, 0
     for part in V.slices(pa.RecordBatch.from_arrays([own_text], ["text"])):
         raw, off = V.buffer_of(part.column(0))
-        doc, start, stop, c, w = contexts(raw, off)
-        tag = ask(own[lo : lo + part.num_rows][doc], c)
+        doc, start, stop, c, w, last = contexts(raw, off)
+        hit, level = w == w[last], np.full(len(w), OWN_LEVEL, np.int8)
+        new = np.flatnonzero(last < 0)
+        tag = ask(own[lo : lo + part.num_rows][doc[new]], c[new])
         place = np.minimum(np.searchsorted(tags, tag), max(0, len(tags) - 1))
-        asked = np.flatnonzero(tags[place] == tag) if len(tags) else np.empty(0, np.int64)
-        place = place[asked]
-        found.append((start[asked] + base, stop[asked] + base, (w[asked] & _LOW).astype(np.uint32) == words[place], levels[place]))
+        asked = tags[place] == tag if len(tags) else np.zeros(len(tag), bool)
+        answer = levels[place[asked]] if len(tags) else levels
+        hit[new[asked]], level[new[asked]] = answer & 1, answer & ~1
+        known = np.ones(len(w), bool)
+        known[new[~asked]] = False
+        found.append((start[known] + base, stop[known] + base, hit[known], level[known]))
         lo, base = lo + part.num_rows, base + len(raw)
     bits = model.score(*V.buffer_of(own_text), tuple(map(np.concatenate, zip(*found))) or None)[row]
     size = np.diff(V.buffer_of(text)[1])

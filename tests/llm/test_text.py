@@ -1,6 +1,7 @@
 import base64
 import math
 import random
+import re
 import struct
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sedimenta.llm import bpe, lm, quality, secrets, sharding, warc
+from sedimenta.llm import bpe, lm, quality, secrets, sharding, vectext, warc
 
 ODD = [(None, "some text"), (None, None), (50, None), (51, ""), (52, "   \n"), (53, "a"), (53, "a"), (54, "é" * 20_000)]
 DOCS = "doc_id long, text string, keep string, p_bad int"
@@ -384,8 +385,9 @@ def slow_score(model, raw, flags=()):
     while at < len(raw):
         if at in flags:
             _, stop, hit, level = flags[at]
-            own = [slot(u32((run + 1) * K2), lm._FLAG, 0), slot(u32((level + 1000) * K), lm._FLAG, 1)]
-            symbol([([level / lm.SCALE, 1.0], own, (1, run), int(hit))])
+            kind = run + lm.RUNS * (level == lm.OWN_LEVEL)
+            own = [slot(u32((kind + 1) * K2), lm._FLAG, 0), slot(u32((level + 1000) * K), lm._FLAG, 1)]
+            symbol([([level / lm.SCALE, 1.0], own, (1, kind), int(hit))])
             run = min(run + 1, lm.RUNS - 1) if hit else 0
             if hit:
                 at = stop
@@ -404,27 +406,31 @@ def slow_score(model, raw, flags=()):
     return bits
 
 
-def brute_answers(texts):
-    """What follows each context of three words most often in other documents: {(text number, context): (word, level)}."""
+def brute_flags(texts):
+    """Flags of each text: a context of three words that it has held before says what followed last; else what follows it most often,
+    first in a document, in other documents."""
     cuts = []
     for t in texts:
-        raw, off = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])
-        _, start, stop, c, w = lm.contexts(raw, off)
-        cuts.append([(a, z, int(x) & 0xFFFFFFFF, int(y) & 0xFFFFFFFF) for a, z, x, y in zip(start.tolist(), stop.tolist(), c.tolist(), w.tolist())])
+        raw = t.encode()
+        at = [m.start() for m in re.finditer(rb"[^ \t-\r]+", raw)] + [len(raw)]
+        cuts.append([(at[i], at[i + 1], raw[at[i - 3] : at[i]], raw[at[i] : at[i + 1]]) for i in range(3, len(at) - 1)])
     first = [{} for _ in texts]
     for f, words in zip(first, cuts):
         for _, _, c, w in words:
             f.setdefault(c, w)
+    h = lambda w: int(vectext.range_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) & 0xFFFFFF
     flags = []
     for i, words in enumerate(cuts):
-        own = []
+        own, seen = [], {}
         for a, z, c, w in words:
             others = Counter(f[c] for k, f in enumerate(first) if k != i and c in f)
-            if others:
-                best = min(others, key=lambda x: (-others[x], x))
+            if c in seen:
+                own.append((a, z, seen[c] == w, lm.OWN_LEVEL))
+            elif others:
+                best = min(others, key=lambda x: (-others[x], h(x)))
                 n, total = others[best], others.total()
-                level = int(np.round(np.clip(math.log((n + 0.4) / (total - n + 0.4)), -8, 8) * lm.SCALE))
-                own.append((a, z, best == w, level))
+                own.append((a, z, best == w, int(np.round(np.clip(math.log((n + 0.4) / (total - n + 0.4)), -8, 8) * lm.SCALE)) & ~1))
+            seen[c] = w
         flags.append(own)
     return flags
 
@@ -440,13 +446,14 @@ def test_lm_equals_a_plain_version_and_tells_text_from_noise(spark):
     got = {r.doc_id: r for r in lm.score_corpus(docs).collect()}
     model = lm.train(docs.where("text is not null").selectExpr("0L key", "text"))
     texts = [t for _, t in rows] + [t for _, t in ODD[1:6] if t is not None]
-    flags = brute_answers(texts)
+    flags = brute_flags(texts)
     for i in (0, 7, 25, 43, 44, 46):
         raw = rows[i][1].encode()
         want = slow_score(model, raw, flags[i])
         assert abs(got[i].bits - want) < 0.002 * want + 0.2 and got[i].n_bytes == len(raw)
     assert any(f[2] for f in flags[0]) and any(not f[2] for f in flags[0])
     assert np.mean([got[i].bits_per_byte for i in range(40)]) < 2 < 4 < np.mean([got[i].bits_per_byte for i in range(40, 43)])
+    assert any(f[3] == lm.OWN_LEVEL for f in flags[0])
     # a text that the corpus holds twice is known
     assert got[44].bits == got[45].bits < 0.3 * got[43].bits and got[46].bits < 0.6 * got[43].bits
     assert got[250].bits is None and got[251].bits == 0 and got[251].bits_per_byte is None
