@@ -3,7 +3,9 @@
 1. *Labellers.* Overlapping heuristics look at every document and vote bad (1), good (0) or
    abstain (-1): one set for quality, one for toxicity. Where the ``labels`` table covers a
    document, its annotator is one more labeller of a bounded share (``ANNOTATED`` of 100 ids
-   are used, by a hash of the id); the others stay unseen, for held-out accuracy.
+   are used, by a hash of the id); the others stay unseen, for held-out accuracy. No word is named here: the two word
+   lists that vote on toxicity are learned from annotated documents, each from one half of at most ``LEARN`` of them, and
+   a list doesn't vote on annotated documents of its own half.
 2. *Label model.* The votes of all documents are counted by pattern. Expectation-maximisation
    over the pattern counts gives each labeller's accuracy on either class, and the
    posterior of each pattern.
@@ -28,18 +30,21 @@ from .common import cut, table, texts
 
 #: Documents of the training sample, of each stratum; hash buckets; share of ids whose annotation is used, in 100.
 SAMPLE, DIM, ANNOTATED = 4000, 1 << 18, 50
-#: Fewer words than this say nothing about quality.
-FEW = 5
+#: Annotated documents from which the word lists are learned, at most.
+LEARN = 12_000
+#: A listed word has stood behind so many different words in toxic documents, and such places are this share of all of its.
+CONTEXTS, PURITY, LISTED = 6, 0.8, 20_000
+#: On a text of fewer words the heuristics abstain; words of a window in which distinct words are counted.
+FEW, WINDOW = 5, 100
 #: Probability of being bad from which a document is rejected.
 REJECT = 0.5
 #: Weight of a shape statistic against a word of a text of 100 features.
 SHAPE_VALUE = 4.0
-INSULTS = ("idiot", "moron", "scum", "loser", "trash", "stupid", "pathetic", "worthless", "disgusting", "clown")
 SHAPES = ("upper", "marks", "loose", "repeat", "distinct", "lines", "length", "digits")
 QUALITY = ("upper", "marks", "loose", "repeat", "distinct", "lines", "annotator_q")
-TOXIC = ("insult", "abuse", "annotator_t")
-#: The insults are English: on a text with a smaller share of these words the lists abstain.
-ENGLISH, ENGLISH_SHARE = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "with", "was", "this"), 0.04
+TOXIC = ("list_a", "list_b", "annotator_t")
+#: A list says good only where it knows this share of a text's distinct words from its own documents.
+FAMILIAR = 0.3
 
 
 def _class_table(test) -> np.ndarray:
@@ -52,17 +57,51 @@ _ALNUM = _class_table(str.isalnum) | (np.arange(256) >= 128)
 _NEWLINE = np.arange(256) == 10
 
 
-def _hashes(words: tuple[str, ...]) -> np.ndarray:
-    return V.Words(pa.array([" ".join(words)], pa.large_string())).hash
+class Lists:
+    """Two word lists, as sorted hashes: words of toxic documents, and all words that their documents hold."""
 
+    def __init__(self, toxic: list[np.ndarray] | None = None, heard: list[np.ndarray] | None = None):
+        none = [np.empty(0, np.uint64)] * 2
+        self.toxic, self.heard = toxic or none, heard or none
 
-_INSULT, _ABUSE, _ENGLISH = _hashes(INSULTS[:6]), _hashes(INSULTS[6:]), _hashes(ENGLISH)
+
+def _held(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    if not len(sorted_hashes):
+        return np.zeros(len(h), bool)
+    return sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)] == h
+
+
+def word_list(words: V.Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of words that tell toxic texts, hashes of all words), both sorted, from the words of some texts and whether each is toxic.
+
+    A word's places are the different words that it stands behind, so that copies of one text count once.
+    """
+    h, doc = words.hash, words.doc
+    if not len(h):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    before = np.r_[np.uint64(0), h[:-1]]
+    before[words.first[:-1][np.diff(words.first) > 0]] = 0
+    place = V.mix(h ^ V.mix(before + np.uint64(1)))
+    kinds, number = np.unique(h, return_inverse=True)
+    _, first = np.unique(place, return_index=True)
+    bad = toxic[doc]
+    everywhere = np.bincount(number[first], minlength=len(kinds))
+    at = np.flatnonzero(bad)
+    _, first = np.unique(place[at], return_index=True)
+    in_toxic = np.bincount(number[at[first]], minlength=len(kinds))
+    at = np.flatnonzero(~bad)
+    _, first = np.unique(place[at], return_index=True)
+    in_clean = np.bincount(number[at[first]], minlength=len(kinds))
+    listed = np.flatnonzero((in_toxic >= CONTEXTS) & (in_toxic >= PURITY * (in_toxic + in_clean)))
+    if len(listed) > LISTED:
+        listed = np.sort(listed[np.argsort(-in_toxic[listed], kind="stable")[:LISTED]])
+    return kinds[listed], kinds[everywhere > 0]
 
 
 class Shapes:
     """Per-text shape statistics of a column of texts, and its folded words."""
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, lists: Lists | None = None):
         col = pc.fill_null(V.valid(col), "")
         raw, off = V.buffer_of(col)
         n = len(off) - 1
@@ -106,7 +145,6 @@ class Shapes:
         new[1:] = sk[1:] != sk[:-1]
         self.uniq = order[new]
         total = np.diff(self.words.first)
-        distinct = np.bincount(wd[self.uniq], minlength=n)[:n]
         self.n = n
         self.total = total
         self.stat = {
@@ -114,15 +152,33 @@ class Shapes:
             "marks": share(_ODD[raw], self.bytes),
             "loose": per(loose),
             "repeat": per(again),
-            "distinct": distinct / np.maximum(1, total),
+            "distinct": self._distinct(wd, total),
             "lines": 1 - kinds / np.maximum(1, lines),
             "length": self.bytes / np.maximum(1, words),
             "digits": share(_DIGIT[raw], self.bytes),
         }
         uh, ud = self.words.hash[self.uniq], wd[self.uniq]
-        self.insult = np.bincount(ud[np.isin(uh, _INSULT)], minlength=n)[:n]
-        self.abuse = np.bincount(ud[np.isin(uh, _ABUSE)], minlength=n)[:n]
-        self.english = np.bincount(ud[np.isin(uh, _ENGLISH)], minlength=n)[:n]
+        kinds = np.bincount(ud, minlength=n)[:n]
+        per_text = lambda mask: np.bincount(ud[mask], minlength=n)[:n]
+        lists = lists or Lists()
+        self.listed = [per_text(_held(x, uh)) for x in lists.toxic]
+        self.familiar = [per_text(_held(x, uh)) / np.maximum(1, kinds) if len(x) else np.zeros(n) for x in lists.heard]
+
+    def _distinct(self, doc: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Share of distinct words in windows of WINDOW words, over all windows of a text, so that it means the same at any length.
+
+        A last window that isn't full counts with the one before it.
+        """
+        windows = np.maximum(1, total // WINDOW)
+        base = np.cumsum(windows) - windows
+        inside = np.arange(len(doc)) - self.words.first[doc]
+        window = base[doc] + np.minimum(inside // WINDOW, windows[doc] - 1)
+        bits = np.uint64(max(1, int(windows.sum()).bit_length()))
+        key = np.sort((window.astype(np.uint64) << (np.uint64(64) - bits)) | (self.words.hash >> bits))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        found = np.bincount((key[new] >> (np.uint64(64) - bits)).astype(np.int64), minlength=int(windows.sum()))
+        return np.add.reduceat(found, base) / np.maximum(1, total) if len(base) else np.empty(0)
 
     def votes(self) -> np.ndarray:
         """``n x 8`` votes of the heuristics, in the order of QUALITY and TOXIC without annotators."""
@@ -131,19 +187,17 @@ class Shapes:
         def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
             return np.where(~some, -1, np.where(bad, 1, np.where(good, 0, -1)))
 
-        # shares of distinct words, so that one repeated word says nothing
-        english = self.english >= ENGLISH_SHARE * np.minimum(100, np.maximum(20, self.total))
-        tox = lambda hit: np.where(hit > 0, 1, np.where(english, 0, -1))
+        tox = lambda hit, familiar: np.where(hit > 0, 1, np.where(familiar >= FAMILIAR, 0, -1))
         return np.stack(
             [
                 vote(s["upper"] > 0.5, s["upper"] < 0.2),
                 vote(s["marks"] > 0.06, s["marks"] < 0.03),
                 vote(s["loose"] > 0.2, s["loose"] < 0.05),
                 vote(s["repeat"] > 0.2, s["repeat"] < 0.05),
-                vote((s["distinct"] < 0.12) & (self.total < 2000), s["distinct"] > 0.3),
+                vote(s["distinct"] < 0.2, s["distinct"] > 0.35),
                 vote(s["lines"] > 0.4, s["lines"] < 0.1),
-                tox(self.insult),
-                tox(self.abuse),
+                tox(self.listed[0], self.familiar[0]),
+                tox(self.listed[1], self.familiar[1]),
             ],
             1,
         ).astype(np.int8)
@@ -173,47 +227,58 @@ class Shapes:
         return o[order], f[order], value[order]
 
 
-def vote_rows(docs: DataFrame) -> DataFrame:
+def vote_rows(docs: DataFrame, lists: Lists | None = None) -> DataFrame:
     """(doc_id, v0 .. v7): votes of the heuristics for documents given as doc_id and text."""
+    shipped = docs.sparkSession.sparkContext.broadcast(lists or Lists())  # of what LEARN documents hold
     names = [f"v{i}" for i in range(len(QUALITY) + len(TOXIC) - 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch):
-                v = Shapes(part.column(1)).votes()
+                v = Shapes(part.column(1), shipped.value).votes()
                 yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(v[:, i].astype(np.int32)) for i in range(v.shape[1])], ["doc_id", *names])
 
     return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} int" for x in names))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, trusted: int = -1, silence: bool = True, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, trusted: int = -1, silence: bool = True, rounds: int = 100, kinds: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of bad for each pattern, p[labeller, class, vote + 1], prior of bad) by EM.
 
     Given the class, labellers vote independently; each has its own odds of voting bad or good
-    or abstaining on either class, so a detector of one kind of bad text, which abstains on
-    the other kinds, isn't taken for a poor one. To begin with a vote for bad is strong evidence,
+    or abstaining on either class. To begin with a vote for bad is strong evidence,
     one for good weak, and labeller ``trusted`` seldom errs. Every odds keeps a little weight,
     so that no labeller becomes certain. Without ``silence`` an abstention says nothing: for
     labellers that abstain where they can't judge.
+
+    With ``kinds``, labellers detect different kinds of bad: bad texts are a class for each labeller, on which it begins as
+    the one that notices, so that a detector of one kind isn't taken for a poor one, nor its silence on others for praise.
+    Their posteriors are added up, and ``p`` and the prior are those of all bad classes together.
     """
     m = patterns.shape[1]
-    p = np.tile(np.array([[0.3, 0.68, 0.02], [0.3, 0.4, 0.3]]), (m, 1, 1))
-    p[trusted] = [[0.5, 0.498, 0.002], [0.5, 0.002, 0.498]]
-    prior = 0.1
+    good, weak, strong = [0.3, 0.68, 0.02], [0.25, 0.6, 0.15], [0.3, 0.4, 0.3]
+    bad = m if kinds else 1
+    p = np.tile(np.array([good] + [weak if kinds else strong] * bad), (m, 1, 1))
+    if kinds:
+        p[np.arange(m), np.arange(m) + 1] = [0.1, 0.1, 0.8]
+    p[trusted] = [[0.5, 0.498, 0.002]] + [[0.5, 0.002, 0.498]] * bad
+    prior = np.array([0.9] + [0.1 / bad] * bad)
     hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
     if not silence:
         hot[:, :, 0] = 0
         p[:, :, 0] = 0
         p /= p.sum(2, keepdims=True)
-    post = np.full(len(patterns), prior)
+    post = np.tile(prior, (len(patterns), 1))
     for _ in range(rounds):
-        ll = np.einsum("nmv,mcv->nc", hot, np.log(np.maximum(p, 1e-12))) + np.log([1 - prior, prior])
-        post = 1 / (1 + np.exp(np.clip(ll[:, 0] - ll[:, 1], -500, 500)))
-        w = np.stack([counts * (1 - post), counts * post], 1)
+        ll = np.einsum("nmv,mcv->nc", hot, np.log(np.maximum(p, 1e-12))) + np.log(prior)
+        post = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -500))
+        post /= post.sum(1, keepdims=True)
+        w = counts[:, None] * post
         n = np.einsum("nc,nmv->mcv", w, hot) + np.array([0.5 * silence, 0.5, 0.5])
         p = n / n.sum(2, keepdims=True)
-        prior = float(np.clip((w[:, 1].sum() + 1) / (counts.sum() + 10), 1e-4, 0.5))
-    return post, p, prior
+        prior = w.sum(0) + np.array([9] + [1 / bad] * bad)
+        prior = np.maximum(prior / prior.sum(), 1e-6)
+    share = prior[1:] / prior[1:].sum()
+    return 1 - post[:, 0], np.stack([p[:, 0], np.einsum("mcv,c->mv", p[:, 1:], share)], 1), float(1 - prior[0])
 
 
 def train_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, epochs: int = 12, rate: float = 0.15, l2: float = 1e-5) -> np.ndarray:
@@ -244,6 +309,24 @@ def score(shapes: Shapes, weights: list[np.ndarray]) -> list[np.ndarray]:
     return [1 / (1 + np.exp(-np.clip(np.bincount(doc, w[f] * x, shapes.n) + w[DIM], -30, 30))) for w in weights]
 
 
+def learn_lists(d: DataFrame, annotated: DataFrame) -> Lists:
+    """The word lists of both halves of at most ``LEARN`` annotated documents, the least by a hash of the id."""
+    chosen = annotated.where("at in (0, 1)").orderBy(F.xxhash64("doc_id", F.lit(11))).limit(LEARN).select("doc_id", "at", "half")
+    picked = d.join(F.broadcast(chosen), "doc_id").select("half", "at", "text")  # at most LEARN rows
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), pa.schema([("half", pa.int32()), ("at", pa.int32()), ("text", pa.string())]))
+        out = []
+        for half in (0, 1):
+            own = t.filter(pc.equal(t["half"], half))
+            out += [x.tobytes() for x in word_list(V.Words(V.as_string_array(own["text"])), own["at"].to_numpy() == 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["hashes"])
+
+    rows = picked.repartition(1).mapInArrow(learn, "hashes binary").collect()
+    a, b, c, e = (np.frombuffer(r.hashes, np.uint64) for r in rows) if rows else [np.empty(0, np.uint64)] * 4
+    return Lists([a, c], [b, e])
+
+
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[np.ndarray], dict]:
     """Weights of the two scorers and the label model's estimates.
 
@@ -251,13 +334,17 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     d = texts(docs, id_col, text_col)
-    votes = vote_rows(d)
+    lists = Lists()
     if labels is not None:
         a = labels.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < ANNOTATED)
         a = a.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("aq"), F.max("toxic").cast("int").alias("at"))
-        votes = votes.join(a, "doc_id", "left")
+        a = cut(a.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")))
+        lists = learn_lists(d, a)
+        votes = vote_rows(d, lists).join(a, "doc_id", "left")
+        # a list has seen the annotated documents of its half
+        votes = votes.withColumns({c: F.when(F.col("half") == i, -1).otherwise(F.col(c)) for i, c in enumerate(("v6", "v7"))})
     else:
-        votes = votes.withColumns({"aq": F.lit(None).cast("int"), "at": F.lit(None).cast("int")})
+        votes = vote_rows(d).withColumns({"aq": F.lit(None).cast("int"), "at": F.lit(None).cast("int")})
     votes = votes.withColumns({c: F.when(F.col(c).isin(0, 1), F.col(c)).otherwise(-1) for c in ("aq", "at")})
     votes = cut(votes)
     q_cols, t_cols = [f"v{i}" for i in range(6)] + ["aq"], [f"v{i}" for i in range(6, 8)] + ["at"]
@@ -269,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
         c = np.array([r[-1] for r in rows], float)
         said = (p >= 0).any(1)  # documents on which all abstain teach nothing
         p, c = p[said], c[said]
-        model[kind] = fit_label_model(p, c, silence=kind == "quality")
+        model[kind] = fit_label_model(p, c, silence=kind == "quality", kinds=kind == "quality")
         post[kind] = spark.createDataFrame([(*map(int, x), float(y)) for x, y in zip(p, model[kind][0])], ", ".join(f"{x} int" for x in cols) + f", p_{kind} double")
     pq, pt = post["quality"], post["toxic"]
     labelled = votes.join(F.broadcast(pq), q_cols, "left").join(F.broadcast(pt), t_cols, "left")  # at most 3 ** 7 rows each
@@ -316,7 +403,8 @@ def classify(docs: DataFrame, weights: list[np.ndarray], id_col: str = "doc_id",
     """(doc_id, p_bad, p_toxic, keep) for every row, in whatever order.
 
     A row without text, or with a text without words, has nothing to be judged by: null
-    probabilities, and it is kept. A text of fewer than ``FEW`` words has no ``p_bad``. Repeated rows and rows without id have a row each.
+    probabilities, and it is kept. Every other text is judged whole, however short or long. Repeated rows and rows
+    without id have a row each; extra columns are ignored; an empty table gives no rows; what isn't UTF-8 counts as U+FFFD.
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -325,9 +413,9 @@ def classify(docs: DataFrame, weights: list[np.ndarray], id_col: str = "doc_id",
             for part in V.slices(batch):
                 s = Shapes(part.column(1))
                 q, t = score(s, weights)
-                blank, few = s.total == 0, s.total < FEW
-                keep = (few | (q < reject)) & (blank | (t < reject))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(q, mask=few), pa.array(t, mask=blank), pa.array(keep)], ["doc_id", "p_bad", "p_toxic", "keep"])
+                blank = s.total == 0
+                keep = blank | (q < reject) & (t < reject)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(q, mask=blank), pa.array(t, mask=blank), pa.array(keep)], ["doc_id", "p_bad", "p_toxic", "keep"])
 
     return d.mapInArrow(run, "doc_id long, p_bad double, p_toxic double, keep boolean")
 
@@ -342,7 +430,8 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier rejects, for quality or toxicity, go.
 
     A rejected text takes along every row with that text and nothing else: the decision is a
-    function of the text alone.
+    function of the text alone. Rows without id are judged as any other; those without text or words stay; an empty table stays
+    empty, and with nothing to learn from nothing is rejected. The columns are those of ``docs``, whatever their names.
     """
     weights, _ = fit(docs, table(spark, sf_dir, "labels"))
     text = docs.schema.fieldNames().index("text")
@@ -350,8 +439,8 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch, batch.schema.names[text]):
-                s = Shapes(part.column(text).cast(pa.large_string()))
+                s = Shapes(part.column(text))
                 q, t = score(s, weights)
-                yield part.filter(pa.array(((s.total < FEW) | (q < REJECT)) & ((s.total == 0) | (t < REJECT))))
+                yield part.filter(pa.array((s.total == 0) | (q < REJECT) & (t < REJECT)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -133,13 +133,147 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(clean) > 0.97
 
 
+def plain_label_model(patterns, counts, rounds, kinds):
+    """EM, a pattern, a labeller and a class at a time."""
+    m = len(patterns[0])
+    bad = m if kinds else 1
+    p = [[[0.3, 0.68, 0.02], *([[0.25, 0.6, 0.15] if kinds else [0.3, 0.4, 0.3]] * bad)] for _ in range(m)]
+    for j in range(m if kinds else 0):
+        p[j][j + 1] = [0.1, 0.1, 0.8]
+    p[-1] = [[0.5, 0.498, 0.002], *([[0.5, 0.002, 0.498]] * bad)]
+    prior = [0.9, *([0.1 / bad] * bad)]
+    for _ in range(rounds):
+        post = []
+        for row in patterns:
+            like = list(prior)
+            for j, v in enumerate(row):
+                like = [x * p[j][c][v + 1] for c, x in enumerate(like)]
+            post.append([x / sum(like) for x in like])
+        for j in range(m):
+            for c in range(bad + 1):
+                n = [0.5] * 3
+                for row, k, q in zip(patterns, counts, post):
+                    n[row[j] + 1] += k * q[c]
+                p[j][c] = [x / sum(n) for x in n]
+        prior = [sum(k * q[c] for k, q in zip(counts, post)) + (1 / bad if c else 9) for c in range(bad + 1)]
+        prior = [x / sum(prior) for x in prior]
+    return [1 - q[0] for q in post], 1 - prior[0]
+
+
+def test_label_model_equals_a_plain_one():
+    rng = random.Random(14)
+    for bad_share in (0.1, 0.7):  # a mostly bad corpus too
+        votes = Counter()
+        for _ in range(3000):
+            y = rng.random() < bad_share
+            votes[tuple(-1 if rng.random() < 0.3 else int(y if rng.random() < a else not y) for a in (0.9, 0.8, 0.85, 0.98))] += 1
+        rows, counts = zip(*sorted(votes.items()))
+        for kinds in (False, True):
+            post, _, prior = quality.fit_label_model(np.array(rows, np.int8), np.array(counts, float), rounds=30, kinds=kinds)
+            want, want_prior = plain_label_model(rows, counts, 30, kinds)
+            assert np.allclose(post, want, atol=1e-6) and abs(prior - want_prior) < 1e-6
+            assert kinds or abs(prior - bad_share) < 0.05
+
+
+def test_detectors_of_different_kinds_are_told_from_poor_ones():
+    rng = np.random.default_rng(24)
+    n = 20_000
+    kind = np.where(rng.random(n) < 0.15, rng.integers(0, 4, n), -1)  # bad texts of four kinds, each seen by one detector
+    votes = np.stack([np.where(kind == k, rng.random(n) < 0.9, rng.random(n) < 0.003) for k in range(4)] + [kind >= 0], 1).astype(np.int8)
+    votes[rng.random(n) < 0.8, 4] = -1  # annotated: a fifth
+    p, inverse, c = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, _, prior = quality.fit_label_model(p, c.astype(float), kinds=True)
+    said = post[inverse.ravel()] > 0.5
+    assert said[kind >= 0].mean() > 0.85 and said[kind < 0].mean() < 0.02 and abs(prior - 0.15) < 0.03
+
+
+def test_scorer_equals_a_plain_one():
+    """Training and scoring, a text and a feature at a time."""
+    rng = np.random.default_rng(15)
+    n, size = 130, rng.integers(1, 6, 130)
+    doc = np.repeat(np.arange(n), size)
+    f = np.concatenate([rng.permutation(40)[:k] for k in size])
+    x, y = rng.random(len(f)) + 0.5, rng.random(n)
+    got = quality.train_scorer(doc, f, x, y, epochs=3)
+    w, g2, order = {}, {}, np.random.default_rng(5)
+    D = quality.DIM
+    for _ in range(3):
+        for batch in np.array_split(order.permutation(n), max(1, n // 64)):
+            grad, bias = {}, 0.0
+            for i in batch:
+                own = [(int(a), b) for a, b in zip(f[doc == i], x[doc == i])]
+                err = 1 / (1 + math.exp(-(w.get(D, 0.0) + sum(w.get(a, 0.0) * b for a, b in own)))) - y[i]
+                bias += err / len(batch)
+                for a, b in own:
+                    grad[a] = grad.get(a, 0.0) + err * b / len(batch)
+            for a, g in [(a, g + 1e-5 * w.get(a, 0.0)) for a, g in grad.items()] + [(D, bias)]:
+                g2[a] = g2.get(a, 0.1) + g * g
+                w[a] = w.get(a, 0.0) - 0.15 * g / math.sqrt(g2[a])
+    want = np.zeros(D + 1)
+    want[list(w)] = list(w.values())
+    assert np.allclose(got, want, atol=1e-5)
+    # probabilities of texts
+    texts = ["One, two three", "UPPER case | words | three", "", "x " * 300]
+    s = quality.Shapes(pa.array(texts))
+    o, b, v = s.features()
+    weights = np.random.default_rng(16).normal(size=D + 1).astype(np.float32)
+    (p,) = quality.score(s, [weights])
+    for i in range(len(texts)):
+        z = weights[D] + sum(weights[k] * u for t, k, u in zip(o, b, v) if t == i)
+        assert abs(p[i] - 1 / (1 + math.exp(-min(30, max(-30, z))))) < 1e-6
+
+
+def test_shapes_equal_plain_ones():
+    rng = random.Random(18)
+    texts = ["", "a", "A B c! 12 $$ | x", "one two " * 400, "line of some length here\n" * 5 + "another line of length\nshort\n"]
+    texts += [" ".join(rng.choice(["Ab", "c|", "|", "é", "12", "word", "word", "UP", "x-y"]) for _ in range(rng.randrange(1, 450))) for _ in range(30)]
+    got = quality.Shapes(pa.array(texts)).stat
+    share = lambda k, n: k / max(1, n)
+    for i, t in enumerate(texts):
+        raw, w = t.encode(), t.split()
+        folded = [x for x in re.split(r"[^0-9a-z\u0080-\uffff]+", t.lower()) if x]
+        windows = [folded[k * 100 : (k + 1) * 100] for k in range(max(1, len(folded) // 100))]
+        windows[-1] = folded[(len(windows) - 1) * 100 :]
+        lines = [x for x in re.split(rb"(?<=\n)", raw) if len(x) > 20]
+        want = {
+            "upper": share(sum(x in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" for x in raw), sum(chr(x).isalpha() and x < 128 for x in raw)),
+            "marks": share(sum(x in b"!#$%&*|<>{}[]\\^~=+_@/" for x in raw), len(raw)),
+            "loose": share(sum(not any(c.isalnum() or ord(c) > 127 for c in x) for x in w), len(w)),
+            "repeat": share(sum(a == b for a, b in zip(w, w[1:])), len(w)),
+            "distinct": share(sum(len(set(x)) for x in windows), len(folded)),
+            "lines": 1 - share(len(set(lines)), len(lines)) if lines else 1.0,
+            "length": share(len(raw), len(w)),
+            "digits": share(sum(48 <= x < 58 for x in raw), len(raw)),
+        }
+        for name, v in want.items():
+            assert abs(got[name][i] - v) < 1e-9, (name, t[:40], got[name][i], v)
+
+
+def test_word_lists_are_learned_and_copies_count_once():
+    rng = random.Random(19)
+    word = lambda: f"w{rng.randrange(300)}"
+    texts, toxic = [], []
+    for i in range(400):
+        t = [word() for _ in range(40)]
+        if i % 4 == 0:
+            t.insert(rng.randrange(40), "vile")
+        texts.append(" ".join(t))
+        toxic.append(i % 4 == 0)
+    copied = " ".join(f"copied{k}" for k in range(30))
+    texts += [copied] * 50
+    toxic += [True] * 50
+    listed, heard = quality.word_list(vectext.Words(pa.array(texts)), np.array(toxic))
+    h = lambda w: vectext.Words(pa.array([w])).hash
+    assert listed.tolist() == h("vile").tolist() and np.isin(h("copied3 w7 vile"), heard).all()
+
+
 def test_quality_odd_rows(spark):
     docs = frame(spark, ODD)
     for labels in (None, spark.createDataFrame([], "doc_id long, quality int, toxic int")):
         weights, _ = quality.fit(docs, labels)
         got = quality.classify(docs, weights).collect()
         assert len(got) == len(ODD) and all(r.keep for r in got)
-        assert sum(r.p_toxic is None for r in got) == 4 and all(r.p_bad is None for r in got)
+        assert sum(r.p_toxic is None for r in got) == sum(r.p_bad is None for r in got) == 4
     weights, _ = quality.fit(frame(spark, []), None)
     assert quality.classify(frame(spark, []), weights).count() == 0
 
