@@ -3,8 +3,9 @@
 A text is a row of symbols, and each symbol is one or several bits that are predicted from what
 comes before it:
 
-* A *byte* is coded along a prefix code. Its bits are predicted by hashed contexts of the last two
-  and three bytes, whose odds come from byte counts over every document of the corpus, and by two
+* A *byte* is coded along a prefix code, of which there is one for each last byte and for each of the most frequent
+  last two bytes, so that the usual next byte takes few bits. They are predicted by the context that chose the code and by a
+  hashed one of three bytes, whose odds come from byte counts over every document of the corpus, and by two
   more hashed contexts whose odds are learned online, within the text.
 * A *flag* stands before a word whose context, the three words before it, has occurred before in the text, or some other
   document of the corpus holds too: does the word follow that followed it last, or followed it there most often? If so, it and the
@@ -17,7 +18,7 @@ code and kind of the last byte; for flags, how many came true before). Weights,
 adaptive map, which refines the mixed probability, are corrected after each symbol. The sum of the
 bits' costs, divided by the bytes, is the score.
 
-What is gathered from the corpus: byte counts in ``SLOTS`` hashed slots, summed by a shuffle and broadcast; and
+What is gathered from the corpus: byte counts in ``TREES * SLOTS`` contexts, summed by a shuffle and broadcast; and
 all contexts of three words with the words that follow them, which grow with the corpus and are
 never held in one place: each document sends its contexts to buckets of their hashes, where the
 continuations of all documents are counted, and gets back those of other documents. A document
@@ -43,13 +44,13 @@ from pyspark.sql import functions as F
 from . import vectext as V
 from .common import cut, table
 
-#: Context slots of orders 1, 2 and 3; each holds the counts of 256 bytes.
-SLOTS = (256, 1 << 13, 1 << 14)
+#: Pairs of last bytes that have a code of their own, all codes, and slots of the byte before under each of them.
+PAIRS = 256
+TREES, SLOTS = 256 + PAIRS, 32
 #: Words of a context whose continuations are gathered.
 WORDS = 3
 #: Lanes that advance together, symbols that are laid out at once, and lanes too few for numpy.
 GROUP, LAID, NARROW = 512, 1 << 13, 2
-BLOCK_SLOTS = 64
 #: Bytes that are counted at once, contexts that a task holds before it sends them, and bytes of text scored together.
 CHUNK, HELD, PART_BYTES = 4 << 20, 1_000_000, 8 << 20
 #: Texts up to this power of two have one length class.
@@ -64,7 +65,6 @@ RATE, OWN_RATE, MAP_RATE, START = 0.02, 0.5, 0.02, 0.35
 LEAST = 2.0**-12
 SCALE, STEEP = 15.0, 1.25
 _FLAG = 255  # the number that inner nodes of the code leave free
-_BASE = np.concatenate([[0], np.cumsum(SLOTS)])
 _CENTRE = (1 / (1 + np.exp(-(np.arange(CELLS) + 0.5 - CELLS / 2) / STEEP))).astype(np.float32)
 _LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
 _K, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -74,84 +74,82 @@ _LOW = np.uint64(0xFFFFFFFF)
 # corpus counts of bytes
 
 
-def context_slots(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Slot of each byte's context of 1, 2 and 3 bytes; before a text's start there are zeros."""
-    n = len(raw)
-    since = np.arange(n) - np.repeat(off[:-1], np.diff(off))
-    back = []
-    for k in (1, 2, 3):
-        b = np.zeros(n, np.uint32)
-        b[k:] = raw[:-k] if k < n else 0
+def back_bytes(raw: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
+    """The last byte, last but one, ... before each byte; before a text's start there are zeros."""
+    since = np.arange(len(raw)) - np.repeat(off[:-1], np.diff(off))
+    out = []
+    for k in range(1, n + 1):
+        b = np.zeros(len(raw), np.uint32)
+        b[k:] = raw[:-k] if k < len(raw) else 0
         b[since < k] = 0
-        back.append(b)
-    return hashed_slots(back)
+        out.append(b)
+    return out
 
 
-def hashed_slots(back: list[np.ndarray]) -> list[np.ndarray]:
-    """Slot of the contexts whose last, last but one and earlier bytes are given."""
-    two = back[0] | back[1] << np.uint32(8)
-    three = two | back[2] << np.uint32(16)
-    hashed = lambda x, size: ((x * _K) >> np.uint32(32 - int(size).bit_length() + 1)).astype(np.int32)
-    return [back[0].astype(np.int32), hashed(two, SLOTS[1]), hashed(three, SLOTS[2])]
+def pair_of(back: list[np.ndarray]) -> np.ndarray:
+    return back[0] | back[1] << np.uint32(8)
 
 
-def count_bytes(texts: list[tuple[np.ndarray, np.ndarray]], sums: np.ndarray) -> None:
+def slot_of(third: np.ndarray) -> np.ndarray:
+    """Slot of the last but two byte under a code."""
+    return (third * _K >> np.uint32(33 - SLOTS.bit_length())).astype(np.int64)
+
+
+def count_bytes(texts: list[tuple[np.ndarray, np.ndarray]], tree_of: np.ndarray, sums: np.ndarray) -> None:
     """Adds the bytes of some texts, (bytes, offsets) of each slice, to the counts of their contexts."""
-    found = [[s * 256 + raw for s in context_slots(raw, off)] for raw, off in texts]
-    for o, part in enumerate(zip(*found)):
-        lo, hi = _BASE[o] * 256, _BASE[o + 1] * 256
-        sums[lo:hi] += np.bincount(np.concatenate(part), minlength=hi - lo).astype(sums.dtype)
-
-
-class Code:
-    """A prefix code of bytes, made from their counts: frequent bytes take few bits."""
-
-    def __init__(self, counts: np.ndarray):
-        heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        child: dict[int, tuple[int, int]] = {}
-        name = 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            child[name] = (a[2], b[2])
-            heapq.heappush(heap, (a[0] + b[0], name, name))
-            name += 1
-        # inner nodes are numbered 0 .. 254 from the root down
-        order = {heap[0][2]: 0}
-        self.ones, self.all = np.zeros((255, 256), bool), np.zeros((255, 256), bool)
-        self.depth = np.zeros(256, np.int64)
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-        stack = [(heap[0][2], [])]
-        while stack:
-            node, path = stack.pop()
-            if node < 256:
-                paths[node] = path
-                for i, bit in path:
-                    self.all[i, node] = True
-                    self.ones[i, node] = bool(bit)
-                continue
-            i = order.setdefault(node, len(order))
-            self.depth[i] = len(path)
-            for bit in (0, 1):
-                stack.append((child[node][bit], [*path, (i, bit)]))
-        # "bytes" 256 and 257 are flags, false and true
-        paths += [[(_FLAG, 0)], [(_FLAG, 1)]]
-        self.size = np.array([len(p) for p in paths], np.int64)
-        self.first = np.r_[0, np.cumsum(self.size)]
-        self.step = np.array([i | b << 8 for p in paths for i, b in p], np.int64)  # the node and the bit taken there
-
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        """``contexts x 256`` int8 logits of every node from ``contexts x 256`` byte counts.
-
-        One occurrence of each byte in each context is left out, as it may be the scored text's own:
-        what only one text holds doesn't count as known.
-        """
-        c = np.maximum(counts - 1, 0).astype(float)
-        n1, n = c @ self.ones.T, c @ self.all.T
-        st = np.log((n1 + 0.4) / (n - n1 + 0.4))
-        out = np.zeros((len(c), 256), np.int8)
-        out[:, :255] = np.round(np.clip(st, -8, 8) * SCALE)
-        return out
+    found = [np.empty(0, np.int64)]
+    for raw, off in texts:
+        back = back_bytes(raw, off, 3)
+        found.append((tree_of[pair_of(back)].astype(np.int64) * SLOTS + slot_of(back[2])) * 256 + raw)
+    sums += np.bincount(np.concatenate(found), minlength=len(sums)).astype(sums.dtype)
+
+
+def choose_trees(pairs: np.ndarray) -> np.ndarray:
+    """The code that each pair of last bytes has, from the counts of pairs: its own, or that of the last byte."""
+    tree_of = (np.arange(1 << 16) & 255).astype(np.uint16)
+    own = np.argsort(-pairs, kind="stable")[:PAIRS]
+    tree_of[own] = 256 + np.arange(len(own))
+    return tree_of
+
+
+def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A prefix code for byte counts ``SLOTS x 256``: (bits of each byte, their steps one after another, depth of each node, logits).
+
+    A step is a node (0 to 254, the root first) and the bit taken there (256). The logits are int8, ``1 + SLOTS x 256``: for
+    all counts together and for each slot. One occurrence of each byte in each context is left out of them, as it may be the scored text's own:
+    what only one text holds doesn't count as known.
+    """
+    heap = [(int(c) + 1, i, i) for i, c in enumerate(counts.sum(0))]
+    heapq.heapify(heap)
+    child: dict[int, tuple[int, int]] = {}
+    name = 256
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        child[name] = (a[2], b[2])
+        heapq.heappush(heap, (a[0] + b[0], name, name))
+        name += 1
+    order = {heap[0][2]: 0}
+    ones, both = np.zeros((255, 256), bool), np.zeros((255, 256), bool)
+    depth = np.zeros(256, np.uint8)
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+    stack = [(heap[0][2], [])]
+    while stack:
+        node, path = stack.pop()
+        if node < 256:
+            paths[node] = path
+            for i, bit in path:
+                both[i, node] = True
+                ones[i, node] = bool(bit)
+            continue
+        i = order.setdefault(node, len(order))
+        depth[i] = len(path)
+        for bit in (0, 1):
+            stack.append((child[node][bit], [*path, (i, bit)]))
+    c = np.maximum(np.concatenate([counts.sum(0)[None], counts]) - 1, 0).astype(float)
+    n1, n = c @ ones.T, c @ both.T
+    logits = np.zeros((1 + SLOTS, 256), np.int8)
+    logits[:, :255] = np.round(np.clip(np.log((n1 + 0.4) / (n - n1 + 0.4)), -8, 8) * SCALE)
+    return np.array([len(p) for p in paths], np.uint8), np.array([i | b << 8 for p in paths for i, b in p], np.uint16), depth, logits
 
 
 # contexts of words
@@ -333,14 +331,22 @@ class Symbols:
 
 
 class Model:
-    """The code and the logits of all byte contexts."""
+    """The codes and the logits of all byte contexts."""
 
-    def __init__(self, code: Code, logits: np.ndarray, total: int = 0):
-        self.code, self.total = code, total
+    def __init__(self, tree_of: np.ndarray, trees: dict[int, tuple[np.ndarray, ...]], total: int = 0):
+        """``trees``: what ``tree`` gives, by number; codes that the corpus has no use for may be missing."""
+        self.tree_of, self.total = tree_of, total
+        none = tree(np.zeros((SLOTS, 256), np.int64)) if len(trees) < TREES else ()
+        sizes, steps, depths, logits = zip(*(trees.get(t, none) for t in range(TREES)))
+        # "bytes" 256 and 257 are flags, false and true
+        flags = np.array([_FLAG, _FLAG | 256], np.uint16)
+        self.size = np.concatenate([np.r_[x, 1, 1] for x in sizes]).astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.step = np.concatenate([x for s in steps for x in (s, flags)])
         # behind the contexts: every level of a flag, and the input of a flag that never changes
-        self.logits = np.r_[logits.ravel(), np.arange(-128, 128), SCALE].astype(np.int8)
-        self.gate_of = np.minimum(code.depth, BYTE_GATES // 2 - 1)
-        self.gate_of[_FLAG] = 0
+        self.logits = np.r_[np.concatenate(logits).ravel(), np.arange(-128, 128), SCALE].astype(np.int8)
+        self.gate_of = np.minimum(np.concatenate(depths), BYTE_GATES // 2 - 1).astype(np.int64)
+        self.gate_of[_FLAG::256] = 0
         # where a node's learned odds lie among those of its context
         self.place_of = (np.arange(256, dtype=np.uint32) * _K2 >> np.uint32(34 - OWN.bit_length())).astype(np.int64)
 
@@ -358,22 +364,25 @@ class Model:
     def _inputs(self, s: Symbols, lanes: np.ndarray, at: int, steps: int) -> tuple[np.ndarray, ...]:
         """Bits of the symbols ``at`` to ``at + steps`` of each lane, all first symbols, then all second ones, ...: (inputs,
         set of weights, two slots of what the lane learns, bit, lane, where each step's bits begin)."""
-        code, behind = self.code, len(self.logits) - 257
+        behind = len(self.logits) - 257
         live = np.searchsorted(-s.count[lanes], -(at + np.arange(steps)), "left")
         upto = np.cumsum(live)
         lane = np.arange(upto[-1]) - np.repeat(upto - live, live)
         idx = s.first[lanes][lane] + np.repeat(at + np.arange(steps), live)
         pos, flag = s.pos[idx], s.is_flag[idx]
-        byte, since = s.raw[pos].astype(np.int64), pos - s.off[lanes][lane]
+        since = pos - s.off[lanes][lane]
         back = [np.where(since >= k, s.raw[pos - k], 0).astype(np.uint32) for k in (1, 2, 3, 4)]
-        slots = hashed_slots(back)
-        # what belongs to a symbol: rows of logits, slots of the learned contexts, place in the code, gate, lane
+        tree = self.tree_of[pair_of(back)].astype(np.int64)
+        # what belongs to a symbol: rows of logits, slots of the learned contexts, place in the code, gate, lane, tree
         own, high = np.empty((len(lane), 8), np.uint32), np.uint32(34 - OWN.bit_length())
-        own[:, 0], own[:, 1] = (_BASE[1] + slots[1]) * 256, (_BASE[2] + slots[2]) * 256
-        one = (back[0] | np.uint32(1 << 24)) * _K
+        own[:, 0] = tree * ((1 + SLOTS) * 256)
+        own[:, 1] = own[:, 0] + (1 + slot_of(back[2])) * 256
+        one = (tree + 1).astype(np.uint32) * _K
         long = (back[0] | back[1] << np.uint32(8) | back[2] << np.uint32(16)) * _K2 ^ back[3] * _K
         own[:, 5] = lane * GATES + BYTE_GATES // 2 * _LETTER[back[0]]
         own[:, 6] = lane
+        own[:, 7] = tree * 256
+        byte = tree * 258 + s.raw[pos]
         known = np.flatnonzero(flag)
         if len(known):
             f = s.number[pos[known]]
@@ -382,25 +391,26 @@ class Model:
             own[known, 0], own[known, 1] = behind + level + 128 - _FLAG, behind + 256 - _FLAG
             one[known], long[known] = (run + 1).astype(np.uint32) * _K2, (level + 1000).astype(np.uint32) * _K
             own[known, 5] = lane[known] * GATES + BYTE_GATES + run
+            own[known, 7] = 0
         own[:, 2], own[:, 3] = lane * OWN + (one * _K >> high), lane * OWN + OWN // 2 + (long * _K >> high)
-        size = code.size[byte]
+        size = self.size[byte]
         stop = np.cumsum(size)
-        own[:, 4] = code.first[byte] - (stop - size)
+        own[:, 4] = self.first[byte] - (stop - size)
         # what belongs to a bit; four numbers move as one item
         own = own.view(np.complex128)
         ctx, own = (np.repeat(own[:, i], size).view(np.uint32).reshape(-1, 4) for i in (0, 1))
         src = own[:, 0] + np.arange(len(own), dtype=np.uint32)
-        step = code.step.take(src.astype(np.int64))
-        node = step & 255
+        step = self.step.take(src.astype(np.int64))
+        node = (step & np.uint16(255)).astype(np.int64)
         x, learned = np.empty((len(src), 4), np.float32), np.empty((2, len(src)), np.int64)
         for i in (0, 1):
             np.multiply(self.logits.take(ctx[:, i] + node), np.float32(1 / SCALE), out=x[:, i])
         place = self.place_of.take(node)
         for i in (0, 1):
             np.bitwise_xor(ctx[:, 2 + i], place, out=learned[i])
-        gate = self.gate_of.take(node)
+        gate = self.gate_of.take(own[:, 3] + node)
         gate += own[:, 1]
-        return x, gate, learned, (step >> 8).astype(np.float32), own[:, 2].astype(np.int64), np.r_[0, np.r_[0, stop][upto]]
+        return x, gate, learned, (step >> np.uint16(8)).astype(np.float32), own[:, 2].astype(np.int64), np.r_[0, np.r_[0, stop][upto]]
 
     def _lanes(self, s: Symbols, lanes: np.ndarray) -> np.ndarray:
         """Bits of some lanes, the longest first, that advance together."""
@@ -498,50 +508,56 @@ def _one(X: np.ndarray, G: np.ndarray, O: np.ndarray, Y: np.ndarray, edge: np.nd
     return float(-np.log2(np.maximum(prob, 1e-5)).sum())
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(block, counts): byte counts of ``BLOCK_SLOTS`` contexts each, over all documents given as key and text."""
-    total = int(_BASE[-1])
+def _summed(docs: DataFrame, size: int, block: int, add) -> DataFrame:
+    """(block, counts int64): sums over all documents, of which ``add`` adds some slices' to an array of ``size`` numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, held, n = np.zeros(total * 256, np.uint32), [], 0
+        sums, held, n = np.zeros(size, np.uint32), [], 0
         for batch in batches:
             for part in V.slices(batch):
                 held.append(V.buffer_of(V.as_string_array(part.column(1))))
                 n += len(held[-1][0])
                 if n >= CHUNK:
-                    count_bytes(held, sums)
+                    add(held, sums)
                     held, n = [], 0
-        count_bytes(held, sums)
-        blocks = sums.reshape(-1, BLOCK_SLOTS * 256)
+        add(held, sums)
+        blocks = sums.reshape(-1, block)
         some = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        s = np.zeros(BLOCK_SLOTS * 256, np.int64)
+    def total(t: pa.Table) -> pa.Table:
+        s = np.zeros(block, np.int64)
         for x in t["counts"].to_pylist():
             s += np.frombuffer(x, np.uint32)
         return pa.table({"block": t["block"].slice(0, 1), "counts": pa.array([s.tobytes()], pa.binary())})
 
-    return docs.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    return docs.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, counts binary")
+
+
+def _add_pairs(texts: list[tuple[np.ndarray, np.ndarray]], sums: np.ndarray) -> None:
+    for raw, off in texts:
+        sums += np.bincount(pair_of(back_bytes(raw, off, 2)), minlength=len(sums)).astype(sums.dtype)
 
 
 def train(docs: DataFrame) -> Model:
-    """The code and the byte contexts of a corpus given as key and text."""
-    sums = cut(counts(docs))
-    histogram = np.zeros(256, np.int64)
-    for r in sums.where(F.col("block") < SLOTS[0] // BLOCK_SLOTS).collect():  # 4 blocks
-        histogram += np.frombuffer(r["counts"], np.int64).reshape(-1, 256).sum(0)
-    code = Code(histogram)
-
-    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The codes and the byte contexts of a corpus given as key and text."""
+    pairs = np.zeros((256, 256), np.int64)
+    for r in _summed(docs, 1 << 16, 256, _add_pairs).collect():  # 256 rows, whatever the corpus
+        pairs[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    tree_of = choose_trees(pairs.ravel())
+    sums = cut(_summed(docs, TREES * SLOTS * 256, SLOTS * 256, lambda texts, sums: count_bytes(texts, tree_of, sums)))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [code.logits(np.frombuffer(x, np.int64).reshape(-1, 256)).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["block", "logits"])
-
-    out = np.zeros((int(_BASE[-1]) // BLOCK_SLOTS, BLOCK_SLOTS * 256), np.int8)
-    for r in sums.mapInArrow(logits, "block int, logits binary").collect():  # one byte for each slot and node, whatever the corpus
-        out[r["block"]] = np.frombuffer(r["logits"], np.int8)
-    return Model(code, out, int(histogram.sum()))
+            got = zip(*(map(np.ndarray.tobytes, tree(np.frombuffer(x, np.int64).reshape(SLOTS, 256))) for x in batch.column(1).to_pylist()))
+            cols = list(got) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in cols)], ["block", "size", "step", "depth", "logits"])
+
+    trees = {}
+    for r in sums.mapInArrow(code, "block int, size binary, step binary, depth binary, logits binary").collect():  # TREES rows
+        trees[r["block"]] = tuple(np.frombuffer(r[c], t) for c, t in (("size", np.uint8), ("step", np.uint16), ("depth", np.uint8), ("logits", np.int8)))
+        trees[r["block"]] = (*trees[r["block"]][:3], trees[r["block"]][3].reshape(1 + SLOTS, 256))
+    return Model(tree_of, trees, int(pairs.sum()))
 
 
 def _score_part(model: Model, left: pa.Table, right: pa.Table) -> pa.Table:

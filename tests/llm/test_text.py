@@ -492,7 +492,7 @@ def test_archive_of_odd_pages(spark, tmp_path):
 
 def slow_score(model, raw, flags=()):
     """One text, symbol by symbol, in plain Python; ``flags``: (first byte, byte after the last, true, level)."""
-    code, sig, u32 = model.code, lambda x: 1 / (1 + math.exp(-x)), lambda x: x & 0xFFFFFFFF
+    sig, u32 = lambda x: 1 / (1 + math.exp(-x)), lambda x: x & 0xFFFFFFFF
     K, K2 = int(lm._K), int(lm._K2)
     lg = model.logits[:-257].reshape(-1, 256)
     W, A, R, bits, at, run = {}, {}, {}, 0.0, 0, 0
@@ -527,14 +527,15 @@ def slow_score(model, raw, flags=()):
                 at = stop
                 continue
         ctx = [raw[at - k] if at >= k else 0 for k in (1, 2, 3, 4)]
-        two, three = ctx[0] | ctx[1] << 8, ctx[0] | ctx[1] << 8 | ctx[2] << 16
-        s = [u32(two * K) >> 19, u32(three * K) >> 18]
-        h = [u32((ctx[0] | 1 << 24) * K), u32(three * K2) ^ u32(ctx[3] * K)]
+        tree, three = int(model.tree_of[ctx[0] | ctx[1] << 8]), ctx[0] | ctx[1] << 8 | ctx[2] << 16
+        rows = [tree * (1 + lm.SLOTS), tree * (1 + lm.SLOTS) + 1 + (u32(ctx[2] * K) >> 27)]
+        h = [u32((tree + 1) * K), u32(three * K2) ^ u32(ctx[3] * K)]
         parts = []
-        for j in range(int(code.size[raw[at]])):
-            node, bit = int(code.step[code.first[raw[at]] + j]) & 255, int(code.step[code.first[raw[at]] + j]) >> 8
-            gate = min(int(code.depth[node]), 15) + 16 * bool(lm._LETTER[ctx[0]])
-            parts.append(([int(lg[lm._BASE[o + 1] + s[o], node]) / lm.SCALE for o in (0, 1)], [slot(h[i], node, i) for i in (0, 1)], (0, gate), bit))
+        for j in range(int(model.size[tree * 258 + raw[at]])):
+            step = int(model.step[model.first[tree * 258 + raw[at]] + j])
+            node, bit = step & 255, step >> 8
+            gate = int(model.gate_of[tree * 256 + node]) + 16 * bool(lm._LETTER[ctx[0]])
+            parts.append(([int(lg[r, node]) / lm.SCALE for r in rows], [slot(h[i], node, i) for i in (0, 1)], (0, gate), bit))
         symbol(parts)
         at += 1
     return bits
@@ -596,8 +597,7 @@ def test_lm_equals_a_plain_version_and_tells_text_from_noise(spark):
 
 def test_lm_learns_through_a_whole_text():
     rng = random.Random(11)
-    code = lm.Code(np.arange(256) ** 2)
-    model = lm.Model(code, np.zeros((int(lm._BASE[-1]), 256), np.int8))
+    model = lm.Model(lm.choose_trees(np.arange(1 << 16)), {})
     passage = bytes(rng.choice(b"etaoinshrdlu ") for _ in range(700))
     texts = [passage * k for k in (1, 4)] + [bytes(rng.choice(b"abc de") for _ in range(rng.randrange(1, 300))) for _ in range(60)]
     raw, off = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
@@ -610,11 +610,18 @@ def test_lm_learns_through_a_whole_text():
     assert abs(model.score(raw[: off[2]], off[:3])[1] - got[1]) < 0.001 * got[1]
 
 
-def test_lm_code_is_a_prefix_code():
-    c = lm.Code(np.arange(256) ** 2)
-    assert abs(sum(2.0 ** -int(s) for s in c.size[:256]) - 1) < 1e-9 and len(c.step) == c.first[-1]
-    words = {tuple(c.step[a:b].tolist()) for a, b in zip(c.first[:256], c.first[1:257])}
-    assert len(words) == 256
+def test_lm_codes_are_prefix_codes():
+    counts = np.random.default_rng(1).integers(0, 100, (lm.SLOTS, 256)) * (np.arange(256) % 7)
+    size, step, depth, logits = lm.tree(counts)
+    assert abs(sum(2.0 ** -int(s) for s in size) - 1) < 1e-9 and len(step) == size.sum() and logits.shape == (1 + lm.SLOTS, 256)
+    at = np.r_[0, np.cumsum(size.astype(int))]
+    words = [tuple(step[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
+    assert len(set(words)) == 256 and all(depth[x & 255] == i for w in words for i, x in enumerate(w))
+    # odds of a slot, one occurrence of each byte left out
+    left = np.maximum(counts[3] - 1, 0)
+    for node in (0, 5, 200):
+        n = [sum(left[b] for b, w in enumerate(words) if (node | bit << 8) in w) for bit in (0, 1)]
+        assert abs(int(logits[4, node]) - round(max(-8, min(8, math.log((n[1] + 0.4) / (n[0] + 0.4)))) * lm.SCALE)) <= 1
 
 
 def test_vocabulary_is_outside_the_repository():
