@@ -50,7 +50,7 @@ TREES, SLOTS = 256 + PAIRS, 32
 #: Words of a context whose continuations are gathered.
 WORDS = 3
 #: Lanes that advance together, symbols that are laid out at once, and lanes too few for numpy.
-GROUP, LAID, NARROW = 512, 1 << 13, 2
+GROUP, LAID, NARROW = 512, 1 << 14, 2
 #: Bytes that are counted at once, contexts that a task holds before it sends them, and bytes of text scored together.
 CHUNK, HELD, PART_BYTES = 4 << 20, 1_000_000, 8 << 20
 #: Texts up to this power of two have one length class.
@@ -306,7 +306,14 @@ class Symbols:
         """``start``, ``stop``: bytes of the words with a flag, in order; ``hit``: the flag is true; ``level``: OWN_LEVEL where the text
         itself says what comes."""
         n = len(raw)
-        self.raw, self.off, self.level, self.hit = raw, off, level, hit
+        self.raw, self.level, self.hit = raw, level, hit
+        # the last four bytes before each byte, the last one lowest; zeros before a text's start
+        self.back = np.zeros(n, np.uint32)
+        for k in (1, 2, 3, 4):
+            self.back[k:] |= raw[: max(0, n - k)].astype(np.uint32) << np.uint32(8 * (k - 1))
+        for k in (0, 1, 2, 3):
+            early = off[:-1][np.diff(off) > k] + k
+            self.back[early] &= np.uint32((1 << 8 * k) - 1)
         cover = np.zeros(n + 1, np.int8)
         cover[start[hit]] += 1
         cover[stop[hit]] -= 1  # words don't overlap
@@ -370,16 +377,15 @@ class Model:
         lane = np.arange(upto[-1]) - np.repeat(upto - live, live)
         idx = s.first[lanes][lane] + np.repeat(at + np.arange(steps), live)
         pos, flag = s.pos[idx], s.is_flag[idx]
-        since = pos - s.off[lanes][lane]
-        back = [np.where(since >= k, s.raw[pos - k], 0).astype(np.uint32) for k in (1, 2, 3, 4)]
-        tree = self.tree_of[pair_of(back)].astype(np.int64)
+        back = s.back[pos]
+        tree = self.tree_of[back & np.uint32(0xFFFF)].astype(np.int64)
         # what belongs to a symbol: rows of logits, slots of the learned contexts, place in the code, gate, lane, tree
         own, high = np.empty((len(lane), 8), np.uint32), np.uint32(34 - OWN.bit_length())
         own[:, 0] = tree * ((1 + SLOTS) * 256)
-        own[:, 1] = own[:, 0] + (1 + slot_of(back[2])) * 256
+        own[:, 1] = own[:, 0] + (1 + slot_of(back >> np.uint32(16) & np.uint32(255))) * 256
         one = (tree + 1).astype(np.uint32) * _K
-        long = (back[0] | back[1] << np.uint32(8) | back[2] << np.uint32(16)) * _K2 ^ back[3] * _K
-        own[:, 5] = lane * GATES + BYTE_GATES // 2 * _LETTER[back[0]]
+        long = (back & np.uint32(0xFFFFFF)) * _K2 ^ (back >> np.uint32(24)) * _K
+        own[:, 5] = lane * GATES + BYTE_GATES // 2 * _LETTER[back & np.uint32(255)]
         own[:, 6] = lane
         own[:, 7] = tree * 256
         byte = tree * 258 + s.raw[pos]
