@@ -9,13 +9,19 @@ password costs little; a real key costs nearly what its alphabet allows.
 The least cost is found by dynamic programming over the value's positions: a brute-force span
 grows by one character at a time, words and dates are listed beforehand, and every part of a
 repeat or walk is tried at its end. Time grows with the square of a value's length.
+
+The dictionary begins with frequent passwords and goes on with the whole words of a public tokenizer's vocabulary file, in
+its order, which is about that of their frequency (``VOCABULARY``, a parameter, read on the driver only): some tens of
+thousands. A word may be written backwards, capitalised or in leet, for a few bits more.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,9 @@ from .common import table, texts
 SECRET_BITS = 40.0
 PIECE_BITS = 1.0
 
+#: A vocabulary with word ends, whose whole words are the dictionary's larger part.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
 #: Frequent passwords and parts of them, most frequent first; a word's rank is its guesses.
 WORDS = tuple(
     """password admin welcome login qwerty letmein secret changeme test user root guest master dragon monkey shadow
@@ -46,10 +55,34 @@ WORDS = tuple(
     site page file data code open source free best good great super mega ultra power magic secure security safe
     lock unlock crypto bitcoin wallet hash salt auth session cookie bearer basic client server""".split()
 )
-_RANK = {}
-for _i, _w in enumerate(WORDS):
-    _RANK.setdefault(_w, _i + 1)
-_LONGEST = max(map(len, _RANK))
+
+
+class Dictionary:
+    """Ranks of words; the first is 1."""
+
+    def __init__(self, words: tuple[str, ...] | list[str]):
+        self.rank: dict[str, int] = {}
+        for w in words:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank), default=0)
+
+
+#: Without a vocabulary file.
+BASIC = Dictionary(WORDS)
+
+
+@lru_cache(4)
+def dictionary(vocabulary: str | None) -> Dictionary:
+    """The frequent passwords and then the file's whole words of three letters or more, in the order of their ids."""
+    if vocabulary is None:
+        return BASIC
+    with open(vocabulary, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    ends = "</w>"
+    more = [w[: -len(ends)] for w in sorted(ids, key=ids.get) if w.endswith(ends)]
+    return Dictionary([*WORDS, *(w for w in more if len(w) > 2 and w.isalpha())])
+
+
 _LEET = str.maketrans({"@": "a", "4": "a", "8": "b", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"})
 
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -66,7 +99,7 @@ _CONTEXT = re.compile(
 _URL = re.compile(r"(?<=[A-Za-z0-9+.\-])://([^\s:/@]*):([^\s/@]+)@")
 #: What a text must hold before it is looked at closely; the same names, for the JVM.
 PREFILTER = r"(?i)passw|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[_\-]?key|credential|authorization|://[^\s:/@]*:"
-_IDENT = re.compile(r"[A-Za-z0-9_.\-]{1,64}\Z")
+_IDENT = re.compile(r"[A-Za-z0-9_.\-]*")
 _DATES = re.compile(r"(?=((?:19|20)\d\d[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:19|20)\d\d|(?:1[0-2]|0?[1-9])[-/._]?(?:3[01]|[12]\d|0?[1-9])[-/._]?(?:19|20)\d\d))")
 _YEAR = re.compile(r"(?=((?:19|20)\d\d))")
 
@@ -97,7 +130,7 @@ def _adjacent(a: str, b: str) -> tuple[float, int] | None:
     return None
 
 
-def _listed(value: str) -> list[tuple[int, int, float, str]]:
+def _listed(value: str, words: Dictionary = BASIC) -> list[tuple[int, int, float, str]]:
     """(start, end, bits, kind) of every word and date in a value."""
     n = len(value)
     out = []
@@ -105,15 +138,19 @@ def _listed(value: str) -> list[tuple[int, int, float, str]]:
     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            for text in (low, plain):
-                rank = _RANK.get(text[i:j])
-                if rank:
-                    upper = sum(c.isupper() for c in value[i:j])
-                    leet = sum(a != b for a, b in zip(low[i:j], text[i:j]))
-                    case = 0 if not upper else 1 if upper == j - i or (upper == 1 and value[i].isupper()) else upper + 1
-                    out.append((i, j, math.log2(rank) + case + leet, "word"))
-                    break
+        for j in range(i + 3, min(n, i + words.longest) + 1):
+            least = None
+            for text in (low, plain) if low[i:j] != plain[i:j] else (low,):
+                for part, back in ((text[i:j], 0), (text[i:j][::-1], 1)):
+                    rank = words.rank.get(part)
+                    if rank:
+                        upper = sum(c.isupper() for c in value[i:j])
+                        leet = sum(a != b for a, b in zip(low[i:j], text[i:j]))
+                        case = 0 if not upper else 1 if upper == j - i or (upper == 1 and value[i].isupper()) else upper + 1
+                        bits = math.log2(rank) + case + leet + back
+                        least = bits if least is None else min(least, bits)
+            if least is not None:
+                out.append((i, j, least, "word"))
     for m in _DATES.finditer(value):
         apart = any(c in "-/._" for c in m[1])
         out.append((m.start(), m.start() + len(m[1]), math.log2(365 * 130) + 2 * apart, "date"))
@@ -122,9 +159,9 @@ def _listed(value: str) -> list[tuple[int, int, float, str]]:
     return out
 
 
-def pieces(value: str) -> list[tuple[int, int, float, str]]:
+def pieces(value: str, words: Dictionary = BASIC) -> list[tuple[int, int, float, str]]:
     """(start, end, bits, kind) of every word, date, repeat and walk in a value, parts of repeats and walks included."""
-    n, out = len(value), _listed(value)
+    n, out = len(value), _listed(value, words)
     each = char_bits(value)
     for p in range(1, n // 2 + 1):
         run = 0  # equal characters p apart, up to here
@@ -161,12 +198,12 @@ def _runs(value: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, words: Dictionary = BASIC) -> tuple[float, list[tuple[str, int, int]]]:
     """(bits, [(kind, start, end)]): the cheapest segmentation. An empty value costs nothing."""
     n = len(value)
     each = char_bits(value)
     ends: dict[int, list[tuple[int, float, str]]] = {}
-    for s, e, bits, kind in _listed(value):
+    for s, e, bits, kind in _listed(value, words):
         ends.setdefault(e, []).append((s, bits, kind))
     repeats: dict[int, list[tuple[int, int]]] = {}
     for p, a, z in _runs(value):
@@ -215,7 +252,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
 
 def credentials(text: str) -> Iterator[tuple[str, int, int]]:
     """(name, start, end) of every value in a credential's context, in order."""
-    found = []
+    found, floor = [], 0
     for m in _CONTEXT.finditer(text):
         g = next(i for i in (1, 2, 3) if m[i] is not None)
         s, e = m.span(g)
@@ -223,8 +260,11 @@ def credentials(text: str) -> Iterator[tuple[str, int, int]]:
             while e > s and text[e - 1] in ".,;:)]}":
                 e -= 1
         if e > s:
-            before = _IDENT.search(text, max(0, m.start() - 64), m.start())
-            name = (before[0] if before else "") + re.match(r"[A-Za-z0-9_.\-]*", text[m.start() : m.end()])[0]
+            at = m.start()
+            while at > floor and (text[at - 1].isascii() and text[at - 1].isalnum() or text[at - 1] in "_.-"):
+                at -= 1
+            name = text[at : m.start()] + _IDENT.match(text, m.start(), m.end())[0]
+            floor = e  # no letter is looked at twice
             found.append((name.strip(".-"), s, e))
     found += [("url", *m.span(2)) for m in _URL.finditer(text)]
     last = -1
@@ -234,25 +274,29 @@ def credentials(text: str) -> Iterator[tuple[str, int, int]]:
             last = e
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = SECRET_BITS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = SECRET_BITS, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """(doc_id, name, start, length, shown, cost_bits, pieces, secret): a row for each value in a
     credential's context, in whatever order.
 
     ``start`` and ``length`` count characters; ``shown`` is the value's first four characters,
     so that results don't spread secrets; ``secret`` says that the cost reaches ``bits``. Rows
-    without id or text have none; repeated rows repeat theirs; extra columns are ignored.
+    without id or text have none, nor has an empty text or table; repeated rows repeat theirs; extra columns are ignored.
+    Values and texts may be of any length. Of values that overlap the one that begins first counts, and of those that begin
+    together the longest. What isn't UTF-8 counts as U+FFFD.
     """
+    shipped = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary))  # of the file's size
     d = texts(docs, id_col, text_col).where(F.col("text").rlike(PREFILTER))
     names = ["doc_id", "name", "start", "length", "shown", "cost_bits", "pieces", "secret"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shipped.value
         for batch in batches:
             for part in V.slices(batch):
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), V.valid(part.column(1)).to_pylist()):
                     for name, s, e in credentials(text):
-                        cost, cut = guess_cost(text[s:e])
+                        cost, cut = guess_cost(text[s:e], words)
                         rows.append((doc_id, name, s, e - s, text[s : s + min(4, (e - s) // 2)], round(cost, 6), " ".join(f"{k}:{b - a}" for k, a, b in cut), cost >= bits))
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
