@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import cut, shared_dir, table
 
 SLOTS, SHARDS = 4096, 64
 #: A shard may hold this many hundredths of the mean.
@@ -87,7 +87,7 @@ class SlotMaps:
 
     def save(self, m: DataFrame) -> int:
         """Stores a version under its number; a number is stored once only. An empty map is refused."""
-        m = m.coalesce(1)
+        m = cut(m.coalesce(1))
         row = m.agg(F.max("version")).first()
         if row[0] is None:
             raise ValueError("a map needs slots")
@@ -111,11 +111,13 @@ def assign(docs: DataFrame, m: DataFrame, key: str = "doc_id", slots: int = SLOT
 def shard(spark: SparkSession, docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS, folder: str | None = None) -> DataFrame:
     """Deals, weighs, rebalances and assigns: the rows of ``assign`` under version 1.
 
-    Both versions are stored in ``folder``, by default one in the folder that executors share.
+    Both versions are stored in ``folder``, by default one in the folder that executors share. The documents are
+    read twice: to weigh the slots, a table of at most ``slots`` rows that is checkpointed, and to assign. An empty
+    table weighs nothing and has no rows; texts may be null, empty or of any length; extra columns are ignored.
     """
     maps = SlotMaps(spark, folder or f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}")
     first = maps.save(first_map(spark, slots, shards))
-    second = maps.save(rebalanced(maps.load(first), slot_bytes(docs, slots=slots), shards))
+    second = maps.save(rebalanced(maps.load(first), cut(slot_bytes(docs, slots=slots).coalesce(1)), shards))
     return assign(docs, maps.load(second), slots=slots)
 
 
