@@ -36,6 +36,8 @@ from .common import cut, texts, without
 
 #: Coordinates of a signature, words of a shingle, and coordinates that must collide.
 K, SHINGLE, THRESHOLD = 64, 2, 28
+#: Representatives for each bucket of postings.
+PER_BUCKET = 50_000
 
 _MULT = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64((1 << 64) - 1)
@@ -118,13 +120,18 @@ def _sketches(reps: DataFrame, k: int) -> DataFrame:
     return reps.mapInArrow(run, "rep long, sketch binary")
 
 
+def _parts(reps: DataFrame) -> int:
+    """Buckets of postings: as the session has it, more if the representatives are many, so that a task's share has a size."""
+    return max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-reps.count() // PER_BUCKET))
+
+
 def _shared_pairs(reps: DataFrame, k: int) -> DataFrame:
     """(rep, rank): the pairs of each signature that another signature has too.
 
     ``rank`` holds the frequency above the pair, so that sorting by it is the global order; a
     frequency beyond ``2**25`` counts as that. Pairs are shuffled in columns, packed by bucket.
     """
-    buckets = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _parts(reps)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,9 +240,9 @@ def link_members(sig: np.ndarray, t: int) -> list[tuple[int, int, int]]:
                 if group[a] != group[b]:
                     join(a, int(b), int(same[b]))
     names, counts = np.unique(group, return_counts=True)
-    # members of the smaller groups against all that are outside their own
-    for g in names[np.argsort(counts, kind="stable")][:-1]:
-        for a in np.flatnonzero(group == g) if (group == g).any() else ():
+    # members of the smaller groups, as they are now, against all that are outside their own by then
+    for members in [np.flatnonzero(group == g) for g in names[np.argsort(counts, kind="stable")][:-1]]:
+        for a in members:
             out = np.flatnonzero(group != group[a])
             if not len(out):
                 break
@@ -266,7 +273,7 @@ def near_links(sigs: DataFrame, k: int = K, t: int = THRESHOLD) -> tuple[DataFra
     # the prefix: k - t + 1 rarest pairs, of which k - size(ranks) occur once
     ranks = _shared_pairs(reps, k).groupBy("rep").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
     prefix = ranks.where(F.size("ranks") >= t).select("rep", F.slice("ranks", F.lit(1), F.size("ranks") - F.lit(t - 1)).alias("prefix"))
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = _parts(reps)
     posted = prefix.join(_sketches(reps, k), "rep").select(F.explode("prefix").alias("rank"), "rep", "sketch")
     pair = F.col("rank").bitwiseAND(F.lit((1 << 38) - 1)).alias("pair")
     maybe = cut(_prune(posted.select(pair, "rep", "sketch").repartition(n, "pair").sortWithinPartitions("pair", "rep"), k, t))
@@ -275,6 +282,39 @@ def near_links(sigs: DataFrame, k: int = K, t: int = THRESHOLD) -> tuple[DataFra
     return same, links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("matches").alias("matches"))
 
 
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b, matches): all pairs of documents, ``a < b``, of which at least ``threshold`` coordinates collide.
+
+    Collisions are counted by a merge of the postings of the prefixes. A pair whose count, with all coordinates that
+    its prefixes leave out, can't reach the threshold is skipped; for the others the remaining, longer lists are probed in the
+    signatures. Documents with equal signatures are a pair each with each: a result that grows with the square of a group, which ``near_duplicates`` avoids.
+    Odd rows are treated as there.
+    """
+    sigs = cut(signatures(texts(docs, id_col, text_col), k, shingle).groupBy("doc_id").agg(F.min("sig").alias("sig")))
+    reps = cut(sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")).select("rep", "sig"))
+    ranks = _shared_pairs(reps, k).groupBy("rep").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    prefix = cut(ranks.where(F.size("ranks") >= threshold).select("rep", F.slice("ranks", F.lit(1), F.size("ranks") - F.lit(threshold - 1)).alias("prefix")))
+    left_out = F.greatest(F.lit(k) - F.size("prefix"), F.lit(0))
+    posted = prefix.select("rep", left_out.alias("rest"), F.explode("prefix").alias("rank"))
+    x, y = posted.select("rank", F.col("rep").alias("a"), F.col("rest").alias("ra")), posted.select("rank", F.col("rep").alias("b"), F.col("rest").alias("rb"))
+    merged = x.join(y, "rank").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+    maybe = merged.where(F.col("n") + F.greatest("ra", "rb") >= threshold).select("a", "b")
+    both = maybe.join(reps.withColumnsRenamed({"rep": "a", "sig": "sa"}), "a").join(reps.withColumnsRenamed({"rep": "b", "sig": "sb"}), "b")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (_matrix(batch.column(2), k) == _matrix(batch.column(3), k)).sum(1).astype(np.int32)
+            keep = pa.array(n >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], ["a", "b", "matches"]).filter(keep)
+
+    links = both.select("a", "b", "sa", "sb").mapInArrow(probe, "a long, b long, matches int")
+    # documents for their representatives
+    of = sigs.join(reps, "sig").select("doc_id", "rep")
+    apart = links.join(of.withColumnsRenamed({"doc_id": "x", "rep": "a"}), "a").join(of.withColumnsRenamed({"doc_id": "y", "rep": "b"}), "b").select("x", "y", "matches")
+    same = of.withColumnRenamed("doc_id", "x").join(of.withColumnRenamed("doc_id", "y"), "rep").where("x < y").select("x", "y", F.lit(k).alias("matches"))
+    return apart.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "matches")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): connected components of links (a, b); root is the least node.
 
@@ -308,7 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a group holds what such pairs connect. Letter case and ASCII punctuation don't count.
     Rows without id or text have no row and belong to no group; texts without words are
     copies of each other; a repeated row is its own copy and yields nothing; an empty table
-    gives an empty result. Extra columns are ignored.
+    gives an empty result. Extra columns are ignored; texts may be of any length; what isn't UTF-8 counts as U+FFFD.
     """
     sigs = cut(signatures(texts(docs, id_col, text_col), k, shingle))
     same, links = near_links(sigs, k, threshold)
@@ -317,5 +357,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id."""
-    return without(docs, near_duplicates(docs))
+    """One document of each group stays: the one with the least id, with every row of that id.
+
+    Rows without id or text stay; texts without words are one group; an empty table stays empty. The columns are those of ``docs``, whatever their names.
+    """
+    return without(docs, cut(near_duplicates(docs)))
