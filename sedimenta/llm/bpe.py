@@ -332,8 +332,8 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     """(doc_id, n_bytes, n_tokens, tokens, decoded_ok) for every row, in whatever order.
 
     ``decoded_ok`` says that the ids decode to the text's very bytes. A null text has null in
-    every other column; an empty text has no tokens. Repeated rows and rows without id have a
-    row each; extra columns are ignored. The
+    every other column; an empty text has no tokens, a very long one has all of its. Repeated rows and rows without id have a
+    row each; extra columns are ignored; an empty table gives no rows. What isn't UTF-8 is read as U+FFFD, and counts so in ``n_bytes``. The
     vocabulary file is read on the driver only.
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -385,5 +385,5 @@ def detokenize(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tok
 
 
 def stage_tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, as token ids."""
+    """Every row that is left, as token ids, whatever columns it has: see ``tokenize`` for nulls, empty and long texts."""
     return tokenize(docs)

@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import cut, table, texts
+from .common import cut, few, table, texts
 
 BLOCK, MIN_WORDS = 25, 50
 #: Windows that a task holds before it sends them on.
 HELD = 2_000_000
-#: Ids that are broadcast to filter the documents before they are shuffled; more are joined by shuffle.
-BROADCAST_IDS = 4_000_000
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -210,8 +208,7 @@ def _extend(rows: DataFrame, least: int) -> DataFrame:
 
 def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` with one of the ids; the ids are broadcast if they are few enough."""
-    ids = cut(ids.distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return docs.join(few(cut(ids.distinct())), "doc_id", "left_semi")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, least: int = MIN_WORDS) -> DataFrame:

@@ -180,6 +180,31 @@ def test_near_groups_equal_those_of_all_pairs(spark):
     sig = minhash.signature_matrix(pa.array([t for _, t in rows]))
     want = brute_groups([i for i, _ in rows], sig, minhash.THRESHOLD)
     assert pairs(minhash.near_duplicates(frame(spark, rows))) == want and len(want) > 50
+    rows += [(900, rows[5][1]), (901, rows[5][1])]
+    sig = minhash.signature_matrix(pa.array([t for _, t in rows]))
+    same = (sig[:, None, :] == sig[None, :, :]).sum(2)
+    want = sorted((rows[a][0], rows[b][0], int(same[a, b])) for a in range(len(rows)) for b in range(a + 1, len(rows)) if same[a, b] >= minhash.THRESHOLD)
+    assert pairs(minhash.near_pairs(frame(spark, rows))) == want
+
+
+def test_links_connect_what_all_pairs_do():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        n, t = int(rng.integers(2, 14)), 6
+        sig = rng.integers(0, 3, (n, 10)).astype(np.uint32)
+        root = list(range(n))
+        for _ in range(n):
+            for a in range(n):
+                for b in range(n):
+                    if (sig[a] == sig[b]).sum() >= t:
+                        root[a] = root[b] = min(root[a], root[b])
+        links = minhash.link_members(sig, t)
+        mine = list(range(n))
+        for _ in range(n):
+            for a, b, m in links:
+                assert m == (sig[a] == sig[b]).sum() >= t
+                mine[a] = mine[b] = min(mine[a], mine[b])
+        assert mine == root
 
 
 def test_near_odd_rows(spark):
