@@ -167,11 +167,15 @@ def contexts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     h = V.Prefix(raw)
     doc, begin, end = doc[at], start[at], stop[at]
     c = h(start[at - WORDS], begin)
+    # texts and contexts together in order of their hash, and of their place where that is equal; places are its low bits
+    low = np.uint64((1 << int(len(at)).bit_length()) - 1)
     tag = V.mix(c ^ V.mix(doc.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(tag, kind="stable")
-    same = np.flatnonzero(tag[order[1:]] == tag[order[:-1]])
+    tag = np.sort(tag & ~low | np.arange(len(at), dtype=np.uint64))
+    order = (tag & low).astype(np.int64)
+    a, b = order[:-1], order[1:]
+    same = (c[a] == c[b]) & (doc[a] == doc[b])
     last = np.full(len(at), -1)
-    last[order[same + 1]] = order[same]
+    last[b[same]] = a[same]
     return doc, begin, end, c, h(begin, end), last
 
 
@@ -215,7 +219,7 @@ def continuations(c: np.ndarray, w: np.ndarray, key: np.ndarray) -> tuple[np.nda
     keys (equal texts) get one answer.
     """
     pair = c.astype(np.uint64) << np.uint64(32) | w
-    order = np.argsort(pair, kind="stable")
+    order = np.argsort(pair)
     pair, key = pair[order], key[order]
     # contexts that occur once are no other document's
     ctx = pair >> np.uint64(32)
@@ -370,7 +374,7 @@ class Model:
 
     def _inputs(self, s: Symbols, lanes: np.ndarray, at: int, steps: int) -> tuple[np.ndarray, ...]:
         """Bits of the symbols ``at`` to ``at + steps`` of each lane, all first symbols, then all second ones, ...: (inputs,
-        set of weights, two slots of what the lane learns, bit, lane, where each step's bits begin)."""
+        set of weights, two slots of what the lane learns, bit, where each symbol's bits begin, its lane, where each step's bits begin)."""
         behind = len(self.logits) - 257
         live = np.searchsorted(-s.count[lanes], -(at + np.arange(steps)), "left")
         upto = np.cumsum(live)
@@ -386,7 +390,6 @@ class Model:
         one = (tree + 1).astype(np.uint32) * _K
         long = (back & np.uint32(0xFFFFFF)) * _K2 ^ (back >> np.uint32(24)) * _K
         own[:, 5] = lane * GATES + BYTE_GATES // 2 * _LETTER[back & np.uint32(255)]
-        own[:, 6] = lane
         own[:, 7] = tree * 256
         byte = tree * 258 + s.raw[pos]
         known = np.flatnonzero(flag)
@@ -416,7 +419,7 @@ class Model:
             np.bitwise_xor(ctx[:, 2 + i], place, out=learned[i])
         gate = self.gate_of.take(own[:, 3] + node)
         gate += own[:, 1]
-        return x, gate, learned, (step >> np.uint16(8)).astype(np.float32), own[:, 2].astype(np.int64), np.r_[0, np.r_[0, stop][upto]]
+        return x, gate, learned, (step >> np.uint16(8)).astype(np.float32), stop - size, lane, np.r_[0, np.r_[0, stop][upto]]
 
     def _lanes(self, s: Symbols, lanes: np.ndarray) -> np.ndarray:
         """Bits of some lanes, the longest first, that advance together."""
@@ -428,12 +431,12 @@ class Model:
         A = np.zeros(n * OWN, np.float32)
         R = np.tile(_CENTRE, n * GATES)
         one, minus, own_rate = np.float32(1), np.full((4, 4), -RATE, np.float32), np.float32(OWN_RATE)
-        steep, middle, top = np.float32(-STEEP), np.float32(CELLS / 2), np.float32(CELLS - 1)
+        steep, middle, top, zero = np.float32(-STEEP), np.float32(CELLS / 2), np.float32(CELLS - 1), np.float32(0)
         keep, map_rate = np.float32(1 - MAP_RATE), np.float32(MAP_RATE)
         at = 0
         while (m := int(np.count_nonzero(count > at))) > NARROW:
             steps = int(min(max(8, LAID // m), count[0] - at))
-            X, G, O, Y, lane, edge = self._inputs(s, lanes[:m], at, steps)
+            X, G, O, Y, symbol, lane, edge = self._inputs(s, lanes[:m], at, steps)
             Q = np.empty(len(Y), np.float32)
             C, L, Y4 = G * CELLS, Y * (map_rate * np.float32(1 - 2 * LEAST)) + map_rate * np.float32(LEAST), np.repeat(Y, 4).reshape(-1, 4)
             most = int(np.diff(edge).max())
@@ -465,7 +468,7 @@ class Model:
                     Wc[gi] = w
                     # refinement
                     dot += middle
-                    np.maximum(dot, 0, out=dot)
+                    np.maximum(dot, zero, out=dot)
                     np.minimum(dot, top, out=dot)
                     np.copyto(cell, dot, casting="unsafe")
                     cell += C[lo:hi]
@@ -480,12 +483,12 @@ class Model:
             np.abs(Q, out=Q)
             np.subtract(one, Q, out=Q)
             np.maximum(Q, np.float32(1e-5), out=Q)
-            total[:m] -= np.bincount(lane, np.log2(Q, out=Q), m)
+            total[:m] -= np.bincount(lane, np.add.reduceat(np.log2(Q, out=Q), symbol), m)
             at += steps
         for k in range(m):
             state = W[k * GATES : (k + 1) * GATES].tolist(), A[k * OWN : (k + 1) * OWN].tolist(), R[k * GATES * CELLS : (k + 1) * GATES * CELLS].tolist()
             for lo in range(at, int(count[k]), LAID):
-                X, G, O, Y, _, edge = self._inputs(s, lanes[k : k + 1], lo, min(LAID, int(count[k]) - lo))
+                X, G, O, Y, _, _, edge = self._inputs(s, lanes[k : k + 1], lo, min(LAID, int(count[k]) - lo))
                 total[k] += _one(X, G, O, Y, edge, *state)
         return total
 
