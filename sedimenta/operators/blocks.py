@@ -2,42 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bytes import record_length
+from ..sources.folders import shared
 
 
 def running_bytes(df: DataFrame, order: str, size: Column) -> DataFrame:
     """``df`` with ``upto``: bytes of all rows up to and including this one by ``order``.
 
-    Ranges of the key are summed apart and only the ranges' totals are brought in order, so
-    no task ever sees all rows. The ranges are equal-count quantiles of the key.
+    One shuffle brings ranges of the key together; their totals, a row for each, come to the driver and go back as what lies before
+    each range, and running sums are taken in place. So no task ever sees all rows. The ranges are equal-count
+    quantiles found by sampling; they are checkpointed, so that both uses see the same.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("__size", size).repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.persist()  # range bounds are sampled: one sampling must serve both uses
-    totals = ranged.groupBy("__part").agg(F.sum("__size").alias("__sum"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(before.select("__part", "__before")), "__part")  # one row per partition
-    return out.withColumn("upto", (F.sum("__size").over(w) + F.col("__before")).cast("long")).drop("__size", "__part", "__before")
+    spark = df.sparkSession
+    shared(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("__size", size.cast("long")).repartitionByRange(parts, order).sortWithinPartitions(order).checkpoint()
+    before, total = {}, 0
+    for r in sorted(ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("__size").alias("n")).collect()):
+        before[r.part], total = total, total + (r.n or 0)
+    schema = T.StructType([f for f in ranged.schema.fields if f.name != "__size"] + [T.StructField("upto", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto = before.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.schema.get_field_index("__size")
+            sums = pc.cumulative_sum(pc.fill_null(batch.column(at), 0), start=upto)
+            upto = sums[-1].as_py()
+            cols = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*cols, sums], schema.names)
 
+    return ranged.mapInArrow(run, schema)
 
-def split_key(df: DataFrame, budget: int, key: str = "key", value: str = "value") -> object | None:
+
+def part_bytes(df: DataFrame, key: str = "key", value: str = "value") -> list[Row]:
+    """(part, n, records, first, last) of every partition that has records, in order of the key."""
+    rows = df.select(F.spark_partition_id().alias("part"), F.col(key).alias("k"), record_length(F.col(key), F.col(value)).alias("n"))
+    found = rows.groupBy("part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("records"), F.min("k").alias("first"), F.max("k").alias("last")).collect()
+    return sorted(found, key=lambda r: r["first"])
+
+
+def split_key(df: DataFrame, budget: int, totals: list[Row] | None = None, key: str = "key", value: str = "value") -> object | None:
     """The greatest key up to which the records fit into ``budget`` bytes; None if none does.
 
     ``df`` must give the same partitions each time, in ranges of the key. Totals of the
     partitions come to the driver; running sums are taken in the one where the budget ends.
     """
-    rows = df.select(F.spark_partition_id().alias("part"), F.col(key).alias("k"), record_length(F.col(key), F.col(value)).alias("n"))
-    totals = sorted(rows.groupBy("part").agg(F.sum("n").alias("n"), F.max("k").alias("last"), F.min("k").alias("first")).collect(), key=lambda r: r["first"])
     used, last = 0, None
-    for t in totals:
+    for t in part_bytes(df, key, value) if totals is None else totals:
         if used + t["n"] > budget:
-            w = Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-            inside = rows.where(F.col("part") == t["part"]).withColumn("upto", F.sum("n").over(w) + F.lit(used))
-            found = inside.where(F.col("upto") <= budget).agg(F.max("k")).first()[0]
+            rows = df.where(F.spark_partition_id() == t["part"]).select(F.col(key).alias("k"), record_length(F.col(key), F.col(value)).alias("n"))
+            w = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # of one partition
+            found = rows.withColumn("upto", F.sum("n").over(w) + F.lit(used)).where(F.col("upto") <= budget).agg(F.max("k")).first()[0]
             return found if found is not None else last
         used, last = used + t["n"], t["last"]
     return last

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Keys of a lookup that are broadcast at most.
+KEYS_BROADCAST = 100_000
+
 #: Rows of the engine's own tables.
 RECORD = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField("value", T.BinaryType()), T.StructField("seq", T.LongType(), False)])
 
@@ -71,9 +74,15 @@ def get(view: DataFrame, key: object, name: str = "key") -> DataFrame:
     return view.where(F.col(name) == F.lit(key))
 
 
-def multi_get(view: DataFrame, wanted: DataFrame, name: str = "key") -> DataFrame:
-    """The rows of many keys at once, as a semi join; a key asked for twice gives one row."""
-    return view.join(wanted.select(name), name, "left_semi")
+def multi_get(runs: Sequence[DataFrame], wanted: DataFrame, keys: Sequence[str] = ("key",), seq: str | None = "seq", dead: Column | None = None) -> DataFrame:
+    """The live rows of many keys at once, over runs as in ``merge``; a key asked for twice gives one row.
+
+    The keys are joined into each run before versions are compared, so only rows of wanted keys are shuffled: few
+    keys are broadcast, after they were counted; more are joined by the shuffle on the key that the comparison needs too.
+    """
+    w = wanted.select(*keys).distinct()
+    few = w.limit(KEYS_BROADCAST + 1).count() <= KEYS_BROADCAST
+    return merge([r.join(F.broadcast(w) if few else w, list(keys), "left_semi") for r in runs], keys, seq, dead)
 
 
 def range_scan(view: DataFrame, start: object | None = None, end: object | None = None, name: str = "key") -> DataFrame:

@@ -10,19 +10,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .errors import StoreError
 from .functions.bytes import bloom_places, compare, ordered_text, record_length
 from .operators import blocks, bloom
 from .operators import merge as m
 from .options import Level, Options, Sink
-from .sources.folders import shared
+from .sources import native, runs
+from .sources.folders import open_fs, shared
 from .store import Table
 
 #: Byte budgets of the levels in the level queries; the rest goes to the sink.
 BUDGETS = [20_000, 200_000]
-BLOCK_ROWS = 512
 
 
 def dead() -> Column:
@@ -73,15 +75,18 @@ def _get(key: int) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: m.get(view(spark, sf_dir), key, "user_id").select(*_SHOW)
 
 
+def _lookup(spark: SparkSession, sf_dir: str, wanted: DataFrame) -> DataFrame:
+    return m.multi_get([log(spark, sf_dir)], wanted, ["user_id"], "event_id", dead()).select(*_SHOW)
+
+
 def kv_get_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookups of every key whose newest version is a delete: nothing, whatever older layers hold."""
-    gone = view(spark, sf_dir, True).where(dead()).select("user_id")
-    return m.multi_get(view(spark, sf_dir), gone, "user_id").select(*_SHOW)
+    """Lookups of every key that was deleted at some time: what is left of them, whatever older layers hold."""
+    return _lookup(spark, sf_dir, log(spark, sf_dir).where(dead()).select("user_id"))
 
 
 def kv_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).where(F.col("user_id") % 7 == 3)
-    return m.multi_get(view(spark, sf_dir), wanted, "user_id").select(*_SHOW)
+    return _lookup(spark, sf_dir, wanted)
 
 
 def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,25 +128,26 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("user_id", key.alias("key"), F.when(~dead(), value).alias("v"))
 
 
-def kv_compact_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compaction in two steps: upper layers merged with tombstones, then into the sink without."""
-    top, mid, sink = layers(spark, sf_dir)
-    upper = m.merge([top, mid], ["user_id"], "event_id", dead(), keep_tombstones=True)
-    return m.merge([upper, sink], ["user_id"], "event_id", dead()).select(*_SHOW)
-
-
 def _orders_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     return o.withColumn("bytes", record_length(F.col("o_orderkey").cast("string"), F.col("o_orderpriority")))
 
 
+def _bytes(e: DataFrame) -> DataFrame:
+    """Events as mutations (key, value, seq)."""
+    key, value = F.encode(F.lpad(F.col("user_id").cast("string"), 10, "0"), "UTF-8"), F.encode(F.col("value").cast("string"), "UTF-8")
+    return e.select(key.alias("key"), F.when(~dead(), value).alias("value"), F.col("event_id").alias("seq"))
+
+
+def _table(spark: SparkSession, levels: tuple[Level, ...] = (Level(run_size=1_000, max_runs=1), Level(run_size=3_000, max_runs=1)), sink: Sink | None = None, **kw) -> Table:
+    return Table(spark, Options(f"{shared(spark)}/table-{uuid.uuid4().hex}", levels, sink or Sink(), **kw))
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> Table:
     """The layers as three commits of a table with two small levels above the sink."""
-    small = (Level(run_size=1_000, max_runs=1), Level(run_size=3_000, max_runs=1))
-    t = Table(spark, Options(f"{shared(spark)}/table-{uuid.uuid4().hex}", small, Sink()))
-    key, value = F.encode(F.lpad(F.col("user_id").cast("string"), 10, "0"), "UTF-8"), F.encode(F.col("value").cast("string"), "UTF-8")
+    t = _table(spark)
     for layer in reversed(layers(spark, sf_dir)):
-        t.apply(layer.select(key.alias("key"), F.when(~dead(), value).alias("value"), F.col("event_id").alias("seq")))
+        t.apply(_bytes(layer))
     return t
 
 
@@ -154,26 +160,97 @@ def kv_store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_stored(spark, sf_dir).scan())
 
 
+def kv_store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bounded scan of a stored table that was closed and opened again."""
+    t = _stored(spark, sf_dir)
+    t.close()
+    return _shown(Table(spark, t.options).scan(b"0000000010", b"0000000040"))
+
+
+def kv_store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups in a stored table through ranges of files, filters and cache: of live, deleted and unknown keys."""
+    t = _stored(spark, sf_dir)
+    found = [(k, None if v is None else float(v)) for k in (2, 7, 11, 10**9) for v in [t.get(b"%010d" % k)]]
+    return spark.createDataFrame(found, "user_id long, value double")
+
+
+def kv_store_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many keys looked up in a stored table."""
+    wanted = _read(spark, sf_dir, "customer").where(F.col("c_custkey") % 7 == 3)
+    key = F.encode(F.lpad(F.col("c_custkey").cast("string"), 10, "0"), "UTF-8").alias("key")
+    return _shown(_stored(spark, sf_dir).multi_get(wanted.select(key)))
+
+
+def kv_compact_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What compaction leaves in the sink's files: no tombstones, one version of a key, and untouched files as they were.
+
+    The first commit fills several sink files; the others touch keys up to a bound only.
+    """
+    most = _read(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]
+    t = _table(spark, (), Sink(run_size=3 * most + 1))
+    top, mid, base = layers(spark, sf_dir)
+    t.apply(_bytes(base))
+    before = set(t.snapshot.levels[-1])
+    for layer in (mid, top):
+        t.apply(_bytes(layer.where(F.col("user_id") <= most // 8)))
+    kept = len(before & set(t.snapshot.levels[-1]))
+    files = spark.read.schema(m.RECORD).parquet(*t.snapshot.paths(len(t.snapshot.levels) - 1))
+    return _shown(files).withColumn("files_kept", F.lit(kept > 0))
+
+
 def kv_level_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which level each order falls into, by the running bytes of all before it in key order."""
     out = blocks.running_bytes(_orders_sized(spark, sf_dir), "o_orderkey", F.col("bytes"))
     return out.select("o_orderkey", "upto", blocks.assign_levels(F.col("upto"), BUDGETS).alias("level"))
 
 
-def _block(df: DataFrame) -> DataFrame:
-    return blocks.block_index(df, F.floor(F.col("o_orderkey") / BLOCK_ROWS).cast("long"), "o_orderkey", F.col("bytes"))
+def _sink_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, value, file) of the sink of a table that holds all orders: several files, not overlapping."""
+    t = _table(spark, (), Sink(run_size=60_000))
+    o = _read(spark, sf_dir, "orders")
+    t.apply(o.select(F.encode(F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), "UTF-8").alias("key"), F.encode("o_orderpriority", "UTF-8").alias("value"), F.col("o_orderkey").alias("seq")))
+    return runs.files(runs.read(spark, t.snapshot.paths(0)))
+
+
+def _file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.block_index(_sink_files(spark, sf_dir), F.col("file"), "key", record_length(F.col("key"), F.col("value")))
 
 
 def kv_block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _block(_orders_sized(spark, sf_dir))
+    """The index of a stored table's files holds every record once, in ranges that don't overlap and begin and end with the table."""
+    i = _file_index(spark, sf_dir).withColumn("next", F.lead("start_key").over(Window.orderBy("start_key")))  # a row for each file
+    number = lambda c: c.cast("string").cast("long")
+    return i.agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), number(F.min("start_key")).alias("first_key"), number(F.max("end_key")).alias("last_key"), F.count(F.when(F.col("next") <= F.col("end_key"), 1)).alias("overlaps"))
 
 
 def kv_block_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.blocks_of(_block(_orders_sized(spark, sf_dir)), 777)
+    """The records of the one block that holds a key's place, cut to a range around it, through the index of the files."""
+    files = _sink_files(spark, sf_dir).persist()  # read for the index and for the records
+    index = blocks.block_index(files, F.col("file"), "key", record_length(F.col("key"), F.col("value")))
+    found = blocks.blocks_of(index, b"0000000777")
+    return files.join(F.broadcast(found.select(F.col("block_id").alias("file"))), "file").where(F.col("key") == b"0000000777").select(F.col("key").cast("string").cast("long").alias("o_orderkey"), F.col("value").cast("string").alias("o_orderpriority"))
 
 
 def kv_snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.current(log(spark, sf_dir).where("event_id <= 500"), ["user_id"], "event_id", dead()).select(*_SHOW)
+    """An older version of a stored table, opened by its number after newer ones were published."""
+    t = _table(spark)
+    e = log(spark, sf_dir)
+    for part in (e.where("event_id <= 500"), e.where("event_id between 501 and 900"), e.where("event_id > 900")):
+        t.apply(_bytes(part))
+    return _shown(Table(spark, t.options, version=1).scan())
+
+
+def kv_native_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest versions written as native files and read back through a manifest, a range of keys only."""
+    spark.dataSource.register(native.NativeRuns)
+    folder = f"{shared(spark)}/native-{uuid.uuid4().hex}".removeprefix("file:")
+    current = m.current(_bytes(log(spark, sf_dir)), keep_tombstones=True)
+    current.repartitionByRange(3, "key").sortWithinPartitions("key").select("key", "value", F.lit("").alias("file"), F.lit(0).alias("block")).write.format("sorted_runs").mode("append").option("block_size", 256).option("run_size", 2_000).save(folder)
+    fs, at = open_fs(folder)
+    names = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(at)) if x.base_name.endswith(".sst"))
+    native.write_manifest(f"{folder}/manifest1", [names, []])
+    got = spark.read.format("sorted_runs").option("manifest", f"{folder}/manifest1").option("start", b"0000000010".hex()).option("end", b"0000000090".hex()).load()
+    return _shown(got.where("value is not null"))
 
 
 def kv_memtable_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,15 +265,22 @@ def kv_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_validate_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many mutations break each rule of a table with small limits."""
+    """What a table with small limits says to the events of each kind: taken, or the rule that refuses the batch."""
+    small = dict(block_size=64, run_size=1 << 20, cache_size=64)
+    t = _table(spark, (), Sink(**small), key_max=2, value_max=9)
     e = _read(spark, sf_dir, "events")
-    k, v = F.octet_length(F.col("user_id").cast("string")), F.octet_length("props")
-    return e.agg(
-        F.count(F.when(F.coalesce(k, F.lit(0)) == 0, 1)).alias("empty_keys"),
-        F.count(F.when(k > 2, 1)).alias("large_keys"),
-        F.count(F.when(F.coalesce(v, F.lit(0)) == 0, 1)).alias("empty_values"),
-        F.count(F.when(v > 9, 1)).alias("large_values"),
-    )
+    text = F.encode(F.col("user_id").cast("string"), "UTF-8")
+    kinds = {"fine": (text, F.lit(b"x")), "no keys": (F.lit(None).cast("binary"), F.lit(b"x")), "empty keys": (F.lit(b""), F.lit(b"x")), "large keys": (F.concat(text, F.lit(b"123")), F.lit(b"x")), "empty values": (text, F.lit(b"")), "large values": (text, F.encode(F.rpad("event_type", 10, "x"), "UTF-8")), "deletes": (text, F.lit(None).cast("binary"))}
+    said = []
+    for kind, (key, value) in kinds.items():
+        before = t.snapshot.version
+        try:
+            t.apply(e.where("user_id < 100").select(key.alias("key"), value.alias("value"), F.col("event_id").alias("seq")))
+            why = "taken"
+        except StoreError as x:
+            why = type(x).__name__
+        said.append((kind, why, t.snapshot.version - before))
+    return spark.createDataFrame(said, "mutations string, outcome string, versions int")
 
 
 def kv_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +310,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_merge_orders": kv_merge_orders,
     "kv_compact_sink": kv_compact_sink,
     "kv_store_scan": kv_store_scan,
+    "kv_store_range": kv_store_range,
+    "kv_store_get": kv_store_get,
+    "kv_store_multi_get": kv_store_multi_get,
+    "kv_native_round_trip": kv_native_round_trip,
     "kv_level_assign": kv_level_assign,
     "kv_block_index": kv_block_index,
     "kv_block_lookup": kv_block_lookup,
@@ -241,7 +329,9 @@ _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDE
 _LIVE = f"SELECT user_id, event_id, value FROM ({_LATEST}) WHERE event_type <> 'error'"
 _LAYERED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) AS n FROM events) WHERE n = 1"
 _SIZED = "SELECT o_orderkey, strlen(CAST(o_orderkey AS VARCHAR)) + coalesce(strlen(o_orderpriority), 0) + 2 AS bytes FROM orders"
-_BLOCKS = f"SELECT CAST(floor(o_orderkey / {BLOCK_ROWS}.0) AS BIGINT) AS block_id, min(o_orderkey) AS start_key, max(o_orderkey) AS end_key, count(*) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM ({_SIZED}) GROUP BY 1"
+_VERSION = "SELECT user_id, value FROM ({0}) WHERE event_type <> 'error'"
+_FNV = """list_reduce(list_concat([2166136261::UBIGINT], list_transform(string_split(CAST(user_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)), lambda h, b: {0})::BIGINT"""
+_FNV1, _FNV1A = _FNV.format("xor((h * 16777619) % 4294967296, b)"), _FNV.format("(xor(h, b) * 16777619) % 4294967296")
 
 ORACLE_SQL: dict[str, str] = {
     "kv_upsert_latest": f"SELECT user_id, event_id, value, event_type FROM ({_LATEST})",
@@ -249,7 +339,7 @@ ORACLE_SQL: dict[str, str] = {
     "kv_delete_visible": _LIVE,
     "kv_get_hit": f"SELECT * FROM ({_LIVE}) WHERE user_id = 7",
     "kv_get_missing": f"SELECT * FROM ({_LIVE}) WHERE user_id = -1",
-    "kv_get_deleted": f"SELECT * FROM ({_LIVE}) WHERE user_id IN (SELECT user_id FROM ({_LATEST}) WHERE event_type = 'error')",
+    "kv_get_deleted": f"SELECT * FROM ({_LIVE}) WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')",
     "kv_multi_get": f"SELECT * FROM ({_LIVE}) WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3)",
     "kv_range_scan": f"SELECT * FROM ({_LIVE}) WHERE user_id BETWEEN 10 AND 40 ORDER BY user_id",
     "kv_full_scan": f"SELECT * FROM ({_LIVE}) ORDER BY user_id",
@@ -258,16 +348,23 @@ ORACLE_SQL: dict[str, str] = {
     "kv_merge_keep_tombstones": f"SELECT user_id, event_id, value, event_type FROM ({_LAYERED})",
     "kv_merge_orders": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 2 WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price
         FROM orders WHERE NOT (o_orderkey % 11 = 0 AND o_orderkey % 5 = 0)""",
-    "kv_compact_sink": f"SELECT user_id, event_id, value FROM ({_LAYERED}) WHERE event_type <> 'error'",
-    "kv_store_scan": f"SELECT user_id, value FROM ({_LAYERED}) WHERE event_type <> 'error'",
+    "kv_compact_sink": "SELECT user_id, value, true AS files_kept FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) AS n FROM events WHERE event_id % 3 = 0 OR user_id <= (SELECT max(user_id) // 8 FROM events)) WHERE n = 1 AND event_type <> 'error'",
+    "kv_store_scan": _VERSION.format(_LAYERED),
+    "kv_store_range": f"SELECT * FROM ({_VERSION.format(_LAYERED)}) WHERE user_id BETWEEN 10 AND 40",
+    "kv_store_get": f"SELECT k.user_id, v.value FROM (SELECT unnest([2, 7, 11, 1000000000])::BIGINT AS user_id) k LEFT JOIN ({_VERSION.format(_LAYERED)}) v ON v.user_id = k.user_id",
+    "kv_store_multi_get": f"SELECT * FROM ({_VERSION.format(_LAYERED)}) WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3)",
+    "kv_native_round_trip": f"SELECT * FROM ({_VERSION.format(_LATEST)}) WHERE user_id BETWEEN 10 AND 90",
     "kv_level_assign": f"""SELECT o_orderkey, upto, CASE WHEN upto <= {BUDGETS[0]} THEN 0 WHEN upto <= {sum(BUDGETS)} THEN 1 ELSE 2 END AS level
         FROM (SELECT o_orderkey, CAST(sum(bytes) OVER (ORDER BY o_orderkey) AS BIGINT) AS upto FROM ({_SIZED}))""",
-    "kv_block_index": _BLOCKS,
-    "kv_block_lookup": f"SELECT * FROM ({_BLOCKS}) WHERE 777 BETWEEN start_key AND end_key",
-    "kv_snapshot_as_of": _LIVE.replace("FROM events", "FROM events WHERE event_id <= 500"),
+    "kv_block_index": "SELECT count(*) AS records, CAST(sum(12 + strlen(o_orderpriority)) AS BIGINT) AS bytes, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, 0::BIGINT AS overlaps FROM orders",
+    "kv_block_lookup": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey = 777",
+    "kv_snapshot_as_of": _VERSION.format(_LATEST.replace("FROM events", "FROM events WHERE event_id <= 500")),
     "kv_memtable_stats": f"SELECT count(*) AS entries, CAST(sum(10 + CASE WHEN event_type <> 'error' THEN strlen(event_type) ELSE 0 END) AS BIGINT) AS bytes FROM ({_LATEST})",
     "kv_key_order": """SELECT hex(k) AS key_hex, CASE WHEN k < '15' THEN -1 WHEN k = '15' THEN 0 ELSE 1 END AS against_15, CAST(strlen(k) + 2 AS BIGINT) AS record_bytes
         FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS k FROM events) ORDER BY key_hex""",
-    "kv_validate_mutations": """SELECT count(*) FILTER (user_id IS NULL) AS empty_keys, count(*) FILTER (strlen(CAST(user_id AS VARCHAR)) > 2) AS large_keys,
-        count(*) FILTER (props IS NULL OR props = '') AS empty_values, count(*) FILTER (strlen(props) > 9) AS large_values FROM events""",
+    "kv_validate_mutations": """SELECT * FROM (VALUES ('fine', 'taken', 1), ('no keys', 'EmptyKeyError', 0), ('empty keys', 'EmptyKeyError', 0), ('large keys', 'KeyTooLargeError', 0),
+        ('empty values', 'EmptyValueError', 0), ('large values', 'ValueTooLargeError', 0), ('deletes', 'taken', 1)) t(mutations, outcome, versions)""",
+    "kv_bloom": f"""SELECT run, CAST(floor(place / 32) AS INTEGER) AS word, CAST(sum(1::BIGINT << CAST(place % 32 AS INTEGER)) AS BIGINT) AS mask FROM (
+        SELECT DISTINCT CAST(event_id % 3 AS INTEGER) AS run, unnest([{_FNV1} % 4096, {_FNV1A} % 4096]) AS place FROM events) GROUP BY ALL""",
+    "kv_bloom_places": f"SELECT DISTINCT user_id, [{_FNV1} % 4096, {_FNV1A} % 4096] AS places FROM events",
 }

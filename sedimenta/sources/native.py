@@ -1,27 +1,39 @@
-"""Reader for native sorted-string files and their manifests, as a Spark data source.
+"""Native sorted-string files and their manifests, as a Spark data source that reads and writes them.
 
 A file is data blocks, then a block index, then the index's offset in its last eight bytes; all
 numbers are big-endian. A record is a length byte and the key, then a length byte and the
 value; an empty value is a tombstone and becomes null. Blocks may be padded: the index says how
-many bytes of each are in use. Every block is a partition of the scan, and a key range given as
-options leaves out the blocks that it doesn't touch.
+many bytes of each are in use. A scan's partitions are files, small ones together and large ones in parts of ``SPLIT`` bytes;
+block indexes are read by the tasks, not the driver, and a key range given as options leaves out the blocks that it doesn't touch.
+Rows travel as Arrow batches. Files may lie on any file system that Arrow knows.
 
     spark.dataSource.register(NativeRuns)
     spark.read.format("sorted_runs").option("path", file).option("start", "6b31").load()
+    spark.read.format("sorted_runs").option("manifest", path).load()          # all files of all levels
+    df.sortWithinPartitions("key").write.format("sorted_runs").mode("append").save(folder)
+
+Writing gives a file for each partition, more where ``run_size`` is reached; its keys must be in order, without
+repeats. Keys and values have at most 255 bytes there, as a length is one byte.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import Row
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..errors import SnapshotError, StoreError
+from .folders import open_fs
 
 SCHEMA = "key binary, value binary, file string, block int"
+#: Bytes of files that a task reads, and records of a batch.
+SPLIT, BATCH = 128 << 20, 10_000
 
 
 @dataclass(frozen=True)
@@ -48,17 +60,19 @@ def _short(data: bytes, at: int) -> tuple[bytes, int]:
 
 def block_index(path: str) -> list[Block]:
     """The blocks that a file's footer lists."""
-    with open(path, "rb") as f:
-        f.seek(0, 2)
-        total = f.tell()
-        if total < 16:
-            raise StoreError("too short for a footer")
-        f.seek(total - 8)
-        at = struct.unpack(">q", f.read(8))[0]
-        if not 0 <= at <= total - 16:
-            raise StoreError("the footer points outside the file")
-        f.seek(at)
-        data = f.read(total - 8 - at)
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as f:
+        return _index(f)
+
+
+def _index(f: pa.NativeFile) -> list[Block]:
+    total = f.size()
+    if total < 16:
+        raise StoreError("too short for a footer")
+    at = struct.unpack(">q", f.read_at(8, total - 8))[0]
+    if not 0 <= at <= total - 16:
+        raise StoreError("the footer points outside the file")
+    data = f.read_at(total - 8 - at, at)
     n, at, out = struct.unpack_from(">q", data)[0], 8, []
     for _ in range(n):
         start, at = _short(data, at)
@@ -68,20 +82,74 @@ def block_index(path: str) -> list[Block]:
     return out
 
 
-def block_records(path: str, block: Block) -> Iterator[tuple[bytes, bytes | None]]:
-    with open(path, "rb") as f:
-        f.seek(block.offset)
-        data = f.read(block.used)
+def _records(data: bytes) -> Iterator[tuple[bytes, bytes | None]]:
     at = 0
-    while at < block.used:
+    while at < len(data):
         key, at = _short(data, at)
         value, at = _short(data, at)
         yield key, value or None
 
 
+# writing
+
+
+def write_file(path: str, records: Iterable[tuple[bytes, bytes | None]], block_size: int = 4096) -> list[Block]:
+    """Writes records, which must be in order of the key, and returns the blocks; a record larger than a block has one of its own."""
+    blocks: list[Block] = []
+    fs, at = open_fs(path)
+    with fs.open_output_stream(at, compression=None) as f:
+        held, start, last, offset = b"", None, None, 0
+
+        def close() -> None:
+            nonlocal held, start, offset
+            blocks.append(Block(start, last, len(held), offset))
+            padded = held.ljust(block_size, b"\0")
+            f.write(padded)
+            offset += len(padded)
+            held, start = b"", None
+
+        for key, value in records:
+            value = value or b""
+            if last is not None and key <= last:
+                raise StoreError("keys must be in order and occur once")
+            if not key or len(key) > 255 or len(value) > 255:
+                raise StoreError("a native file takes keys of 1 to 255 bytes and values of at most 255")
+            raw = bytes([len(key)]) + key + bytes([len(value)]) + value
+            if start is not None and len(held) + len(raw) > block_size:
+                close()
+            start = key if start is None else start
+            held += raw
+            last = key
+        if start is not None:
+            close()
+        index = struct.pack(">q", len(blocks))
+        for b in blocks:
+            index += bytes([len(b.start)]) + b.start + bytes([len(b.end)]) + b.end + struct.pack(">qq", b.used, b.offset)
+        f.write(index + struct.pack(">q", offset))
+    return blocks
+
+
+def write_manifest(path: str, levels: list[list[str]]) -> None:
+    """Names the files of every level; written under a draft name and renamed, so a reader sees all of it or nothing."""
+    out = struct.pack(">I", len(levels))
+    for files in levels:
+        out += struct.pack(">I", len(files))
+        for name in files:
+            raw = name.encode()
+            if len(raw) > 255:
+                raise SnapshotError("a native manifest takes paths of at most 255 bytes")
+            out += bytes([len(raw)]) + raw
+    fs, at = open_fs(path)
+    draft = f"{at}.draft-{uuid.uuid4().hex}"
+    with fs.open_output_stream(draft, compression=None) as f:
+        f.write(out)
+    fs.move(draft, at)
+
+
 def read_manifest(path: str) -> list[list[str]]:
     """File paths of every level."""
-    with open(path, "rb") as f:
+    fs, place = open_fs(path)
+    with fs.open_input_stream(place, compression=None) as f:
         data = f.read()
     try:
         levels, at, out = struct.unpack_from(">I", data)[0], 4, []
@@ -99,27 +167,101 @@ def read_manifest(path: str) -> list[list[str]]:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, number: int, block: Block):
-        self.path, self.number, self.block = path, number, block
+    """Files, each with the range of places where the blocks begin that are the task's."""
+
+    def __init__(self, files: list[tuple[str, int, int]]):
+        self.files = files
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = [p for p in options.get("path", "").split(",") if p]
+        if "manifest" in options:
+            self.paths += [p for files in read_manifest(options["manifest"]) for p in files]
         self.start = bytes.fromhex(options["start"]) if "start" in options else None
         self.end = bytes.fromhex(options["end"]) if "end" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p, i, b) for p in self.paths for i, b in enumerate(block_index(p)) if b.touches(self.start, self.end)]
+        parts, held, size = [], [], 0
+        for path in self.paths:
+            fs, at = open_fs(path)
+            n = fs.get_file_info(at).size or 0
+            for lo in range(0, max(1, n), SPLIT):
+                take = min(SPLIT, n - lo)
+                if held and size + take > SPLIT:
+                    parts.append(_Part(held))
+                    held, size = [], 0
+                held.append((path, lo, lo + SPLIT))
+                size += take
+        return parts + [_Part(held)] if held or not parts else parts
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        for path, lo, hi in partition.files:
+            fs, at = open_fs(path)
+            with fs.open_input_file(at) as f:
+                rows = []
+                for number, b in enumerate(_index(f)):
+                    if lo <= b.offset < hi and b.touches(self.start, self.end):
+                        rows += [(k, v, number) for k, v in _records(f.read_at(b.used, b.offset)) if (self.start is None or k >= self.start) and (self.end is None or k <= self.end)]
+                    if len(rows) >= BATCH:
+                        yield _batch(rows, path)
+                        rows = []
+                yield _batch(rows, path)
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        for key, value in block_records(partition.path, partition.block):
-            if (self.start is None or key >= self.start) and (self.end is None or key <= self.end):
-                yield key, value, partition.path, partition.number
+
+def _batch(rows: list[tuple[bytes, bytes | None, int]], path: str) -> pa.RecordBatch:
+    keys, values, blocks = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary()), pa.array([path] * len(rows), pa.string()), pa.array(blocks, pa.int32())], ["key", "value", "file", "block"])
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[str]
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, options: dict[str, str]):
+        self.folder = options["path"].rstrip("/")
+        self.block_size = int(options.get("block_size", 4096))
+        self.run_size = int(options.get("run_size", SPLIT))
+
+    def write(self, rows: Iterator[Row]) -> _Written:
+        fs, root = open_fs(self.folder)
+        fs.create_dir(root, recursive=True)
+        files: list[str] = []
+        ahead = next(rows, None)
+
+        def run() -> Iterator[tuple[bytes, bytes | None]]:
+            nonlocal ahead
+            size = 0
+            while ahead is not None and (not size or size + len(ahead["key"]) + len(ahead["value"] or b"") + 2 <= self.run_size):
+                size += len(ahead["key"]) + len(ahead["value"] or b"") + 2
+                yield bytes(ahead["key"]), None if ahead["value"] is None else bytes(ahead["value"])
+                ahead = next(rows, None)
+
+        while ahead is not None:
+            name = f"{self.folder}/.{uuid.uuid4().hex}"
+            write_file(name, run(), self.block_size)
+            files.append(name)
+        return _Written(files)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        for message in messages:
+            for name in message.files if message else ():
+                fs, at = open_fs(name)
+                folder, _, base = at.rpartition("/")
+                fs.move(at, f"{folder}/{base[1:]}.sst")  # files of lost or failed tasks keep their hidden names
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        for message in messages:
+            for name in message.files if message else ():
+                fs, at = open_fs(name)
+                fs.delete_file(at)
 
 
 class NativeRuns(DataSource):
-    """Options: ``path`` (one or several, with commas), ``start`` and ``end`` (keys in hex, both included)."""
+    """Options of a read: ``path`` (one or several files, with commas), ``manifest``, ``start`` and ``end`` (keys in hex, both
+    included); of a write: ``path`` (a folder), ``block_size`` and ``run_size`` in bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -130,3 +272,6 @@ class NativeRuns(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _Writer(dict(self.options))

@@ -1,4 +1,4 @@
-"""Snapshots: one small JSON file per version that names the runs of every level.
+"""Snapshots: one small JSON file per version that names the files of every level, with their key ranges.
 
 A version is published by renaming a finished file to its name, so a reader sees a whole
 snapshot or none. The name is taken only once: the second of two writers of one version
@@ -12,6 +12,7 @@ import json
 import re
 import uuid
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
@@ -20,22 +21,42 @@ from ..errors import ConflictError, SnapshotError
 _NAME = re.compile(r"snapshot-(\d+)\.json")
 
 
+class File(NamedTuple):
+    """A sorted file: its least and greatest key, the bytes of its records, and their number."""
+
+    path: str
+    lo: bytes
+    hi: bytes
+    bytes: int
+    records: int
+
+    def touches(self, start: bytes | None, end: bytes | None) -> bool:
+        """Whether it may hold a key of an inclusive range; None leaves a side open."""
+        return (start is None or self.hi >= start) and (end is None or self.lo <= end)
+
+
 @dataclass(frozen=True)
 class Snapshot:
-    """``levels[i]`` names the runs of level ``i``; the last is the sink. ``next_seq`` is the first free number."""
+    """``levels[i]`` holds the files of level ``i``, in order of the key, which don't overlap; the last is the sink. ``next_seq`` is the first free number."""
 
     version: int = 0
     next_seq: int = 0
-    levels: tuple[tuple[str, ...], ...] = ()
+    levels: tuple[tuple[File, ...], ...] = ()
+
+    def paths(self, level: int, start: bytes | None = None, end: bytes | None = None) -> list[str]:
+        """The files of a level that a range of keys touches."""
+        return [f.path for f in self.levels[level] if f.touches(start, end)]
 
     def dumps(self) -> str:
-        return json.dumps({"version": self.version, "next_seq": self.next_seq, "levels": self.levels})
+        levels = [[(f.path, f.lo.hex(), f.hi.hex(), f.bytes, f.records) for f in files] for files in self.levels]
+        return json.dumps({"version": self.version, "next_seq": self.next_seq, "levels": levels})
 
     @classmethod
     def loads(cls, text: str) -> Snapshot:
         try:
             d = json.loads(text)
-            return cls(int(d["version"]), int(d["next_seq"]), tuple(tuple(map(str, x)) for x in d["levels"]))
+            levels = tuple(tuple(File(str(p), bytes.fromhex(lo), bytes.fromhex(hi), int(n), int(r)) for p, lo, hi, n, r in x) for x in d["levels"])
+            return cls(int(d["version"]), int(d["next_seq"]), levels)
         except (KeyError, TypeError, ValueError) as e:
             raise SnapshotError(f"not a snapshot: {e}") from e
 

@@ -7,7 +7,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import BadRangeError, ClosedError, ConflictError, EmptyKeyError, EmptyValueError, KeyTooLargeError, ValueTooLargeError
+from .errors import BadRangeError, ClosedError, EmptyKeyError, EmptyValueError, KeyTooLargeError, ValueTooLargeError
 from .operators.cache import ShardedCache
 from .operators.cursor import Cursor
 from .operators.merge import RECORD, get, merge, multi_get, range_scan
@@ -19,23 +19,31 @@ from .sources import runs, snapshots
 class Table:
     """An ordered key/value table over runs in one folder.
 
-    Single mutations are staged on the driver up to ``memtable_size`` bytes and then committed;
+    Single mutations are staged on the driver up to ``memtable_size`` bytes and then flushed in the
+    background: the memtable is swapped for a new one, and reads see both until the flush is published.
     ``apply`` commits a DataFrame of any size. A commit publishes one new version, so readers see all
     of it or nothing, and older versions stay readable. Reads see staged mutations and go on
-    working after ``close``.
+    working after ``close``. A flush that fails loses nothing: what it held is staged again, under
+    what was written since, and the error is raised by the next ``commit``, ``apply`` or ``close``.
+
+    Any number of threads may write and read. One of them commits at a time; the others wait.
     """
 
     def __init__(self, spark: SparkSession, options: Options, version: int | None = None):
         self.spark, self.options = spark, options.check()
         self.snapshot = snapshots.read(spark, options.path, version)
         self._staged: dict[bytes, tuple[bytes | None, int]] = {}
+        self._flushing: dict[bytes, tuple[bytes | None, int]] = {}
         self._bytes = 0
         self._next = self.snapshot.next_seq
         self._closed = False
         self._as_of = version is not None
-        self._commit_lock = threading.Lock()
-        top = options.level(0)
-        self.cache = ShardedCache(top.cache_size, top.cache_shards)
+        self._lock = threading.RLock()  # of what is above, held for a moment only
+        self._commits = threading.Lock()  # one commit at a time
+        self._flusher: threading.Thread | None = None
+        self._failed: Exception | None = None
+        each = [options.level(i) for i in range(len(options.levels) + 1)]
+        self.caches = [ShardedCache(x.cache_size, x.cache_shards) for x in each]  # of point reads, for each level
 
     # mutations
 
@@ -70,52 +78,76 @@ class Table:
             raise ValueError("every mutation needs a seq")
         if counts["lo"] is None:
             return
-        self.commit()
-        batch = mutations.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), (F.col("seq") - F.lit(counts["lo"]) + F.lit(self._next)).cast("long").alias("seq"))
-        self._publish(batch, self._next + counts["hi"] - counts["lo"] + 1)
+        self._raise_failure()
+        span = counts["hi"] - counts["lo"] + 1
+        with self._commits:
+            with self._lock:
+                # numbers for the batch: all that is staged by now is older, all that comes later newer
+                first, self._next = self._next, self._next + span
+                held = self._swap()
+            batch = mutations.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), (F.col("seq") - F.lit(counts["lo"]) + F.lit(first)).cast("long").alias("seq"))
+            self._publish(batch.unionByName(self._frame(held)) if held else batch, first + span)
 
     def commit(self) -> bool:
         """Publishes what is staged as a new version; False when nothing is."""
-        if not self._staged:
-            return False
-        self._publish(self._memtable(), self._next)
+        self._raise_failure()
+        with self._commits:
+            with self._lock:
+                held, upto = self._swap(), self._next
+            if not held:
+                return False
+            self._publish(self._frame(held), upto)
         return True
 
     def close(self) -> None:
-        """Commits and takes no more mutations; closing again does nothing."""
-        if not self._closed:
-            self.commit()
+        """Takes no more mutations, and commits those that were taken; closing again does nothing."""
+        with self._lock:
+            if self._closed:
+                return
             self._closed = True
+        try:
+            self.commit()
+        except Exception:
+            self._closed = False  # what was staged still is
+            raise
 
     # reads
 
     def view(self, keep_tombstones: bool = False) -> DataFrame:
         """The newest version of every key, as a DataFrame (key, value, seq)."""
-        layers = [self._memtable()] if self._staged else []
-        layers += [runs.read(self.spark, paths) for paths in self.snapshot.levels if paths]
-        return merge(layers or [runs.read(self.spark, [])], keep_tombstones=keep_tombstones)
+        return merge(self._layers(), keep_tombstones=keep_tombstones)
 
     def get(self, key: bytes) -> bytes | None:
         """The value under ``key``; None when there is none. Many keys are cheaper by ``multi_get``."""
         if not key:
             raise EmptyKeyError("a key must not be empty")
         key = bytes(key)
-        if key in self._staged:
-            return self._staged[key][0]
-
-        def load() -> bytes | None:
-            row = get(self.view(), key).first()
-            return bytes(row["value"]) if row else None
-
-        return self.cache.get((self.snapshot.version, key), load)
+        with self._lock:
+            for memtable in (self._staged, self._flushing):
+                if key in memtable:
+                    return memtable[key][0]
+            snapshot = self.snapshot
+
+        # levels from the top; of each at most one file has the key in its range, and files never change
+        for level, files in enumerate(snapshot.levels):
+            for f in files:
+                if f.touches(key, key):
+                    found = self.caches[min(level, len(self.caches) - 1)].get((f.path, key), lambda path=f.path: self._look_up(path, key))
+                    if found is not None:
+                        return found or None  # a tombstone is empty
+        return None
+
+    def _look_up(self, path: str, key: bytes) -> bytes | None:
+        row = get(runs.read(self.spark, [path]), key).first()
+        return None if row is None else bytes(row["value"] or b"")
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """(key, value, seq) of the keys in column ``key`` that have a value."""
-        return multi_get(self.view(), keys)
+        return multi_get(self._layers(), keys)
 
     def scan(self, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
-        """Records in order of the key, both ends included; None leaves a side open."""
-        return range_scan(self.view(), start, end)
+        """Records in order of the key, both ends included; None leaves a side open. Only files that the range touches are opened."""
+        return range_scan(merge(self._layers(start, end)), start, end)
 
     def iterator(self, start: bytes, end: bytes) -> Cursor:
         """A cursor over ``start <= key <= end``; the start must come before the end.
@@ -149,25 +181,58 @@ class Table:
             raise KeyTooLargeError(f"a key of {len(key)} bytes; at most {self.options.key_max} are allowed")
 
     def _stage(self, key: bytes, value: bytes | None) -> None:
-        old = self._staged.get(key)
-        if old is not None:
-            self._bytes -= len(key) + len(old[0] or b"")
-        self._staged[key] = (value, self._next)
-        self._next += 1
-        self._bytes += len(key) + len(value or b"")
-        if self._bytes > self.options.memtable_size:
+        with self._lock:
+            self._check_open()
+            old = self._staged.get(key)
+            if old is not None:
+                self._bytes -= len(key) + len(old[0] or b"")
+            self._staged[key] = (value, self._next)
+            self._next += 1
+            self._bytes += len(key) + len(value or b"")
+            if self._bytes > self.options.memtable_size and self._failed is None and (self._flusher is None or not self._flusher.is_alive()):
+                self._flusher = threading.Thread(target=self._flush, name="flush", daemon=True)
+                self._flusher.start()
+
+    def _flush(self) -> None:
+        try:
             self.commit()
-
-    def _memtable(self) -> DataFrame:
-        return self.spark.createDataFrame([(k, v, s) for k, (v, s) in self._staged.items()], RECORD)
+        except Exception as e:
+            self._failed = e
+
+    def _raise_failure(self) -> None:
+        if threading.current_thread() is not self._flusher:
+            with self._lock:
+                flusher = self._flusher
+            if flusher is not None:
+                flusher.join()
+        failed, self._failed = self._failed, None
+        if failed is not None:
+            raise failed
+
+    def _swap(self) -> dict[bytes, tuple[bytes | None, int]]:
+        """The staged mutations, which are being flushed from now on."""
+        self._flushing, self._staged, self._bytes = self._staged, {}, 0
+        return self._flushing
+
+    def _frame(self, memtable: dict[bytes, tuple[bytes | None, int]]) -> DataFrame:
+        return self.spark.createDataFrame([(k, v, s) for k, (v, s) in memtable.items()], RECORD)
+
+    def _layers(self, start: bytes | None = None, end: bytes | None = None) -> list[DataFrame]:
+        """What reads of a range merge, the newest first: both memtables and the levels of one moment."""
+        with self._lock:
+            memtables, snapshot = [dict(m) for m in (self._staged, self._flushing) if m], self.snapshot
+        layers = [self._frame(m) for m in memtables] + [runs.read(self.spark, paths) for i in range(len(snapshot.levels)) if (paths := snapshot.paths(i, start, end))]
+        return layers or [runs.read(self.spark, [])]
 
     def _publish(self, batch: DataFrame, next_seq: int) -> None:
-        if not self._commit_lock.acquire(blocking=False):
-            raise ConflictError("another commit of this table is under way")
         try:
             new = flush(self.options, self.snapshot, batch, next_seq)
             snapshots.publish(self.spark, self.options.path, new)
-            self.snapshot, self._next = new, next_seq
-            self._staged, self._bytes = {}, 0
-        finally:
-            self._commit_lock.release()
+            with self._lock:
+                self.snapshot, self._flushing = new, {}
+        except BaseException:
+            with self._lock:
+                # staged again, under what was written since
+                self._staged, self._flushing = self._flushing | self._staged, {}
+                self._bytes = sum(len(k) + len(v or b"") for k, (v, _) in self._staged.items())
+            raise

@@ -69,6 +69,16 @@ def test_reads_and_pushdown(spark, tmp_path):
     assert runs.read(spark, []).count() == 0
 
 
+def test_lookups_filter_before_they_compare(spark):
+    old = log(spark, [(b"a", b"1", 1), (b"b", b"1", 2), (b"c", b"1", 3)])
+    new = log(spark, [(b"a", b"2", 9), (b"b", None, 8)])
+    wanted = spark.createDataFrame([(b"a",), (b"a",), (b"b",), (b"x",), (None,)], "key binary")
+    got = m.multi_get([new, old], wanted)
+    assert seen(got) == [(b"a", b"2")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")  # the join lies below
+
+
 def test_levels_and_blocks(spark):
     data = [(i, "x" * (i % 7)) for i in range(300)]
     df = spark.createDataFrame(data, "k int, v string").withColumn("n", F.length("v"))
@@ -126,7 +136,7 @@ def _file(path, blocks_of):
     path.write_bytes(data + struct.pack(">q", at))
 
 
-def test_native_files(spark, tmp_path):
+def test_native_files(spark, tmp_path, monkeypatch):
     recs = [[(b"a", b"1"), (b"c", b"")], [(b"e", b"2"), (b"g", b"3")], [(b"i", b"4")]]
     _file(tmp_path / "f", recs)
     spark.dataSource.register(native.NativeRuns)
@@ -136,6 +146,20 @@ def test_native_files(spark, tmp_path):
     assert seen(part) == [(b"c", None), (b"e", b"2")]  # a range that ends in a gap
     assert {r.block for r in part.collect()} == {0, 1}
     assert len(native._Reader({"path": str(tmp_path / "f"), "start": b"h".hex()}).partitions()) == 1
+    # written and read again, in parts
+    monkeypatch.setattr(native, "SPLIT", 64)
+    records = [(b"%03d" % i, b"v" * (i % 30) or None) for i in range(100)]
+    blocks_ = native.write_file(str(tmp_path / "g"), records, 64)
+    assert native.block_index(str(tmp_path / "g")) == blocks_ and len(blocks_) > 10
+    reader = native._Reader({"path": f"{tmp_path}/g,{tmp_path}/f"})
+    parts = reader.partitions()
+    got = [x for p in parts for b in reader.read(p) for x in zip(b["key"].to_pylist(), b["value"].to_pylist())]
+    assert len(parts) > 10 and sorted(got, key=repr) == sorted(records + [(b"a", b"1"), (b"c", None), (b"e", b"2"), (b"g", b"3"), (b"i", b"4")], key=repr)
+    for bad in ([(b"b", b"1"), (b"a", b"1")], [(b"a", b"1"), (b"a", b"2")], [(b"", b"1")], [(b"k" * 256, b"1")]):
+        with pytest.raises(StoreError):
+            native.write_file(str(tmp_path / "h"), bad)
+    native.write_manifest(str(tmp_path / "n"), [["/a", "/b"], [], ["/c"]])
+    assert native.read_manifest(str(tmp_path / "n")) == [["/a", "/b"], [], ["/c"]]
     (tmp_path / "short").write_bytes(b"123")
     (tmp_path / "wrong").write_bytes(b"\0" * 16 + struct.pack(">q", 999))
     for name in ("short", "wrong"):

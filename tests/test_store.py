@@ -3,7 +3,7 @@ import random
 import pytest
 
 from sedimenta.errors import BadRangeError, ClosedError, ConflictError, EmptyKeyError, EmptyValueError, ExhaustedError, KeyTooLargeError, NoSuchLevelError, NotPositionedError, OptionsError, SnapshotError, ValueTooLargeError
-from sedimenta.operators.cache import ShardedCache
+from sedimenta.operators.cache import ENTRY, ShardedCache
 from sedimenta.operators.cursor import Cursor
 from sedimenta.options import Level, Options, Sink
 from sedimenta.sources import snapshots
@@ -144,6 +144,7 @@ def test_size_triggers_a_commit_and_writers_conflict(spark, tmp_path):
     t.write(b"b", b"12")
     assert t.snapshot.version == 0  # exactly at the limit
     t.write(b"c", b"12")
+    t.commit()  # waits for the flush
     assert t.snapshot.version == 1 and t.staged_bytes == 0
     u = Table(spark, options(tmp_path))
     t.write(b"d", b"1")
@@ -213,12 +214,12 @@ def test_options():
 
 
 def test_cache():
-    c, loads = ShardedCache(20, 2), []
+    c, loads = ShardedCache(2 * 2 * (ENTRY + 8 + 5), 2), []
 
     def load(k, size=5):
         return c.get(k, lambda: loads.append(k) or b"x" * size)
 
-    for k in (0, 2, 0, 4, 0, 2):  # one shard of ten bytes: 2 goes when 4 comes
+    for k in (0, 2, 0, 4, 0, 2):  # one shard of two entries: 2 goes when 4 comes
         load(k)
     assert loads == [0, 2, 4, 2]
     load(1)
@@ -226,18 +227,24 @@ def test_cache():
     c.evict(99)
     load(1)
     assert loads[-2:] == [1, 1]
-    load(3, 11)  # larger than a shard: returned, not kept
-    load(3, 11)
+    load(3, 999)  # larger than a shard: returned, not kept
+    load(3, 999)
     assert loads[-2:] == [3, 3]
     for args in ((10, 0), (0, 1)):
         with pytest.raises(ValueError):
             ShardedCache(*args)
+    # misses weigh something too
+    small = ShardedCache(1000)
+    for i in range(5000):
+        assert small.get(("file", b"%d" % i), lambda: None) is None
+    assert len(small) < 15
 
 
 def test_snapshots(spark, tmp_path):
     folder = str(tmp_path / "s")
     assert snapshots.versions(spark, folder) == [] and snapshots.read(spark, folder).version == 0
-    one = snapshots.Snapshot(1, 7, (("a",), ("b", "c")))
+    one = snapshots.Snapshot(1, 7, ((snapshots.File("a", b"k", b"z", 9, 2),), (snapshots.File("b", b"", b"a", 1, 1), snapshots.File("c", b"b", b"c\xff", 2, 1))))
+    assert one.paths(1, b"ab") == ["c"] and one.paths(1, None, b"a") == ["b"] and one.paths(1, b"ab", b"ac") == [] and one.paths(0) == ["a"]
     snapshots.publish(spark, folder, one)
     snapshots.publish(spark, folder, snapshots.Snapshot(10, 8, ()))
     assert snapshots.versions(spark, folder) == [1, 10] and snapshots.read(spark, folder).next_seq == 8
@@ -246,3 +253,84 @@ def test_snapshots(spark, tmp_path):
         snapshots.publish(spark, folder, one)
     with pytest.raises(SnapshotError):
         snapshots.Snapshot.loads("{")
+
+
+def test_untouched_sink_files_keep_their_names(spark, tmp_path):
+    t = Table(spark, options(tmp_path, levels=()))
+    schema = "key binary, value binary, seq long"
+    want = {b"%03d" % i: b"v" * 10 for i in range(150)}
+    t.apply(spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(want.items())], schema))
+    first = t.snapshot.levels[-1]
+    assert len(first) > 5 and all(a.hi < b.lo for a, b in zip(first, first[1:])) and sum(f.records for f in first) == 150
+    # two places that lie apart, a new key before all, one behind all and one in a gap
+    changes = [(b"0", b"new"), (b"010", None), (b"0105", b"gap"), (b"100", b"w"), (b"9", b"end")]
+    t.apply(spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(changes)], schema))
+    for k, v in changes:
+        want.pop(k, None)
+        if v is not None:
+            want[k] = v
+    second = t.snapshot.levels[-1]
+    assert len(set(first) & set(second)) >= len(first) - 4 and all(a.hi < b.lo for a, b in zip(second, second[1:]))
+    assert rows(t) == sorted(want.items()) and rows(t, b"0104", b"012") == [x for x in sorted(want.items()) if b"0104" <= x[0] <= b"012"]
+    # a lookup opens one file at most, and none where no range has the key
+    assert t.get(b"0105") == b"gap" and t.get(b"010") is None and t.get(b"zzz") is None
+    assert sum(c.misses for c in t.caches) <= 2
+
+
+def test_writers_beside_commits_lose_nothing(spark, tmp_path):
+    import threading
+
+    t = Table(spark, options(tmp_path, memtable_size=200))
+    want = {}
+
+    def write(name):
+        for i in range(60):
+            k, v = b"%s%d" % (name, i % 20), b"%d" % i
+            t.write(k, v)
+            want[k] = v
+
+    threads = [threading.Thread(target=write, args=(name,)) for name in (b"a", b"b", b"c")]
+    for x in threads:
+        x.start()
+    seen = []
+    while any(x.is_alive() for x in threads):
+        t.commit()
+        seen.append(len(rows(t)))
+    for x in threads:
+        x.join()
+    assert seen == sorted(seen)  # no key that was written is missing later
+    assert rows(t) == sorted(want.items())
+    t.close()
+    assert rows(Table(spark, t.options)) == sorted(want.items()) and t.snapshot.version >= 2
+
+
+def test_a_failed_flush_keeps_what_it_held(spark, tmp_path, monkeypatch):
+    import sedimenta.store as store
+
+    t = Table(spark, options(tmp_path))
+    t.write(b"a", b"1")
+    real = store.flush
+
+    def fail(*args):
+        t.write(b"a", b"2")  # written while the flush runs
+        t.write(b"b", b"3")
+        raise OSError("no space")
+
+    monkeypatch.setattr(store, "flush", fail)
+    with pytest.raises(OSError):
+        t.commit()
+    assert t.get(b"a") == b"2" and t.staged_bytes == 4
+    monkeypatch.setattr(store, "flush", lambda *a: (_ for _ in ()).throw(OSError("no space")))
+    with pytest.raises(OSError):
+        t.close()
+    monkeypatch.setattr(store, "flush", real)
+    t.close()  # it isn't closed before all is stored
+    assert rows(Table(spark, t.options)) == [(b"a", b"2"), (b"b", b"3")]
+    # a flush in the background fails: the next commit says so, and the one after it stores
+    u = Table(spark, options(tmp_path / "u", memtable_size=1))
+    monkeypatch.setattr(store, "flush", lambda *a: (_ for _ in ()).throw(OSError("no space")))
+    u.write(b"k", b"1")
+    with pytest.raises(OSError):
+        u.commit()
+    monkeypatch.setattr(store, "flush", real)
+    assert u.get(b"k") == b"1" and u.commit() and rows(u) == [(b"k", b"1")]
