@@ -71,31 +71,30 @@ def _held(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
     return sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)] == h
 
 
-def word_list(words: V.Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of words that tell toxic texts, hashes of all words), both sorted, from the words of some texts and whether each is toxic.
+def places(words: V.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, hash of it and the word before it in its text)."""
+    h = words.hash
+    before = np.r_[np.uint64(0), h[:-1]][: len(h)]
+    before[words.first[:-1][np.diff(words.first) > 0]] = 0
+    return h, V.mix(h ^ V.mix(before + np.uint64(1)))
+
 
-    A word's places are the different words that it stands behind, so that copies of one text count once.
+def word_list(h: np.ndarray, place: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of words that tell toxic texts, hashes of all words), both sorted, from ``places`` and whether each lies in a toxic text.
+
+    A word counts once behind each different word, so that copies of one text count once.
     """
-    h, doc = words.hash, words.doc
-    if not len(h):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    before = np.r_[np.uint64(0), h[:-1]]
-    before[words.first[:-1][np.diff(words.first) > 0]] = 0
-    place = V.mix(h ^ V.mix(before + np.uint64(1)))
-    kinds, number = np.unique(h, return_inverse=True)
-    _, first = np.unique(place, return_index=True)
-    bad = toxic[doc]
-    everywhere = np.bincount(number[first], minlength=len(kinds))
-    at = np.flatnonzero(bad)
-    _, first = np.unique(place[at], return_index=True)
-    in_toxic = np.bincount(number[at[first]], minlength=len(kinds))
-    at = np.flatnonzero(~bad)
-    _, first = np.unique(place[at], return_index=True)
-    in_clean = np.bincount(number[at[first]], minlength=len(kinds))
-    listed = np.flatnonzero((in_toxic >= CONTEXTS) & (in_toxic >= PURITY * (in_toxic + in_clean)))
+    found = []
+    for here in (toxic, ~toxic):
+        _, first = np.unique(place[here], return_index=True)
+        found.append(np.unique(h[here][first], return_counts=True))
+    (bad, n), (good, other) = found
+    at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
+    in_clean = np.where(good[at] == bad, other[at], 0) if len(good) else np.zeros(len(bad), np.int64)
+    listed = np.flatnonzero((n >= CONTEXTS) & (n >= PURITY * (n + in_clean)))
     if len(listed) > LISTED:
-        listed = np.sort(listed[np.argsort(-in_toxic[listed], kind="stable")[:LISTED]])
-    return kinds[listed], kinds[everywhere > 0]
+        listed = np.sort(listed[np.argsort(-n[listed], kind="stable")[:LISTED]])
+    return bad[listed], np.union1d(bad, good)
 
 
 class Shapes:
@@ -315,11 +314,16 @@ def learn_lists(d: DataFrame, annotated: DataFrame) -> Lists:
     picked = d.join(F.broadcast(chosen), "doc_id").select("half", "at", "text")  # at most LEARN rows
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("half", pa.int32()), ("at", pa.int32()), ("text", pa.string())]))
-        out = []
-        for half in (0, 1):
-            own = t.filter(pc.equal(t["half"], half))
-            out += [x.tobytes() for x in word_list(V.Words(V.as_string_array(own["text"])), own["at"].to_numpy() == 1)]
+        held: list[list[tuple[np.ndarray, ...]]] = [[], []]
+        for batch in batches:
+            for part in V.slices(batch):
+                w = V.Words(part.column(2))
+                h, place = places(w)
+                half, bad = (part.column(i).to_numpy()[w.doc] == 1 for i in (0, 1))
+                for i in (0, 1):
+                    held[i].append((h[half == i], place[half == i], bad[half == i]))
+        none = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool))
+        out = [x.tobytes() for own in held for x in word_list(*map(np.concatenate, zip(none, *own)))]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["hashes"])
 
     rows = picked.repartition(1).mapInArrow(learn, "hashes binary").collect()

@@ -262,7 +262,8 @@ def test_word_lists_are_learned_and_copies_count_once():
     copied = " ".join(f"copied{k}" for k in range(30))
     texts += [copied] * 50
     toxic += [True] * 50
-    listed, heard = quality.word_list(vectext.Words(pa.array(texts)), np.array(toxic))
+    words = vectext.Words(pa.array(texts))
+    listed, heard = quality.word_list(*quality.places(words), np.array(toxic)[words.doc])
     h = lambda w: vectext.Words(pa.array([w])).hash
     assert listed.tolist() == h("vile").tolist() and np.isin(h("copied3 w7 vile"), heard).all()
 
