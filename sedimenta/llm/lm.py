@@ -76,12 +76,13 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 def back_bytes(raw: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     """The last byte, last but one, ... before each byte; before a text's start there are zeros."""
-    since = np.arange(len(raw)) - np.repeat(off[:-1], np.diff(off))
+    early = [off[:-1][np.diff(off) > j] + j for j in range(n)]  # the first byte of each text, its second, ...
     out = []
     for k in range(1, n + 1):
         b = np.zeros(len(raw), np.uint32)
-        b[k:] = raw[:-k] if k < len(raw) else 0
-        b[since < k] = 0
+        b[k:] = raw[: max(0, len(raw) - k)]
+        for at in early[:k]:
+            b[at] = 0
         out.append(b)
     return out
 
@@ -328,8 +329,7 @@ class Symbols:
         upto = np.zeros(n + 1, np.int32 if n < 1 << 30 else np.int64)
         np.cumsum(per, out=upto[1:])
         self.pos = np.repeat(np.arange(n, dtype=upto.dtype), per)
-        self.is_flag = np.zeros(len(self.pos), bool)
-        self.is_flag[upto[:-1][flag]] = True
+        self.pos[upto[:-1][flag]] ^= -1  # flags
         self.first, self.count = upto[off[:-1]].astype(np.int64), np.diff(upto[off]).astype(np.int64)
         # flags of the same text that came true right before each flag
         k = np.arange(len(start))
@@ -380,7 +380,9 @@ class Model:
         upto = np.cumsum(live)
         lane = np.arange(upto[-1]) - np.repeat(upto - live, live)
         idx = s.first[lanes][lane] + np.repeat(at + np.arange(steps), live)
-        pos, flag = s.pos[idx], s.is_flag[idx]
+        pos = s.pos[idx]
+        flag = pos < 0
+        pos ^= -flag.astype(pos.dtype)
         back = s.back[pos]
         tree = self.tree_of[back & np.uint32(0xFFFF)].astype(np.int64)
         # what belongs to a symbol: rows of logits, slots of the learned contexts, place in the code, gate, lane, tree
@@ -578,6 +580,8 @@ def _score_part(model: Model, left: pa.Table, right: pa.Table) -> pa.Table:
     tags = ask(np.repeat(flat("keys", np.int64), flat("sizes", np.uint32)), flat("contexts", np.uint32).astype(np.uint64))
     order = np.argsort(tags)
     tags, levels = tags[order], flat("levels", np.int8)[order]
+    some = np.zeros(1 << 22, bool)  # spares most of the searches in vain
+    some[tags >> np.uint64(42)] = True
     own_text = text.take(pa.array(at))
     found, lo, base = [], 0, 0
     for part in V.slices(pa.RecordBatch.from_arrays([own_text], ["text"])):
@@ -585,13 +589,14 @@ def _score_part(model: Model, left: pa.Table, right: pa.Table) -> pa.Table:
         doc, start, stop, c, w, last = contexts(raw, off)
         hit, level = w == w[last], np.full(len(w), OWN_LEVEL, np.int8)
         new = np.flatnonzero(last < 0)
+        known = last >= 0
         tag = ask(own[lo : lo + part.num_rows][doc[new]], c[new])
-        place = np.minimum(np.searchsorted(tags, tag), max(0, len(tags) - 1))
-        asked = tags[place] == tag if len(tags) else np.zeros(len(tag), bool)
-        answer = levels[place[asked]] if len(tags) else levels
-        hit[new[asked]], level[new[asked]] = answer & 1, answer & ~1
-        known = np.ones(len(w), bool)
-        known[new[~asked]] = False
+        maybe = np.flatnonzero(some[tag >> np.uint64(42)])
+        place = np.searchsorted(tags, tag[maybe])
+        place[place == len(tags)] = 0
+        there = tags[place] == tag[maybe]
+        asked, answer = new[maybe[there]], levels[place[there]]
+        hit[asked], level[asked], known[asked] = answer & 1, answer & ~1, True
         found.append((start[known] + base, stop[known] + base, hit[known], level[known]))
         lo, base = lo + part.num_rows, base + len(raw)
     bits = model.score(*V.buffer_of(own_text), tuple(map(np.concatenate, zip(*found))) or None)[row]

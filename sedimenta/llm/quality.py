@@ -2,8 +2,8 @@
 
 1. *Labellers.* Overlapping heuristics look at every document and vote bad (1), good (0) or
    abstain (-1): one set for quality, one for toxicity. Where the ``labels`` table covers a
-   document, its annotator is one more labeller of a bounded share (``ANNOTATED`` of 100 ids
-   are used, by a hash of the id); the others stay unseen, for held-out accuracy. No word is named here: the two word
+   document, its annotator is one more labeller (of ``ANNOTATED`` of 100 ids, by a hash of the id: all of them,
+   unless some are to stay unseen, for held-out accuracy). No word is named here: the two word
    lists that vote on toxicity are learned from annotated documents, each from one half of at most ``LEARN`` of them, and
    a list doesn't vote on annotated documents of its own half.
 2. *Label model.* The votes of all documents are counted by pattern. Expectation-maximisation
@@ -29,11 +29,11 @@ from . import vectext as V
 from .common import cut, table, texts
 
 #: Documents of the training sample, of each stratum; hash buckets; share of ids whose annotation is used, in 100.
-SAMPLE, DIM, ANNOTATED = 4000, 1 << 18, 50
+SAMPLE, DIM, ANNOTATED = 4000, 1 << 18, 100
 #: Annotated documents from which the word lists are learned, at most.
 LEARN = 12_000
-#: A listed word has stood behind so many different words in toxic documents, and such places are this share of all of its.
-CONTEXTS, PURITY, LISTED = 6, 0.8, 20_000
+#: Places of a listed word that are in toxic documents, as a share of all of its; words of a list at most.
+PURITY, LISTED = 0.8, 20_000
 #: On a text of fewer words the heuristics abstain; words of a window in which distinct words are counted.
 FEW, WINDOW = 5, 100
 #: Probability of being bad from which a document is rejected.
@@ -82,7 +82,8 @@ def places(words: V.Words) -> tuple[np.ndarray, np.ndarray]:
 def word_list(h: np.ndarray, place: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of words that tell toxic texts, hashes of all words), both sorted, from ``places`` and whether each lies in a toxic text.
 
-    A word counts once behind each different word, so that copies of one text count once.
+    A word counts once behind each different word, so that copies of one text count once. It is listed if it has so many
+    such places in toxic texts that, were they dealt out by chance, no word would have them there.
     """
     found = []
     for here in (toxic, ~toxic):
@@ -91,7 +92,9 @@ def word_list(h: np.ndarray, place: np.ndarray, toxic: np.ndarray) -> tuple[np.n
     (bad, n), (good, other) = found
     at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
     in_clean = np.where(good[at] == bad, other[at], 0) if len(good) else np.zeros(len(bad), np.int64)
-    listed = np.flatnonzero((n >= CONTEXTS) & (n >= PURITY * (n + in_clean)))
+    base = max(1e-9, min(0.5, n.sum() / max(1, n.sum() + other.sum())))
+    least = np.log(2 * max(2, len(bad))) / np.log(1 / base)
+    listed = np.flatnonzero((n >= least) & (n >= PURITY * (n + in_clean)))
     if len(listed) > LISTED:
         listed = np.sort(listed[np.argsort(-n[listed], kind="stable")[:LISTED]])
     return bad[listed], np.union1d(bad, good)
@@ -331,7 +334,7 @@ def learn_lists(d: DataFrame, annotated: DataFrame) -> Lists:
     return Lists([a, c], [b, e])
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[np.ndarray], dict]:
+def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, annotated: int = ANNOTATED) -> tuple[list[np.ndarray], dict]:
     """Weights of the two scorers and the label model's estimates.
 
     ``labels`` (doc_id, quality 0/1, toxic 0/1) may be None or empty; nulls in it abstain.
@@ -340,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     d = texts(docs, id_col, text_col)
     lists = Lists()
     if labels is not None:
-        a = labels.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < ANNOTATED)
+        a = labels.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < annotated)
         a = a.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("aq"), F.max("toxic").cast("int").alias("at"))
         a = cut(a.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")))
         lists = learn_lists(d, a)
@@ -427,7 +430,7 @@ def classify(docs: DataFrame, weights: list[np.ndarray], id_col: str = "doc_id",
 def quality(docs: DataFrame, labels: DataFrame | None, **kw) -> DataFrame:
     """Fits on ``docs`` and ``labels`` and classifies all of ``docs``: see ``classify``."""
     weights, _ = fit(docs, labels, **kw)
-    return classify(docs, weights)
+    return classify(docs, weights, kw.get("id_col", "doc_id"), kw.get("text_col", "text"))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

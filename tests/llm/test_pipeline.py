@@ -50,9 +50,49 @@ def test_stages(spark, sf, tmp_path):
     assert sum(i in kept for i in clean) >= 0.95 * len(clean) and sum(i in kept for i in bad) <= 0.4 * len(bad)
 
 
-def test_run_equals_the_stages(spark, sf):
+def rows_of(df):
+    return sorted(map(repr, (tuple(map(repr, r)) for r in df.collect())))
+
+
+def test_run_equals_the_stages(spark, sf, tmp_path):
+    """Every row of ``run`` is what the stages give one by one, and only the last stage's folder stays."""
+    docs = common.table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
     out = corpus_pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "n_bytes", "n_tokens", "tokens", "decoded_ok"] and out.count() > 50
+    assert out.columns == ["doc_id", "n_bytes", "n_tokens", "tokens", "decoded_ok"] and rows_of(out) == rows_of(docs) and out.count() > 50
+    from pathlib import Path
+
+    folder = Path(out.inputFiles()[0].removeprefix("file:").removeprefix("//")).parent.parent
+    assert [p.name for p in folder.iterdir()] == ["tokenize"]
+
+
+def test_odd_rows_pass_all_stages(spark, sf, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, bytes that aren't UTF-8, clashing columns; then no rows at all."""
+    import shutil
+
+    words = " ".join(f"word{i % 977}x{i % 31}" for i in range(60_000))
+    plain = "it was said that this is a text of its own and nothing more"
+    item = common.table(spark, sf, "benchmark").first().text
+    rows = [(1, plain), (2, plain), (3, plain.upper() + "!"), (4, None), (None, plain), (None, None), (5, ""), (6, ""), (7, " \n"), (8, words), (9, words), (9, words), (10, f"so: {item} and on"), (11, "one")]
+    spark.createDataFrame([(i, t, None if i == 11 else "en", None, i) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").createOrReplaceTempView("odd")
+    odd = spark.sql("select *, 1 as digest, 2 as keep_id, 3 as `__digest`, 4 as sig, 5 as `__drop` from odd union all select 12, cast(X'616220FF63' as string), 'en', null, 5, 1, 2, 3, 4, 5")
+    for table in ("odd", "none"):
+        folder = tmp_path / table
+        folder.mkdir()
+        (odd if table == "odd" else odd.limit(0)).write.parquet(str(folder / "documents.parquet"))
+        shutil.copy(f"{sf}/benchmark.parquet", folder)
+        common.table(spark, sf, "labels").limit(0).write.parquet(str(folder / "labels.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(folder))
+            assert out.columns == docs.columns and (table == "odd" or out.count() == 0), name
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in got)
+        # one of the equal texts, also in other case; one without words; rows without id or text
+        assert ids == ([(False, i) for i in (1, 4, 5, 8, 11, 12)] + [(True, 0)] * 2 if table == "odd" else [])
+        assert all(r.decoded_ok in (True, None) for r in got)
 
 
 def test_entry_imports_without_these(tmp_path):

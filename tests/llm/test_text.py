@@ -122,10 +122,10 @@ def test_quality_on_held_out_labels(spark):
         labels.append((i, int(not bad), int(toxic)))
     docs = frame(spark, rows)
     lab = spark.createDataFrame(labels + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.quality(docs, lab).collect()}
+    got = {r.doc_id: r for r in quality.quality(docs, lab, annotated=50).collect()}
     from pyspark.sql import functions as F
 
-    seen = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < quality.ANNOTATED).select("doc_id").collect()}
+    seen = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < 50).select("doc_id").collect()}
     held = [x for x in labels if x[0] not in seen]
     right = [got[i].keep == (q == 1 and t == 0) for i, q, t in held]
     assert len(held) > 500 and np.mean(right) > 0.95
@@ -359,6 +359,18 @@ def test_credentials_of_any_width(spark):
     assert got == [(i + 1, name, len(key), True) for i, name in enumerate(names)] + [(8, "n" * 200 + "_token", len(key), True)]
 
 
+def test_bytes_that_are_not_utf8(spark):
+    docs = frame(spark, [(1, "x")]).selectExpr("doc_id", "cast(X'746F6B656E3D3939FF39206120FE' as string) as text")
+    (t,) = bpe.tokenize(docs).collect()
+    assert t.decoded_ok and t.n_bytes == len("token=99\ufffd9 a \ufffd".encode())
+    assert [r.text for r in bpe.detokenize(bpe.tokenize(docs)).collect()] == ["token=99\ufffd9 a \ufffd"]
+    assert [(r.name, r.length) for r in secrets.scan(docs).collect()] == [("token", 4)]
+    weights, _ = quality.fit(docs, None)
+    assert quality.classify(docs, weights).first().keep
+    assert lm.score_corpus(docs).first().n_bytes == 14
+    assert sharding.shard(spark, docs).count() == 1
+
+
 # shards
 
 
