@@ -26,10 +26,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows: (doc_id, n_bytes, n_tokens, tokens, decoded_ok) of every document that all stages keep."""
+    """The last stage's rows: (doc_id, n_bytes, n_tokens, tokens, decoded_ok) of every document that all stages keep.
+
+    Rows without id or text pass every stage but are never copies or contaminated; an empty table gives no rows. What a
+    stage has read of its predecessor's folder is deleted once it has written its own.
+    """
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last is not None:
+            common.remove(spark, last)
+        last = f"{folder}/{name}"
     return docs
