@@ -32,6 +32,8 @@ from .common import cut, few, table, texts
 BLOCK, MIN_WORDS = 25, 50
 #: Windows that a task holds before it sends them on.
 HELD = 2_000_000
+#: Bytes of text whose windows fill a bucket, which a task holds whole.
+BUCKET_BYTES = 32 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -227,7 +229,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     if least < 2 * block - 1:
         raise ValueError("a repeat must be long enough to hold a block whatever its place")
     d = texts(docs, id_col, text_col)
-    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many buckets as the session has partitions, more if the texts are large, so that a bucket's windows have a size
+    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     hits = _probes(d, block, n).groupBy("bucket").applyInArrow(_hits, "doc_id long, key long")
     keys = cut(hits.groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
     once = lambda x: x.groupBy("doc_id").agg(F.min("text").alias("text"))
