@@ -167,24 +167,26 @@ def _shared_pairs(reps: DataFrame, k: int) -> DataFrame:
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
     """(pair, rep, payload, cuts) of whole posting lists from rows that lie in order of the pair."""
-    kept = None
+    held: list[pa.RecordBatch] = []  # the list that isn't over yet
 
-    def whole(t: pa.Table) -> tuple:
+    def whole(parts: list[pa.RecordBatch]) -> tuple:
+        t = pa.Table.from_batches(parts)
         pair = t.column(0).to_numpy()
         return pair, t.column(1).to_numpy(), t.column(2).to_pylist(), np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        t = t if kept is None else pa.concat_tables([kept, t])
-        pair = t.column(0).to_numpy()
+        pair = batch.column(0).to_numpy()
         last = int(np.searchsorted(pair, pair[-1]))
-        kept = t.slice(last)
-        if last:
-            yield whole(t.slice(0, last))
-    if kept is not None and kept.num_rows:
-        yield whole(kept)
+        if held and (last or held[0].column(0)[0].as_py() != pair[0]):
+            yield whole([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield whole([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield whole(held)
 
 
 def _prune(rows: DataFrame, k: int, t: int) -> DataFrame:

@@ -231,6 +231,35 @@ def test_near_recall_of_true_similarity(spark):
     assert len(set(got) & set(planted)) >= 0.9 * len(planted) and len(got) <= len(planted)
 
 
+def test_posting_lists_come_whole_and_in_linear_time():
+    import time
+
+    rng = np.random.default_rng(23)
+    pair = np.sort(np.r_[rng.integers(0, 50, 300), np.full(4000, 25), rng.integers(51, 90, 50)])
+    batch = lambda p, at: pa.RecordBatch.from_arrays([pa.array(p), pa.array(np.arange(len(p)) + at), pa.array([b"x"] * len(p))], ["pair", "rep", "sig"])
+    got = []
+    cuts = np.r_[0, np.sort(rng.integers(0, len(pair), 60)), len(pair)]
+    for p, rep, payload, at in minhash._lists(batch(pair[a:b], a) for a, b in zip(cuts[:-1], cuts[1:])):
+        assert len(payload) == len(p) == at[-1]
+        got += [(int(p[a]), rep[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
+    assert [k for k, _ in got] == sorted(set(pair.tolist())) and [x for _, r in got for x in r] == list(range(len(pair)))
+    took = []
+    for n in (40_000, 400_000):  # one list
+        t = time.process_time()
+        assert [len(p) for p, *_ in minhash._lists(batch(np.full(2000, 7), i) for i in range(0, n, 2000))] == [n]
+        took.append(time.process_time() - t)
+    assert took[1] < 25 * took[0] + 0.5
+
+
+def test_a_hot_pair_of_many_texts(spark):
+    rng = random.Random(33)
+    rows = [(i, f"every page begins with this very same line of boilerplate text {' '.join(words(rng, 25, 1 << 40))}") for i in range(8000)]
+    rows += [(10_000 + i, rows[i][1] + " more") for i in range(0, 8000, 40)]
+    got = pairs(minhash.near_duplicates(frame(spark, rows)))
+    planted = {(10_000 + i, i) for i in range(0, 8000, 40)}
+    assert len(planted & set(got)) >= 0.95 * len(planted) and len(set(got) - planted) <= 5
+
+
 def test_sketch_never_loses_a_match():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 32, (50, 64), dtype=np.uint64).astype(np.uint32)
