@@ -52,21 +52,21 @@ def part_bytes(df: DataFrame, key: str = "key", value: str = "value") -> list[Ro
     return sorted(found, key=lambda r: r["first"])
 
 
-def split_key(df: DataFrame, budget: int, totals: list[Row] | None = None, key: str = "key", value: str = "value") -> object | None:
-    """The greatest key up to which the records fit into ``budget`` bytes; None if none does.
+def split_key(df: DataFrame, budget: int, totals: list[Row] | None = None, key: str = "key", value: str = "value") -> tuple[object | None, int, int]:
+    """(the greatest key up to which the records fit into ``budget`` bytes, their bytes, their number); None if none does.
 
     ``df`` must give the same partitions each time, in ranges of the key. Totals of the
     partitions come to the driver; running sums are taken in the one where the budget ends.
     """
-    used, last = 0, None
+    used, count, last = 0, 0, None
     for t in part_bytes(df, key, value) if totals is None else totals:
         if used + t["n"] > budget:
             rows = df.where(F.spark_partition_id() == t["part"]).select(F.col(key).alias("k"), record_length(F.col(key), F.col(value)).alias("n"))
             w = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # of one partition
-            found = rows.withColumn("upto", F.sum("n").over(w) + F.lit(used)).where(F.col("upto") <= budget).agg(F.max("k")).first()[0]
-            return found if found is not None else last
-        used, last = used + t["n"], t["last"]
-    return last
+            found = rows.withColumn("upto", F.sum("n").over(w) + F.lit(used)).where(F.col("upto") <= budget).agg(F.max("k"), F.max("upto"), F.count("k")).first()
+            return (found[0], found[1], count + found[2]) if found[2] else (last, used, count)
+        used, count, last = used + t["n"], count + t["records"], t["last"]
+    return last, used, count
 
 
 def assign_levels(upto: Column, budgets: list[int]) -> Column:

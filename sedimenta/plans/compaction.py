@@ -60,13 +60,15 @@ def flush(options: Options, snapshot: Snapshot, mutations: DataFrame, next_seq:
             totals = part_bytes(merged)
             total = sum(t["n"] for t in totals)
             if total <= here.budget:
-                levels[i] = _write(merged, options.path, here, total)
+                whole = File("", bytes(totals[0]["first"]), bytes(totals[-1]["last"]), total, sum(t["records"] for t in totals)) if totals else None
+                levels[i] = _write(merged, options.path, here, total, known=whole) if totals else []
                 carry = None
                 break
-            edge = split_key(merged, here.budget, totals)
-            levels[i] = _write(merged.where(F.col("key") <= F.lit(edge)), options.path, here, here.budget) if edge is not None else []
+            edge, used, count = split_key(merged, here.budget, totals)
+            part = File("", bytes(totals[0]["first"]), bytes(edge), used, count) if edge is not None else None
+            levels[i] = _write(merged.where(F.col("key") <= F.lit(edge)), options.path, here, used, known=part) if edge is not None else []
             carry = merged.where(F.col("key") > F.lit(edge)) if edge is not None else merged
-            carried = total - sum(f.bytes for f in levels[i])
+            carried = total - used
         if carry is not None:
             levels[depth] = _into_sink(options, levels[depth], carry, carried, held)
     finally:
@@ -80,7 +82,7 @@ def _into_sink(options: Options, files: list[File], carry: DataFrame, carried: i
     if carried is None:
         held.append(carry := _held(carry))
         carried = sum(t["n"] for t in part_bytes(carry))
-    touched = {r.owner for r in owners(carry.select("key"), files).select("owner").distinct().collect()} if files else set()
+    touched = {r.owner for r in owners(carry.select("key"), files).select("owner").distinct().collect()} if len(files) > 1 else set(range(len(files)))
     old = [f for i, f in enumerate(files) if i in touched]
     kept = [f for i, f in enumerate(files) if i not in touched]
     merged = merge([carry, runs.read(spark, [f.path for f in old])])
@@ -96,5 +98,5 @@ def _into_sink(options: Options, files: list[File], carry: DataFrame, carried: i
     return sorted([*kept, *_write(grouped, options.path, sink, total, "owner")], key=lambda f: f.lo)
 
 
-def _write(df: DataFrame, folder: str, level: Sink, total: int, group: str | None = None) -> list[File]:
-    return runs.write(df, runs.new_path(folder), level.run_size, level.block_size, total, level.bloom_bits, group)
+def _write(df: DataFrame, folder: str, level: Sink, total: int, group: str | None = None, known: File | None = None) -> list[File]:
+    return runs.write(df, runs.new_path(folder), level.run_size, level.block_size, total, level.bloom_bits, group, known)

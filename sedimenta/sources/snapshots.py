@@ -61,7 +61,8 @@ class Snapshot:
             raise SnapshotError(f"not a snapshot: {e}") from e
 
 
-def _fs(spark: SparkSession, folder: str):
+def filesystem(spark: SparkSession, folder: str):
+    """(JVM, Hadoop file system, path) of a folder."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     return jvm, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
@@ -69,7 +70,7 @@ def _fs(spark: SparkSession, folder: str):
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """Published versions, oldest first; none where the folder doesn't exist."""
-    _, fs, path = _fs(spark, folder)
+    _, fs, path = filesystem(spark, folder)
     if not fs.exists(path):
         return []
     names = (m for s in fs.listStatus(path) if (m := _NAME.fullmatch(s.getPath().getName())))
@@ -83,7 +84,7 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> Snapsh
         if not found:
             return Snapshot()
         version = found[-1]
-    jvm, fs, _ = _fs(spark, folder)
+    jvm, fs, _ = filesystem(spark, folder)
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot-{version}.json")
     if not fs.exists(path):
         raise SnapshotError(f"no version {version} in {folder}")
@@ -96,7 +97,7 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> Snapsh
 
 def publish(spark: SparkSession, folder: str, snapshot: Snapshot) -> None:
     """Makes a version visible, at once and once only."""
-    jvm, fs, path = _fs(spark, folder)
+    jvm, fs, path = filesystem(spark, folder)
     fs.mkdirs(path)
     final = jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot-{snapshot.version}.json")
     draft = jvm.org.apache.hadoop.fs.Path(f"{folder}/.draft-{uuid.uuid4().hex}")

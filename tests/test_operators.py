@@ -96,8 +96,9 @@ def test_levels_and_blocks(spark):
             if used > budget:
                 break
             edge = b"%03d" % i
-        found = blocks.split_key(recs, budget)
-        assert (None if found is None else bytes(found)) == edge
+            bytes_, count = used, i + 1
+        found, size, n = blocks.split_key(recs, budget)
+        assert (None if found is None else bytes(found)) == edge and (edge is None or (size, n) == (bytes_, count))
     recs.unpersist()
 
 

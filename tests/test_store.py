@@ -279,6 +279,7 @@ def test_untouched_sink_files_keep_their_names(spark, tmp_path):
 
 def test_writers_beside_commits_lose_nothing(spark, tmp_path):
     import threading
+    import time
 
     t = Table(spark, options(tmp_path, memtable_size=200))
     want = {}
@@ -288,6 +289,7 @@ def test_writers_beside_commits_lose_nothing(spark, tmp_path):
             k, v = b"%s%d" % (name, i % 20), b"%d" % i
             t.write(k, v)
             want[k] = v
+            time.sleep(0.03)  # so that several commits fall between the writes
 
     threads = [threading.Thread(target=write, args=(name,)) for name in (b"a", b"b", b"c")]
     for x in threads:
