@@ -338,7 +338,7 @@ class Symbols:
         stop_at = np.where(fresh, k, 0)
         stop_at[1:] = np.maximum(stop_at[1:], np.where(hit[:-1], 0, k[1:]))
         self.run = np.minimum(k - np.maximum.accumulate(stop_at), RUNS - 1) + RUNS * (level == OWN_LEVEL)
-        self.number = np.cumsum(flag, dtype=np.int32) - 1
+        self.start = start
 
 
 class Model:
@@ -376,10 +376,15 @@ class Model:
         """Bits of the symbols ``at`` to ``at + steps`` of each lane, all first symbols, then all second ones, ...: (inputs,
         set of weights, two slots of what the lane learns, bit, where each symbol's bits begin, its lane, where each step's bits begin)."""
         behind = len(self.logits) - 257
-        live = np.searchsorted(-s.count[lanes], -(at + np.arange(steps)), "left")
-        upto = np.cumsum(live)
-        lane = np.arange(upto[-1]) - np.repeat(upto - live, live)
-        idx = s.first[lanes][lane] + np.repeat(at + np.arange(steps), live)
+        if at + steps <= s.count[lanes[-1]]:  # no lane ends here
+            upto = np.arange(1, steps + 1) * len(lanes)
+            lane = np.tile(np.arange(len(lanes)), steps)
+            idx = (s.first[lanes] + np.arange(at, at + steps)[:, None]).ravel()
+        else:
+            live = np.searchsorted(-s.count[lanes], -(at + np.arange(steps)), "left")
+            upto = np.cumsum(live)
+            lane = np.arange(upto[-1]) - np.repeat(upto - live, live)
+            idx = s.first[lanes][lane] + np.repeat(at + np.arange(steps), live)
         pos = s.pos[idx]
         flag = pos < 0
         pos ^= -flag.astype(pos.dtype)
@@ -396,7 +401,7 @@ class Model:
         byte = tree * 258 + s.raw[pos]
         known = np.flatnonzero(flag)
         if len(known):
-            f = s.number[pos[known]]
+            f = np.searchsorted(s.start, pos[known])
             run, level = s.run[f], s.level[f].astype(np.int64)
             byte[known] = 256 + s.hit[f]
             own[known, 0], own[known, 1] = behind + level + 128 - _FLAG, behind + 256 - _FLAG
@@ -546,8 +551,7 @@ def _summed(docs: DataFrame, size: int, block: int, add) -> DataFrame:
 
 
 def _add_pairs(texts: list[tuple[np.ndarray, np.ndarray]], sums: np.ndarray) -> None:
-    for raw, off in texts:
-        sums += np.bincount(pair_of(back_bytes(raw, off, 2)), minlength=len(sums)).astype(sums.dtype)
+    sums += np.bincount(np.concatenate([np.empty(0, np.uint32), *(pair_of(back_bytes(raw, off, 2)) for raw, off in texts)]), minlength=len(sums)).astype(sums.dtype)
 
 
 def train(docs: DataFrame) -> Model:

@@ -197,6 +197,7 @@ def bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 def split(number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(number, places that hold it), in order of the number; the places stay in their order."""
     order = np.argsort(number.astype(np.uint16) if len(number) and number.max() < 1 << 16 else number, kind="stable")
-    found, first = np.unique(number[order], return_index=True)
-    for b, lo, hi in zip(found.tolist(), first, [*first[1:], len(order)]):
+    found = number[order]
+    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])
+    for b, lo, hi in zip(found[first].tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
         yield b, order[lo:hi]
