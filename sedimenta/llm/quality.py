@@ -34,6 +34,8 @@ SAMPLE, DIM, ANNOTATED = 4000, 1 << 18, 100
 LEARN = 12_000
 #: Places of a listed word that are in toxic documents, as a share of all of its; words of a list at most.
 PURITY, LISTED = 0.8, 20_000
+#: Ranges of the words' hash, each learned by a task of its own.
+RANGES = 8
 #: On a text of fewer words the heuristics abstain; words of a window in which distinct words are counted.
 FEW, WINDOW = 5, 100
 #: Probability of being bad from which a document is rejected.
@@ -79,11 +81,12 @@ def places(words: V.Words) -> tuple[np.ndarray, np.ndarray]:
     return h, V.mix(h ^ V.mix(before + np.uint64(1)))
 
 
-def word_list(h: np.ndarray, place: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_list(h: np.ndarray, place: np.ndarray, toxic: np.ndarray, share: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of words that tell toxic texts, hashes of all words), both sorted, from ``places`` and whether each lies in a toxic text.
 
     A word counts once behind each different word, so that copies of one text count once. It is listed if it has so many
-    such places in toxic texts that, were they dealt out by chance, no word would have them there.
+    such places in toxic texts that, were they dealt out by chance, no word would have them there. What is given are
+    the words of one of ``share`` ranges of the hash.
     """
     found = []
     for here in (toxic, ~toxic):
@@ -93,10 +96,10 @@ def word_list(h: np.ndarray, place: np.ndarray, toxic: np.ndarray) -> tuple[np.n
     at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
     in_clean = np.where(good[at] == bad, other[at], 0) if len(good) else np.zeros(len(bad), np.int64)
     base = max(1e-9, min(0.5, n.sum() / max(1, n.sum() + other.sum())))
-    least = np.log(2 * max(2, len(bad))) / np.log(1 / base)
+    least = np.log(2 * max(2, share * len(bad))) / np.log(1 / base)
     listed = np.flatnonzero((n >= least) & (n >= PURITY * (n + in_clean)))
-    if len(listed) > LISTED:
-        listed = np.sort(listed[np.argsort(-n[listed], kind="stable")[:LISTED]])
+    if len(listed) > LISTED // share:
+        listed = np.sort(listed[np.argsort(-n[listed], kind="stable")[: LISTED // share]])
     return bad[listed], np.union1d(bad, good)
 
 
@@ -316,22 +319,26 @@ def learn_lists(d: DataFrame, annotated: DataFrame) -> Lists:
     chosen = annotated.where("at in (0, 1)").orderBy(F.xxhash64("doc_id", F.lit(11))).limit(LEARN).select("doc_id", "at", "half")
     picked = d.join(F.broadcast(chosen), "doc_id").select("half", "at", "text")  # at most LEARN rows
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, ...]]] = [[], []]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch):
                 w = V.Words(part.column(2))
                 h, place = places(w)
-                half, bad = (part.column(i).to_numpy()[w.doc] == 1 for i in (0, 1))
-                for i in (0, 1):
-                    held[i].append((h[half == i], place[half == i], bad[half == i]))
-        none = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool))
-        out = [x.tobytes() for own in held for x in word_list(*map(np.concatenate, zip(none, *own)))]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["hashes"])
-
-    rows = picked.repartition(1).mapInArrow(learn, "hashes binary").collect()
-    a, b, c, e = (np.frombuffer(r.hashes, np.uint64) for r in rows) if rows else [np.empty(0, np.uint64)] * 4
-    return Lists([a, c], [b, e])
+                half, bad = (part.column(i).to_numpy()[w.doc] for i in (0, 1))
+                group = (half * RANGES + V.bucket(h, RANGES)).astype(np.int32)
+                rows = [(g, h[at].tobytes(), place[at].tobytes(), (bad[at] == 1).tobytes()) for g, at in V.split(group)]
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["group", "h", "place", "bad"])
+
+    def learn(t: pa.Table) -> pa.Table:
+        arrays = [np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()]) for name, kind in (("h", np.uint64), ("place", np.uint64), ("bad", bool))]
+        listed, heard = word_list(*arrays, share=RANGES)
+        return pa.table({"group": t["group"].slice(0, 1), "listed": pa.array([listed.tobytes()], pa.binary()), "heard": pa.array([heard.tobytes()], pa.binary())})
+
+    rows = picked.mapInArrow(pack, "group int, h binary, place binary, bad binary").groupBy("group").applyInArrow(learn, "group int, listed binary, heard binary").orderBy("group").collect()
+    # ranges of the hash in their order, so the lists are in order too
+    of = lambda half, name: np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r[name], np.uint64) for r in rows if r.group // RANGES == half)])
+    return Lists([of(0, "listed"), of(1, "listed")], [of(0, "heard"), of(1, "heard")])
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, annotated: int = ANNOTATED) -> tuple[list[np.ndarray], dict]:
