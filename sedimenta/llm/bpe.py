@@ -32,7 +32,7 @@ from . import vectext as V
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Merged pre-tokens that a worker remembers; beyond it the memory starts anew.
+#: Merged pre-tokens that a task remembers; beyond it the memory starts anew.
 MEMORY = 600_000
 _LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
 
@@ -346,16 +346,20 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
 
     shipped = Shipped(vocabulary)
 
+    @V.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shipped.get()
-        for batch in batches:
-            for part in V.slices(batch):
-                text = V.valid(part.column(1))
-                gone = text.is_null().to_numpy(zero_copy_only=False)
-                ids, bounds, ok = c.encode_checked(text)
-                off = V.buffer_of(text)[1]
-                tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array(gone) if gone.any() else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off), mask=gone), pa.array(np.diff(bounds), mask=gone), tokens, pa.array(ok, mask=gone)], ["doc_id", "n_bytes", "n_tokens", "tokens", "decoded_ok"])
+        try:
+            for batch in batches:
+                for part in V.slices(batch):
+                    text = V.valid(part.column(1))
+                    gone = text.is_null().to_numpy(zero_copy_only=False)
+                    ids, bounds, ok = c.encode_checked(text)
+                    off = V.buffer_of(text)[1]
+                    tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array(gone) if gone.any() else None)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off), mask=gone), pa.array(np.diff(bounds), mask=gone), tokens, pa.array(ok, mask=gone)], ["doc_id", "n_bytes", "n_tokens", "tokens", "decoded_ok"])
+        finally:
+            c.memory.clear()  # the codec stays with the worker, what one task remembered doesn't
 
     return d.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, tokens array<int>, decoded_ok boolean")
 
@@ -369,6 +373,7 @@ def detokenize(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tok
 
     shipped = Shipped(vocabulary)
 
+    @V.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shipped.get()
         for batch in batches:

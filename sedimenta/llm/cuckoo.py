@@ -228,6 +228,7 @@ def probe(index: Index, docs: DataFrame, buckets: int = 64, id_col: str = "doc_i
 def _hits(rows: DataFrame) -> DataFrame:
     """(digest): digests that their bucket's filter held when they came, from rows (bucket, digest) in order of the bucket."""
 
+    @V.tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, at = CuckooIndex(), None
         for batch in batches:

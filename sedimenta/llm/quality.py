@@ -17,7 +17,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -237,6 +238,7 @@ def vote_rows(docs: DataFrame, lists: Lists | None = None) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(lists or Lists())  # of what LEARN documents hold
     names = [f"v{i}" for i in range(len(QUALITY) + len(TOXIC) - 2)]
 
+    @V.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch):
@@ -286,17 +288,38 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, trusted: int = -1,
     return 1 - post[:, 0], np.stack([p[:, 0], np.einsum("mcv,c->mv", p[:, 1:], share)], 1), float(1 - prior[0])
 
 
-def train_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, epochs: int = 12, rate: float = 0.15, l2: float = 1e-5) -> np.ndarray:
-    """Logistic regression by AdaGrad in small batches; weights of DIM + 1 (the last: bias)."""
+def train_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, **kw) -> np.ndarray:
+    """``fit_scorer`` over the features of all texts in one column, in order of the text."""
+    first = np.searchsorted(doc, np.arange(len(target) + 1))
+
+    def take(batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.diff(first)[batch]
+        at = np.repeat(first[batch] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        return size, feature[at], value[at]
+
+    return fit_scorer(take, target, **kw)
+
+
+def values_of(size: np.ndarray) -> np.ndarray:
+    """The values of the features of texts that have so many each, as ``Shapes.features`` gives them: words, then shapes."""
+    words = size - len(SHAPES)
+    x = np.repeat((1 / np.sqrt(np.maximum(1, words) / 100)).astype(np.float32), size)
+    x[(np.cumsum(size)[:, None] - 1 - np.arange(len(SHAPES))).ravel()] = SHAPE_VALUE
+    return x
+
+
+def fit_scorer(take: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 12, rate: float = 0.15, l2: float = 1e-5) -> np.ndarray:
+    """Logistic regression by AdaGrad in small batches; weights of DIM + 1 (the last: bias).
+
+    ``take`` gives (number of features of each, features, values) of the texts of one batch, so no more than a batch is copied.
+    """
     n = len(target)
     w, g2 = np.zeros(DIM + 1), np.full(DIM + 1, 0.1)
-    first = np.searchsorted(doc, np.arange(n + 1))
     rng = np.random.default_rng(5)
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(n), max(1, n // 64)):
-            size = np.diff(first)[batch]
-            at = np.repeat(first[batch] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            f, x, own = feature[at], value[at], np.repeat(np.arange(len(batch)), size)
+            size, f, x = take(batch)
+            own = np.repeat(np.arange(len(batch)), size)
             z = np.bincount(own, w[f] * x, len(batch)) + w[DIM]
             err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[batch]
             uf, inv = np.unique(f, return_inverse=True)
@@ -309,6 +332,13 @@ def train_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target
     return w.astype(np.float32)
 
 
+def taken(features: list[np.ndarray], order: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For ``fit_scorer``, of texts whose features lie apart: those of number ``order[i]`` for each ``i`` of the batch."""
+    own = [features[i] for i in order[batch]]
+    size = np.array([len(f) for f in own])
+    return size, np.concatenate(own), values_of(size)
+
+
 def score(shapes: Shapes, weights: list[np.ndarray]) -> list[np.ndarray]:
     doc, f, x = shapes.features()
     return [1 / (1 + np.exp(-np.clip(np.bincount(doc, w[f] * x, shapes.n) + w[DIM], -30, 30))) for w in weights]
@@ -319,6 +349,7 @@ def learn_lists(d: DataFrame, annotated: DataFrame) -> Lists:
     chosen = annotated.where("at in (0, 1)").orderBy(F.xxhash64("doc_id", F.lit(11))).limit(LEARN).select("doc_id", "at", "half")
     picked = d.join(F.broadcast(chosen), "doc_id").select("half", "at", "text")  # at most LEARN rows
 
+    @V.tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch):
@@ -383,32 +414,32 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     chosen = cut(chosen.dropDuplicates(["doc_id"]))
     picked = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "tq", "tt")  # at most 4 * sample rows
 
+    @V.tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch):
                 s = Shapes(part.column(1))
-                doc, f, x = s.features()
-                at = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=s.n))].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (f.astype(np.int32), x.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *lists], ["doc_id", "tq", "tt", "f", "x"])
+                doc, f, _ = s.features()  # the values follow from how many there are
+                at = 4 * np.r_[0, np.cumsum(np.bincount(doc, minlength=s.n))]
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), s.n, [None, pa.py_buffer(at), pa.py_buffer(f.astype(np.int32))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), packed], ["doc_id", "tq", "tt", "f"])
 
     # with nothing to learn from, nothing is rejected
     none = np.zeros(DIM + 1, np.float32)
     none[DIM] = -10
 
+    @V.tidy
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("tq", pa.float64()), ("tt", pa.float64()), ("f", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))])).sort_by("doc_id").combine_chunks()
+        t = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("tq", pa.float64()), ("tt", pa.float64()), ("f", pa.binary())]))
+        f = [np.frombuffer(x.as_buffer(), np.int32) for x in t["f"]]  # where they came in, without a copy
+        order = np.argsort(t["doc_id"].to_numpy(), kind="stable")
         out = []
         for name in ("tq", "tt"):
-            part = t.filter(pc.greater_equal(t[name], 0.0)).combine_chunks()
-            y = part[name].to_numpy()
-            size = pc.list_value_length(part["f"]).to_numpy()
-            f, x = (pc.list_flatten(part[c]).to_numpy() for c in ("f", "x"))
-            w = train_scorer(np.repeat(np.arange(len(y)), size), f, x, y) if len(y) else none
-            out.append(w.tobytes())
+            y = t[name].to_numpy()[order]
+            out.append(fit_scorer(functools.partial(taken, f, order[y >= 0]), y[y >= 0]).tobytes() if (y >= 0).any() else none.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(out, pa.binary())], ["head", "w"])
 
-    rows = picked.mapInArrow(features, "doc_id long, tq double, tt double, f array<int>, x array<float>").repartition(1).mapInArrow(train, "head long, w binary").collect()
+    rows = picked.mapInArrow(features, "doc_id long, tq double, tt double, f binary").repartition(1).mapInArrow(train, "head long, w binary").collect()
     w = {r.head: np.frombuffer(r.w, np.float32) for r in rows}
     return [w.get(0, none), w.get(1, none)], model
 
@@ -422,6 +453,7 @@ def classify(docs: DataFrame, weights: list[np.ndarray], id_col: str = "doc_id",
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
+    @V.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch):
@@ -450,6 +482,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     weights, _ = fit(docs, table(spark, sf_dir, "labels"))
     text = docs.schema.fieldNames().index("text")
 
+    @V.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch, batch.schema.names[text]):

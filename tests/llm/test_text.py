@@ -4,6 +4,7 @@ import random
 import re
 import struct
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,52 @@ def test_bpe_collisions_are_seen_and_mended():
     assert ids[at[1] : at[2]].tolist() == c.encode_plain("a qzxv") and ids[: at[1]].tolist() == c.encode_plain("fine")
 
 
+def test_bpe_workers_remember_for_one_task(spark):
+    """A worker is kept for other stages: none holds the pre-tokens of tasks that are over."""
+    docs = frame(spark, [(i, " ".join(f"qz{i}x{j}" for j in range(500))) for i in range(40)]).repartition(8)
+    assert bpe.tokenize(docs).where("decoded_ok").count() == 40
+
+    def held(batches):
+        n = [len(c.memory) for c in bpe._CODEC.values()]
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n)] * batch.num_rows), pa.array([len(n)] * batch.num_rows)], ["held", "codecs"])
+
+    rows = docs.mapInArrow(held, "held long, codecs long").collect()
+    assert any(r.codecs for r in rows) and not any(r.held for r in rows)
+
+
+def test_tasks_give_back_what_they_freed():
+    """Blocks that were freed below one that stays go back to the system when a task is over, also one that is stopped early."""
+    import subprocess
+    import sys
+
+    code = r"""
+import re
+import numpy as np, pyarrow as pa
+from sedimenta.llm import vectext as V
+def anon():
+    return int(re.search(r"\nAnonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+stays = []
+def run(batches):
+    many = [np.ones(8000) for _ in range(3000)]
+    stays.append(np.ones(8000))
+    for batch in batches:
+        yield batch
+    del many
+run = getattr(V, "tidy", lambda f: f)(run)
+batch = pa.record_batch([pa.array([1])], ["a"])
+before = anon()
+assert len(list(run([batch, batch]))) == 2
+print(anon() - before)
+early = run([batch, batch])
+next(early)
+early.close()
+print(anon() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(vectext.__file__).parents[2], capture_output=True, text=True, check=True).stdout.split()
+    assert len(out) == 2 and all(int(mb) < 60 for mb in out), out  # of 183 MB
+
+
 def test_bpe_tables(spark):
     got = bpe.tokenize(frame(spark, ODD))
     rows = {(r.doc_id, r.n_bytes): r for r in got.collect()}
@@ -187,6 +234,30 @@ def test_detectors_of_different_kinds_are_told_from_poor_ones():
     assert said[kind >= 0].mean() > 0.85 and said[kind < 0].mean() < 0.02 and abs(prior - 0.15) < 0.03
 
 
+def test_scorer_copies_no_more_than_a_batch():
+    """Training over texts whose features lie apart gives the weights of one column of all, and holds little beside them."""
+    import tracemalloc
+    from functools import partial
+
+    rng = np.random.default_rng(16)
+    words = [f"w{i}" for i in range(3000)]
+    s = quality.Shapes(pa.array([" ".join(rng.choice(words, k)) for k in [0, 1, 7, *rng.integers(300, 400, 2500)]]))
+    doc, f, x = s.features()
+    size = np.bincount(doc, minlength=s.n)
+    assert quality.values_of(size).tolist() == x.astype(np.float32).tolist()
+    y, order = rng.random(s.n), rng.permutation(s.n)
+    apart = dict(zip(order.tolist(), np.split(f.astype(np.int32), np.cumsum(size)[:-1])))
+    apart = [apart[i] for i in range(s.n)]
+    want = quality.train_scorer(doc, f, x.astype(np.float32), y, epochs=1)
+    tracemalloc.start()
+    got = quality.fit_scorer(partial(quality.taken, apart, order), y, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == want.tolist() and got.any()
+    fixed = 2 * 8 * (quality.DIM + 1)
+    assert peak - fixed < 4 * len(f), (peak - fixed, 4 * len(f))  # one column of all, its values and texts take 20 bytes a feature
+
+
 def test_scorer_equals_a_plain_one():
     """Training and scoring, a text and a feature at a time."""
     rng = np.random.default_rng(15)
