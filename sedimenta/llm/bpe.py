@@ -109,6 +109,53 @@ class PerfectHash:
         return np.where(self.key[spot] == keys, spot, -1)
 
 
+class Memory:
+    """Ids of pre-tokens by hash, in columns sorted by it: some 40 bytes a pre-token, of which a dictionary takes 300."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.used = np.empty(1 << 12, np.int32), 0
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(key), bool)
+        return self.key[np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)] == key
+
+    def add(self, key: np.ndarray, ids: list[list[int]]) -> None:
+        """``key``: sorted, distinct, and none of them held."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        stop = np.cumsum(size) + self.used
+        if len(stop) and stop[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(stop[-1], 3 * self.used // 2) - self.used, np.int32)])
+        self.ids[self.used : self.used + size.sum()] = np.fromiter((x for one in ids for x in one), np.int32, size.sum())
+        self.used += int(size.sum())
+        at = np.searchsorted(self.key, key)
+        self.key, self.start, self.size = (np.insert(a, at, b) for a, b in ((self.key, key), (self.start, stop - size), (self.size, size)))
+
+    def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, ids), of keys that are held."""
+        at = np.searchsorted(self.key, key)
+        size = self.size[at]
+        stop = np.cumsum(size)
+        return size, self.ids[np.repeat(self.start[at] - (stop - size), size) + np.arange(size.sum())]
+
+    def __setitem__(self, key: int, ids: tuple[int, ...]) -> None:
+        one = np.array([key], np.uint64)
+        if self.holds(one)[0]:
+            del self[key]
+        self.add(one, [list(ids)])
+
+    def __delitem__(self, key: int) -> None:
+        stays = self.key != np.uint64(key)
+        self.key, self.start, self.size = self.key[stays], self.start[stays], self.size[stays]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file (base64 token, rank)."""
 
@@ -132,7 +179,7 @@ class Codec:
         self.at[ids] = end - size
         self.raw = raw
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.memory: dict[int, tuple[int, ...]] = {}
+        self.memory = Memory()
         self.pattern = regex.compile(PATTERN)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -210,19 +257,14 @@ class Codec:
         if len(memory) > MEMORY:
             memory.clear()
         buf = raw.tobytes()
-        lists = []
-        for k, s, e in zip(uniq[miss].tolist(), start[at[miss]].tolist(), end[at[miss]].tolist()):
-            got = memory.get(k)
-            if got is None:
-                got = memory[k] = tuple(self.merge(buf[s:e]))
-            lists.append(got)
-        size[miss] = np.fromiter(map(len, lists), np.int64, len(lists))
+        new = miss[~memory.holds(uniq[miss])]
+        memory.add(uniq[new], [self.merge(buf[s:e]) for s, e in zip(start[at[new]].tolist(), end[at[new]].tolist())])
+        size[miss], flat = memory.get(uniq[miss])
         base = np.r_[0, np.cumsum(size)]
         pool = np.empty(base[-1], np.int32)
         hit = spot >= 0
         pool[base[:-1][hit]] = self.id_at[spot[hit]]
-        if len(lists):
-            flat = np.fromiter((x for ids in lists for x in ids), np.int32)
+        if len(miss):
             mask = np.ones(len(pool), bool)
             mask[base[:-1][hit]] = False
             pool[mask] = flat
@@ -329,7 +371,7 @@ class Shipped:
         if self.path not in _CODEC:
             c = Codec.__new__(Codec)
             c.__dict__ |= pickle.loads(self.raw)
-            c.memory, c.pattern = {}, regex.compile(PATTERN)
+            c.memory, c.pattern = Memory(), regex.compile(PATTERN)
             _CODEC[self.path] = c
         return _CODEC[self.path]
 

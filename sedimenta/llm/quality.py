@@ -402,7 +402,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
         said = (p >= 0).any(1)  # documents on which all abstain teach nothing
         p, c = p[said], c[said]
         model[kind] = fit_label_model(p, c, silence=kind == "quality", kinds=kind == "quality")
-        post[kind] = spark.createDataFrame([(*map(int, x), float(y)) for x, y in zip(p, model[kind][0])], ", ".join(f"{x} int" for x in cols) + f", p_{kind} double")
+        # as Arrow: of a list Spark makes rows in Python workers of another kind, which stay beside the others
+        post[kind] = spark.createDataFrame(pa.table({c: pa.array(p[:, i].astype(np.int32)) for i, c in enumerate(cols)} | {f"p_{kind}": pa.array(model[kind][0].astype(float))}))
     pq, pt = post["quality"], post["toxic"]
     labelled = votes.join(F.broadcast(pq), q_cols, "left").join(F.broadcast(pt), t_cols, "left")  # at most 3 ** 7 rows each
     h = F.xxhash64("doc_id", F.lit(3))

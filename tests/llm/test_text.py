@@ -73,6 +73,41 @@ def test_bpe_collisions_are_seen_and_mended():
     assert ids[at[1] : at[2]].tolist() == c.encode_plain("a qzxv") and ids[: at[1]].tolist() == c.encode_plain("fine")
 
 
+def test_bpe_memory_is_a_dictionary_in_little_room():
+    """What was added comes back, in whatever order it came; a pre-token takes far less than in a dictionary of tuples."""
+    rng = np.random.default_rng(17)
+    m, plain = bpe.Memory(), {}
+    assert not m.holds(np.array([5], np.uint64)).any() and m.get(np.empty(0, np.uint64))[1].tolist() == []
+    for _ in range(30):
+        key = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64) << np.uint64(1))
+        key = key[~m.holds(key)]
+        ids = [rng.integers(0, 50_000, k).tolist() for k in rng.integers(1, 9, len(key))]
+        m.add(key, ids)
+        plain |= dict(zip(key.tolist(), ids))
+    m[7] = (1, 2)
+    m[7] = (3,)
+    m[9] = (4, 5)
+    del m[9]
+    plain[7] = [3]
+    key = rng.permutation(np.array(list(plain), np.uint64))
+    size, ids = m.get(key)
+    assert len(m) == len(plain) and m.holds(key).all() and not m.holds(key[key > 7] + np.uint64(1)).any()
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [plain[k] for k in key.tolist()]
+    assert sum(a.nbytes for a in (m.key, m.start, m.size, m.ids)) < 60 * len(m)
+    m.clear()
+    assert len(m) == 0 and not m.holds(key).any()
+
+
+def test_quality_fits_without_workers_of_another_kind(spark, monkeypatch):
+    """Rows that the driver makes go to Spark as Arrow: lists would take Python workers that no other part of a stage uses."""
+    docs = frame(spark, [(i, f"a plain text of its own, number {i}, and no more than that") for i in range(30)])
+    made = []
+    of = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **kw: made.append(type(data)) or of(self, data, *a, **kw))
+    quality.fit(docs, None)
+    assert made and all(x is pa.Table for x in made)
+
+
 def test_bpe_workers_remember_for_one_task(spark):
     """A worker is kept for other stages: none holds the pre-tokens of tasks that are over."""
     docs = frame(spark, [(i, " ".join(f"qz{i}x{j}" for j in range(500))) for i in range(40)]).repartition(8)
